@@ -1 +1,157 @@
-"""Queries."""
+"""Event construction and enrichment queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoplens.functions import scalars as S
+from shoplens.operators import events as E
+from shoplens.plans.registry import register
+from shoplens.plans import sqlparts as Q
+from shoplens.sources import tables as T
+
+
+def reviews(spark, sf_dir):
+    """Review events (PRJ3-PRJ6) built from the documents table."""
+    return E.review_events(T.review_rows(spark, sf_dir), T.REVIEW_SOURCE_NAME, "row_index")
+
+
+def interactions(spark, sf_dir):
+    """UDT1 interactions derived from the reviews."""
+    return E.interactions_from_reviews(reviews(spark, sf_dir))
+
+
+_META_COUNT = "((CASE WHEN coalesce(lang, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(source, '') <> '' THEN 1 ELSE 0 END))"
+
+
+@register("review_events", f"""WITH {Q.REVIEWS_CTE}
+SELECT event_id, 'amazon_review' AS event_type, 'documents' AS dataset_source, row_index, timestamp,
+       user_id, product_id, rating, review_text, CAST(NULL AS VARCHAR) AS helpful,
+       CAST(NULL AS VARCHAR) AS title, lang AS meta_lang, source AS meta_source,
+       user_id AS kafka_key
+FROM reviews""")
+def q_review_events(spark, sf_dir):
+    """PRJ3 + PRJ4 + PRJ5 + PRJ6."""
+    ev = reviews(spark, sf_dir)
+    return ev.select("event_id", "event_type", "dataset_source", "row_index", "timestamp",
+                     "user_id", "product_id", "rating", "review_text", "helpful", "title",
+                     F.col("metadata")["lang"].alias("meta_lang"),
+                     F.col("metadata")["source"].alias("meta_source"), "kafka_key")
+
+
+@register("review_enriched", f"""WITH {Q.REVIEWS_CTE}
+SELECT event_id, user_id, product_id, rating,
+       CAST(length(coalesce(review_text, '')) AS INTEGER) AS review_length,
+       {Q.sentiment_columns('review_text')},
+       {Q.recommendation_weight('rating', 'review_text')} AS recommendation_weight,
+       {Q.quality_score('rating', 'review_text', _META_COUNT)} AS quality_score,
+       printf('csv_proc_%06d', row_number() OVER (ORDER BY timestamp, event_id)) AS processing_id
+FROM reviews""")
+def q_review_enriched(spark, sf_dir):
+    """STR1 review enrichment: SCL1, SCL2, SCL3, SCL5, PRJ7."""
+    ev = E.enrich_reviews(reviews(spark, sf_dir))
+    ev = E.with_processing_ids(ev, "csv_proc_", ["timestamp", "event_id"])
+    s = F.col("sentiment_analysis")
+    return ev.select("event_id", "user_id", "product_id", "rating", "review_length",
+                     s.score.alias("sentiment_score"), s.confidence.alias("sentiment_confidence"),
+                     s.positive_words.alias("positive_words"), s.negative_words.alias("negative_words"),
+                     "recommendation_weight", "quality_score", "processing_id")
+
+
+_UDT1_SQL = f"""WITH {Q.REVIEWS_CTE},
+r AS (SELECT row_index, user_id, product_id, {Q.rating_value('rating')} AS original_rating,
+             timestamp FROM reviews),
+x AS (
+  SELECT r.*, 0 AS pos, 'view' AS action FROM r
+  UNION ALL SELECT r.*, 1, 'click' FROM r WHERE original_rating >= 3
+  UNION ALL SELECT r.*, 2, 'cart_add' FROM r WHERE original_rating >= 4
+  UNION ALL SELECT r.*, 3, 'purchase' FROM r WHERE original_rating >= 4
+  UNION ALL SELECT r.*, 4, 'like' FROM r WHERE original_rating >= 4.5)
+SELECT printf('interaction_%06d', row_number() OVER (ORDER BY row_index, pos) - 1) AS event_id,
+       user_id, product_id, action, timestamp, 'csv_derived' AS source, original_rating,
+       CASE WHEN original_rating >= 4 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence
+FROM x"""
+
+
+@register("interaction_events", _UDT1_SQL)
+def q_interaction_events(spark, sf_dir):
+    """UDT1 + SCL6 + SCL7: reviews exploded into interaction events."""
+    return interactions(spark, sf_dir)
+
+
+@register("interaction_enriched", f"""WITH {Q.ACTIONS_CTE}
+SELECT event_id, user_id, product_id, action, {Q.weight('action')}::DOUBLE AS action_weight,
+       coalesce(action IN ('purchase', 'like', 'cart_add'), false) AS recommendation_trigger,
+       row_number() OVER (ORDER BY timestamp, event_id) AS sequence_number,
+       printf('int_proc_%06d', row_number() OVER (ORDER BY timestamp, event_id)) AS processing_id
+FROM actions""")
+def q_interaction_enriched(spark, sf_dir):
+    """STR1 interaction enrichment: SCL4, FLT2, PRJ7, WIN3 over the events table."""
+    ev = E.enrich_interactions(T.actions(spark, sf_dir))
+    ev = E.with_processing_ids(ev, "int_proc_", ["timestamp", "event_id"], with_sequence=True)
+    return ev.select("event_id", "user_id", "product_id", "action", "action_weight",
+                     "recommendation_trigger", "sequence_number", "processing_id")
+
+
+def api_events(spark, sf_dir):
+    """SRC11: the events table as API event JSON documents, decoded with the
+    declared schema (what a batch or stream of posted events looks like)."""
+    ev = T.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    doc = F.to_json(F.struct(F.col("user_id"), F.col("event_type").alias("action"),
+                             F.get_json_object("props", "$.k").alias("product_id"),
+                             F.col("ts").cast("string").alias("timestamp")))
+    return ev.select("event_id", E.decode_api_events(doc).alias("e")).select("event_id", "e.*")
+
+
+_API_SQL_BASE = """api AS (
+  SELECT event_id, user_id, event_type AS action, json_extract_string(props, '$.k') AS product_id
+  FROM events),
+p AS (
+  SELECT event_id, user_id, action, product_id,
+         coalesce(action IN ('view', 'purchase', 'like'), false) AS recommendations_triggered,
+         CASE WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'view' THEN 'high'
+              WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'purchase' THEN 'critical'
+              WHEN action IN ('like', 'share') THEN 'medium' END AS action_priority,
+         CASE WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'view' THEN NULL
+              WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'purchase'
+                   THEN 'recommendation_update,user_model_retrain'
+              WHEN action IN ('like', 'share') THEN 'preference_update' END AS triggers,
+         CASE WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'view' THEN NULL
+              WHEN user_id IS NOT NULL AND user_id <> 0 AND action = 'purchase' THEN 'high'
+              WHEN action IN ('like', 'share') THEN 'medium' END AS business_impact
+  FROM api)"""
+
+
+@register("api_event_processing", f"""WITH {_API_SQL_BASE}
+SELECT event_id, user_id, action, product_id, recommendations_triggered, action_priority,
+       triggers, business_impact FROM p""")
+def q_api_event_processing(spark, sf_dir):
+    """SRC11 + SCL11 + FLT3 + SCL12."""
+    p = E.process_api_events(api_events(spark, sf_dir))
+    return p.select("event_id", "user_id", "action", "product_id", "recommendations_triggered",
+                    "action_priority", F.array_join("triggers", ",").alias("triggers"),
+                    "business_impact")
+
+
+@register("api_event_summary", f"""WITH {_API_SQL_BASE}
+SELECT count(*) FILTER (WHERE action = 'view') AS view_events,
+       count(*) FILTER (WHERE action = 'purchase') AS purchase_events,
+       count(*) FILTER (WHERE action = 'like') AS like_events,
+       count(*) FILTER (WHERE recommendations_triggered) AS total_recommendations_triggered,
+       count(*) FILTER (WHERE action_priority IN ('high', 'critical')) AS high_priority_events,
+       count(*) AS events_processed
+FROM p""")
+def q_api_event_summary(spark, sf_dir):
+    """AGG9."""
+    return E.api_event_summary(E.process_api_events(api_events(spark, sf_dir)))
+
+
+@register("topic_records", f"""WITH {Q.ACTIONS_CTE}
+SELECT coalesce(user_id, 'user_' || event_id) AS key,
+       '{{"event_id":"' || event_id || '","product_id":"' || product_id || '","action":"' || action || '"}}' AS value
+FROM actions""")
+def q_topic_records(spark, sf_dir):
+    """SNK4 projection: keyed JSON records ready for a topic (key = user id)."""
+    acts = T.actions(spark, sf_dir).withColumn(
+        "key", F.coalesce(F.col("user_id"), F.concat(F.lit("user_"), F.col("event_id"))))
+    return E.to_topic_records(acts, "key", ["event_id", "product_id", "action"])

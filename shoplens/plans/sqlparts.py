@@ -54,3 +54,74 @@ trend AS (
          CASE WHEN prev > 0 THEN floor(100.0 * (raw - prev) / prev * 100 + 0.5) / 100 END AS growth_rate,
          views_today
   FROM tagg CROSS JOIN tmax)"""
+
+
+def is_numeric(col: str) -> str:
+    return (f"(coalesce(regexp_matches({col}, '^[0-9.]*[0-9][0-9.]*$'), false) "
+            f"AND TRY_CAST({col} AS DOUBLE) IS NOT NULL)")
+
+
+def rating_value(col: str) -> str:
+    return f"(CASE WHEN {is_numeric(col)} THEN TRY_CAST({col} AS DOUBLE) END)"
+
+
+def rhu(expr: str, digits: int) -> str:
+    """round half up, written exactly like shoplens.functions.scalars.round_half_up."""
+    scale = 10 ** digits
+    return f"(floor(({expr}) * {scale}.0::DOUBLE + 0.5::DOUBLE) / {scale}.0::DOUBLE)"
+
+
+def word_hits(text: str, words: list[str]) -> str:
+    parts = [f"(CASE WHEN contains(lower({text}), '{w}') THEN 1 ELSE 0 END)" for w in words]
+    return "(" + " + ".join(parts) + ")"
+
+
+def sentiment_columns(text: str = "review_text") -> str:
+    from shoplens import constants as C
+    pos = word_hits(text, C.POSITIVE_WORDS)
+    neg = word_hits(text, C.NEGATIVE_WORDS)
+    tokens = f"len(list_filter(string_split_regex(coalesce({text}, ''), '\\s+'), lambda x: x <> ''))"
+    has = f"(coalesce(lower({text}) <> '', false) AND ({pos} + {neg}) > 0)"
+    return f"""CASE WHEN {has} THEN {rhu(f'{pos} / ({pos} + {neg})', 3)} ELSE 0.5::DOUBLE END AS sentiment_score,
+  CASE WHEN {has} AND {tokens} > 0 THEN {rhu(f'({pos} + {neg}) / {tokens}', 3)} ELSE 0.0::DOUBLE END AS sentiment_confidence,
+  CASE WHEN {has} THEN {pos} END AS positive_words,
+  CASE WHEN {has} THEN {neg} END AS negative_words"""
+
+
+def recommendation_weight(rating: str = "rating", text: str = "review_text") -> str:
+    length = f"length(coalesce({text}, ''))"
+    w = (f"1.0::DOUBLE * coalesce({rating_value(rating)} / 5.0::DOUBLE, 1.0::DOUBLE) * "
+         f"(CASE WHEN {length} > 0 THEN 1.0::DOUBLE + least({length} / 100.0::DOUBLE, 2.0::DOUBLE) "
+         f"* 0.2::DOUBLE ELSE 1.0::DOUBLE END)")
+    return rhu(w, 3)
+
+
+def quality_score(rating: str, text: str, meta_count: str) -> str:
+    length = f"length(coalesce({text}, ''))"
+    s = (f"0.5::DOUBLE + (CASE WHEN coalesce({rating}, '') <> '' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)"
+         f" + (CASE WHEN {length} > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)"
+         f" + (CASE WHEN {length} > 50 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)"
+         f" + least({meta_count} * 0.05::DOUBLE, 0.2::DOUBLE)")
+    return rhu(f"least({s}, 1.0::DOUBLE)", 3)
+
+
+def profile_cte(key: str, other: str, other_name: str) -> str:
+    """Profiles of AGG1/AGG2 in SQL (window form of the stale-average rule)."""
+    return f"""rv_{key} AS (
+  SELECT {key}, {other}, {rating_value('rating')} AS r,
+         row_number() OVER (PARTITION BY {key} ORDER BY timestamp, event_id) AS rn
+  FROM reviews WHERE coalesce({key} <> '', false)),
+ra_{key} AS (
+  SELECT {key}, count(*) AS reviews,
+         count(DISTINCT CASE WHEN coalesce({other} <> '', false) THEN {other} END) AS {other_name},
+         coalesce(sum(r), 0.0::DOUBLE) AS total_rating,
+         max(CASE WHEN r IS NOT NULL THEN rn END) AS upto
+  FROM rv_{key} GROUP BY {key}),
+ia_{key} AS (SELECT {key}, count(*) AS interactions FROM actions
+             WHERE coalesce({key} <> '', false) GROUP BY {key}),
+prof_{key} AS (
+  SELECT coalesce(a.{key}, i.{key}) AS {key}, coalesce(a.reviews, 0) AS reviews,
+         coalesce(i.interactions, 0) AS interactions, coalesce(a.{other_name}, 0) AS {other_name},
+         coalesce(a.total_rating, 0.0::DOUBLE) AS total_rating,
+         CASE WHEN a.upto > 0 THEN a.total_rating / a.upto ELSE 0.0::DOUBLE END AS avg_rating
+  FROM ra_{key} a FULL OUTER JOIN ia_{key} i ON a.{key} = i.{key})"""
