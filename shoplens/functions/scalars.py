@@ -16,7 +16,7 @@ __all__ = [
     "quality_score", "action_weight", "review_length", "rating_actions",
     "interaction_confidence", "neighbour_confidence", "als_confidence", "predicted_rating",
     "reason_text", "event_priority", "is_stream_trigger", "is_api_trigger", "metric_alert",
-    "non_empty_metadata_count", "whitespace_tokens",
+    "non_empty_metadata_count", "whitespace_tokens", "cents", "money_mean",
 ]
 
 
@@ -208,3 +208,18 @@ def metric_alert(metric, threshold: float = C.LATENCY_ALERT_THRESHOLD) -> Column
         F.lit("warning").alias("level"),
         F.concat(F.lit("latency above "), F.lit(str(threshold))).alias("message"),
         m.alias("value")))
+
+
+def cents(c) -> Column:
+    """Money with two decimals as an exact integer number of cents."""
+    return F.round(_col(c) * F.lit(100.0)).cast("long")
+
+
+def money_mean(c) -> Column:
+    """Mean of a money column, rounded half up to the cent.
+
+    The sum is taken over integer cents, so it is exact in any order; only one
+    division remains, which every engine does identically.
+    """
+    ce = cents(c)
+    return F.floor(F.sum(ce) / F.count(ce) + F.lit(0.5)) / F.lit(100.0)

@@ -125,3 +125,8 @@ prof_{key} AS (
          coalesce(a.total_rating, 0.0::DOUBLE) AS total_rating,
          CASE WHEN a.upto > 0 THEN a.total_rating / a.upto ELSE 0.0::DOUBLE END AS avg_rating
   FROM ra_{key} a FULL OUTER JOIN ia_{key} i ON a.{key} = i.{key})"""
+
+
+def money_mean(col: str) -> str:
+    c = f"CAST(round({col} * 100.0::DOUBLE) AS BIGINT)"
+    return f"(floor(sum({c}) / count({c}) + 0.5::DOUBLE) / 100.0::DOUBLE)"

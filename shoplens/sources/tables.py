@@ -112,7 +112,7 @@ def events_with_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions plus the event's money value (used as order value for purchases)."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     return ev.select(
-        F.col("event_id"), F.col("ts"), F.col("user_id"),
+        F.col("event_id"), F.col("ts").alias("timestamp"), F.col("user_id"),
         F.col("event_type").alias("action"), F.col("value"),
         F.get_json_object("props", "$.k").alias("product_id"))
 
