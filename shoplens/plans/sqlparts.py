@@ -130,3 +130,63 @@ prof_{key} AS (
 def money_mean(col: str) -> str:
     c = f"CAST(round({col} * 100.0::DOUBLE) AS BIGINT)"
     return f"(floor(sum({c}) / count({c}) + 0.5::DOUBLE) / 100.0::DOUBLE)"
+
+
+def sets_cte(name: str, source: str = "actions", where: str = "") -> str:
+    extra = f" AND {where}" if where else ""
+    return f"""{name} AS (SELECT DISTINCT user_id, product_id FROM {source}
+  WHERE coalesce(user_id <> '', false) AND coalesce(product_id <> '', false){extra})"""
+
+
+def neighbours_cte(s: str, k: int = 5, threshold: float = 0.1) -> str:
+    return f"""{s}_n AS (SELECT user_id, count(*) AS n FROM {s} GROUP BY user_id),
+{s}_i AS (SELECT a.user_id AS u, b.user_id AS v, count(*) AS c FROM {s} a JOIN {s} b
+          ON a.product_id = b.product_id AND a.user_id <> b.user_id GROUP BY 1, 2),
+{s}_sim AS (SELECT i.u, i.v, i.c, i.c / (na.n + nb.n - i.c) AS similarity FROM {s}_i i
+            JOIN {s}_n na ON i.u = na.user_id JOIN {s}_n nb ON i.v = nb.user_id),
+{s}_nb AS (SELECT * FROM (SELECT u AS user_id, v AS neighbour_id, similarity, c AS common,
+             row_number() OVER (PARTITION BY u ORDER BY similarity DESC, v ASC) AS rank
+           FROM {s}_sim WHERE similarity > {threshold}) WHERE rank <= {k})"""
+
+
+def recs_cte(s: str, k: int = 5) -> str:
+    return f"""{s}_cand AS (
+  SELECT nb.user_id, x.product_id, {rhu('sum(nb.similarity)', 6)} AS score
+  FROM {s}_nb nb JOIN {s} x ON x.user_id = nb.neighbour_id
+  WHERE NOT EXISTS (SELECT 1 FROM {s} y WHERE y.user_id = nb.user_id AND y.product_id = x.product_id)
+  GROUP BY 1, 2),
+{s}_recs AS (SELECT * FROM (SELECT user_id, product_id, score,
+               row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id ASC) AS rank
+             FROM {s}_cand) WHERE rank <= {k})"""
+
+
+def popularity_cte(name: str, source: str = "actions", with_dim: bool = True) -> str:
+    if with_dim:
+        base = f"""SELECT coalesce(d.product_id, s.product_id) AS product_id,
+                  coalesce(s.p, 0.0::DOUBLE) AS popularity
+           FROM (SELECT DISTINCT product_id FROM dim) d FULL JOIN
+                (SELECT product_id, sum({weight('action')})::DOUBLE AS p FROM {source}
+                 WHERE product_id IS NOT NULL GROUP BY 1) s ON d.product_id = s.product_id"""
+    else:
+        base = f"""SELECT product_id, sum({weight('action')})::DOUBLE AS popularity FROM {source}
+           WHERE product_id IS NOT NULL GROUP BY 1"""
+    return f"""{name} AS (SELECT product_id, popularity,
+  row_number() OVER (ORDER BY popularity DESC, product_id ASC) AS pop_rank FROM ({base}))"""
+
+
+def fill_cte(name: str, users: str, recs: str, seen: str, pop: str, k: int = 5) -> str:
+    return f"""{name}_own AS (SELECT user_id, count(*) AS n_own FROM {recs} GROUP BY user_id),
+{name}_excl AS (SELECT user_id, product_id FROM {seen} UNION SELECT user_id, product_id FROM {recs}),
+{name}_free AS (
+  SELECT u.user_id, p.product_id, p.popularity, p.pop_rank, coalesce(o.n_own, 0) AS n_own
+  FROM (SELECT DISTINCT user_id FROM {users}) u CROSS JOIN {pop} p
+  LEFT JOIN {name}_own o ON o.user_id = u.user_id
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_excl e WHERE e.user_id = u.user_id AND e.product_id = p.product_id)),
+{name}_fill AS (SELECT * FROM (SELECT user_id, product_id, popularity, n_own,
+                  row_number() OVER (PARTITION BY user_id ORDER BY pop_rank) AS i FROM {name}_free)
+                WHERE i <= {k} - n_own),
+{name} AS (
+  SELECT user_id, product_id, CAST(score AS DOUBLE) AS score, CAST(rank AS BIGINT) AS rank,
+         'collaborative' AS source FROM {recs}
+  UNION ALL
+  SELECT user_id, product_id, popularity, CAST(n_own + i AS BIGINT), 'popularity' FROM {name}_fill)"""
