@@ -153,3 +153,73 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
     w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnsRenamed({"entity": entity, "neighbour": "neighbour_" + entity}))
+
+
+VEC_SCHEMA = "entity long, neighbour long, similarity double"
+
+
+def _local_topk_vectors(pdf: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    pdf = pdf.sort_values("entity", kind="stable")
+    a = pdf[pdf["blk"] == lo]
+    b = a if lo == hi else pdf[pdf["blk"] == hi]
+
+    def unit(part):
+        m = np.vstack([np.asarray(v, dtype=np.float64) for v in part["vec"]]) if len(part) else \
+            np.zeros((0, 1))
+        norms = np.sqrt((m * m).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(norms[:, None] > 0, m / norms[:, None], 0.0), norms > 0
+
+    ua, oka = unit(a)
+    ub, okb = unit(b)
+    ida, idb = a["entity"].to_numpy(), b["entity"].to_numpy()
+    if len(ida) == 0 or len(idb) == 0:
+        return pd.DataFrame({"entity": [], "neighbour": [], "similarity": []})
+    sim = ua @ ub.T
+    scale = 10.0 ** digits
+    sim = np.floor(sim * scale + 0.5) / scale
+    valid = oka[:, None] & okb[None, :]
+    if lo == hi:
+        np.fill_diagonal(valid, False)
+    out = []
+    r, c = np.nonzero(valid)
+    s = sim[r, c]
+    for rows, cols, ids_r, ids_c in ((r, c, ida, idb), (c, r, idb, ida)):
+        order = np.lexsort((ids_c[cols], -s, rows))
+        rr, cc, ss = rows[order], cols[order], s[order]
+        first = np.r_[True, rr[1:] != rr[:-1]] if len(rr) else np.array([], dtype=bool)
+        gs = np.maximum.accumulate(np.where(first, np.arange(len(rr)), 0)) if len(rr) else rr
+        keep = (np.arange(len(rr)) - gs) < k
+        out.append(pd.DataFrame({"entity": ids_r[rr[keep]], "neighbour": ids_c[cc[keep]],
+                                 "similarity": ss[keep]}))
+        if lo == hi:
+            break
+    return pd.concat(out, ignore_index=True)
+
+
+def top_k_cosine_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int, digits: int = 6,
+                         block_entities: int = 2048) -> DataFrame:
+    """Exact top-k cosine neighbours of dense vectors (ids must be integers).
+
+    Same block-pair scheme as ``top_k_similar``: the vectors of two blocks
+    meet in one task, the similarity block is one matrix product, only local
+    top-k rows leave the task.  Similarity is rounded to ``digits`` places
+    before ranking (ties: neighbour id).  Zero vectors have no neighbours.
+    """
+    v = vectors.select(F.col(id_col).cast("long").alias("entity"),
+                       F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    n = v.count()
+    nb = max(1, math.ceil(n / block_entities))
+    rep = (v.withColumn("blk", F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int"))
+           .withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+           .withColumn("lo", F.least("blk", "partner")).withColumn("hi", F.greatest("blk", "partner"))
+           .drop("partner"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _local_topk_vectors(pdf, k, digits)
+
+    local = rep.groupBy("lo", "hi").applyInPandas(kernel, VEC_SCHEMA)
+    w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumnsRenamed({"entity": id_col, "neighbour": "neighbour_" + id_col}))

@@ -192,3 +192,61 @@ def q_event_recommendations(spark, sf_dir):
     ev = (process_api_events(api_events(spark, sf_dir))
           .select("event_id", F.col("user_id").cast("string").alias("user_id"), "action"))
     return RC.event_recommendations(ev, neighbour_recs(spark, sf_dir), 3)
+
+
+# --- matrix factorisation (no SQL oracle: iterative model fitting) -----------
+
+def _als(spark, sf_dir, implicit=False):
+    from shoplens.operators import als
+    if implicit:
+        r = RC.implicit_ratings(T.actions(spark, sf_dir))
+        return als.train(r, "user_id", "product_id", "rating", implicit=True)
+    return als.train(T.ratings(spark, sf_dir), "user_id", "asin", "rating")
+
+
+@register("als_evaluation")
+def q_als_evaluation(spark, sf_dir):
+    """REC1: ALS (rank 10, 5 iterations, reg 0.1, 80/20 split, seed 42) on the
+    explicit ratings; holdout RMSE next to the predict-the-mean baseline."""
+    from shoplens.operators import als
+    return als.rmse(_als(spark, sf_dir))
+
+
+@register("als_recommendations")
+def q_als_recommendations(spark, sf_dir):
+    """REC2 + JN5 + JN4: top-10 ALS recommendations for every rated user."""
+    from shoplens.operators import als
+    res = _als(spark, sf_dir)
+    return als.recommend(res, T.ratings(spark, sf_dir).select("user_id"), 10, dimension(spark, sf_dir))
+
+
+@register("als_implicit_recommendations")
+def q_als_implicit_recommendations(spark, sf_dir):
+    """REC8 -> ALS(implicitPrefs): top-5 per user from action weights."""
+    from shoplens.operators import als
+    res = _als(spark, sf_dir, implicit=True)
+    return als.recommend(res, T.actions(spark, sf_dir).select("user_id"), 5)
+
+
+@register("als_similar_products")
+def q_als_similar_products(spark, sf_dir):
+    """REC4c: products nearest in the ALS item-factor space (exact cosine)."""
+    from shoplens.operators import als
+    return als.similar_items(_als(spark, sf_dir, implicit=True), 10)
+
+
+@register("embedding_neighbours", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+                  sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm
+           FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_vec_id,
+             floor(list_dot_product(a.e, b.e) / (a.nrm * b.nrm) * 1000000.0 + 0.5) / 1000000.0 AS similarity
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.nrm > 0 AND b.nrm > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour_vec_id) AS rank
+      FROM p)
+SELECT vec_id, neighbour_vec_id, similarity, rank FROM r WHERE rank <= 5""")
+def q_embedding_neighbours(spark, sf_dir):
+    """REC4c kernel on the given item vectors: exact cosine top-5 per vector."""
+    from shoplens.operators.similarity import top_k_cosine_vectors
+    emb = T.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return top_k_cosine_vectors(emb, "vec_id", "embedding", 5)
