@@ -1 +1,83 @@
-"""Queries."""
+"""Source/sink round trips over data derived from the given tables.
+
+Each query writes a table derived from the test data to the shared checkpoint
+folder and reads it back through the reader under test, so the reader runs on
+data that grows with the inputs.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from shoplens import schemas
+from shoplens.operators import catalog
+from shoplens.plans import sqlparts as Q
+from shoplens.plans.registry import register
+from shoplens.session import scratch_path
+from shoplens.sinks import writers as W
+from shoplens.sources import files as FS
+from shoplens.sources import tables as T
+
+
+def _scratch(spark, sf_dir, name):
+    return scratch_path(spark, os.path.join(os.path.basename(os.path.normpath(sf_dir)), name))
+
+
+def _write_catalogue_csv(spark, sf_dir):
+    prod = _scratch(spark, sf_dir, "bronze/products_csv")
+    cats = _scratch(spark, sf_dir, "bronze/categories_csv")
+    W.write_csv_sample(T.products_raw(spark, sf_dir), prod)
+    W.write_csv_sample(T.categories_raw(spark, sf_dir), cats)
+    return prod, cats
+
+
+@register("csv_catalogue_etl", f"WITH {Q.PRODUCT_DIM_CTE} SELECT * FROM dim")
+def q_csv_catalogue_etl(spark, sf_dir):
+    """SRC1 + SNK5 + PRJ1/PRJ2/JN1 + SNK1: the catalogue ETL from CSV files
+    (bronze) to the written gold dimension, read back."""
+    prod, cats = _write_catalogue_csv(spark, sf_dir)
+    products = FS.read_csv(spark, prod, schemas.PRODUCT_TEXT)
+    categories = FS.read_csv(spark, cats, schemas.CATEGORY)
+    gold = _scratch(spark, sf_dir, "gold/products_dimension")
+    W.write_table(catalog.product_dimension(products, categories), gold, "parquet")
+    return spark.read.parquet(gold)
+
+
+@register("json_document_products", f"""WITH {Q.PRODUCT_DIM_CTE}
+SELECT product_id AS asin, title, category, price, stars, reviews, p.p_brand AS brand,
+       CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS timestamp
+FROM dim JOIN part p ON dim.product_id = CAST(p.p_partkey AS VARCHAR)""")
+def q_json_document_products(spark, sf_dir):
+    """SRC2: products written as JSON array documents, read back multiLine with
+    the declared JSON product schema."""
+    from shoplens.plans.q_catalog import dimension
+    dim = dimension(spark, sf_dir)
+    brand = T.read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"]).select(
+        F.col("p_partkey").cast("string").alias("product_id"), F.col("p_brand").alias("brand"))
+    docs = dim.join(brand, "product_id").select(
+        F.col("product_id").alias("asin"), "title", "category", "price", "stars", "reviews", "brand")
+    path = _scratch(spark, sf_dir, "bronze/products_json")
+    W.write_json_documents(docs, path, rows_per_document=50_000)
+    return FS.read_json_documents(spark, path, schemas.JSON_PRODUCT)
+
+
+@register("source_fallback", f"WITH {Q.PRODUCT_DIM_CTE} SELECT * FROM dim")
+def q_source_fallback(spark, sf_dir):
+    """SRC3: the object-store copy is missing, so the local CSV copy is used."""
+    prod, cats = _write_catalogue_csv(spark, sf_dir)
+    missing = _scratch(spark, sf_dir, "object-store/does-not-exist")
+    products = FS.load_first(spark, [
+        lambda s: s.read.schema(schemas.PRODUCT_TEXT).parquet(missing),
+        lambda s: FS.read_csv(s, prod, schemas.PRODUCT_TEXT),
+    ])
+    return catalog.product_dimension(products, FS.read_csv(spark, cats, schemas.CATEGORY))
+
+
+@register("file_catalogue")
+def q_file_catalogue(spark, sf_dir):
+    """SRC4 + SRC5: catalogue of the written CSV files, largest first."""
+    prod, _ = _write_catalogue_csv(spark, sf_dir)
+    cat = FS.file_catalogue(spark, os.path.dirname(prod) + "/*", "*.csv")
+    return cat.orderBy(F.desc("length"), F.asc("path"))
