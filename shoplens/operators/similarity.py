@@ -35,21 +35,27 @@ DENSE_CHUNK = 2048                 # hot items per dense matrix product
 OUT_SCHEMA = "entity string, neighbour string, similarity double, common long"
 
 
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({"entity": pd.Series([], dtype=object), "neighbour": pd.Series([], dtype=object),
+                         "similarity": pd.Series([], dtype="float64"),
+                         "common": pd.Series([], dtype="int64")})
+
+
 def _local_topk(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd.DataFrame:
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    ent = pdf["entity"].to_numpy()
-    item_codes, _ = pd.factorize(pdf["item"], sort=False)
+    ent = pdf["entity"].to_numpy(dtype=object)
+    item_codes, _ = pd.factorize(pdf["item"].to_numpy(dtype=object), sort=False)
     blk = pdf["blk"].to_numpy()
     sides = []
     for b in ((lo,) if lo == hi else (lo, hi)):
         m = blk == b
         codes, names = pd.factorize(ent[m], sort=True)
-        sides.append((codes, names, item_codes[m]))
+        sides.append((codes, np.asarray(names, dtype=object), item_codes[m]))
     a_codes, a_names, a_items = sides[0]
     b_codes, b_names, b_items = sides[-1]
     na, nbb = len(a_names), len(b_names)
     if na == 0 or nbb == 0:
-        return pd.DataFrame({c: [] for c in ["entity", "neighbour", "similarity", "common"]})
+        return _empty()
     size_a = np.bincount(a_codes, minlength=na).astype(np.int64)
     size_b = np.bincount(b_codes, minlength=nbb).astype(np.int64)
     n_items = int(item_codes.max()) + 1
@@ -119,7 +125,7 @@ def _local_topk(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd
             out.append(pd.DataFrame({"entity": b_names[c2[keep]], "neighbour": a_names[r2[keep]],
                                      "similarity": s2[keep], "common": m2[keep]}))
     if not out:
-        return pd.DataFrame({c: [] for c in ["entity", "neighbour", "similarity", "common"]})
+        return _empty()
     res = pd.concat(out, ignore_index=True)
     res["common"] = res["common"].astype("int64")
     return res

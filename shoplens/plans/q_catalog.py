@@ -34,6 +34,7 @@ def q_trending_products(spark, sf_dir):
 
 @register("trending_products_day", _trending_sql(1, 20))
 def q_trending_products_day(spark, sf_dir):
+    """TRD1 + TOP2 for a one-day period, top 20."""
     return trending.trending_products(T.actions(spark, sf_dir), dimension(spark, sf_dir), "day", 20)
 
 

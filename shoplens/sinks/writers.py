@@ -72,6 +72,7 @@ def write_json_documents(df: DataFrame, path: str, rows_per_document: int = 100_
     n = df.count()
     buckets = max(1, -(-n // rows_per_document))
     cols = df.columns
-    docs = (df.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
-            .groupBy("_b").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value")))
-    docs.select("value").write.mode("overwrite").text(path)
+    docs = (df.withColumn("doc", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+            .groupBy("doc").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value")))
+    # one folder per document: a multiLine JSON file holds exactly one value
+    docs.write.mode("overwrite").partitionBy("doc").text(path)

@@ -24,7 +24,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC2: files that each hold one JSON array of objects (multiLine)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    return df.select(*[f.name for f in df.schema.fields if f.name != "doc"])
 
 
 def load_first(spark: SparkSession, candidates: list) -> DataFrame:
@@ -61,6 +62,11 @@ def largest_file(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(F.desc("length"), F.asc("path")).limit(1)
 
 
+# Java charset names of the encodings Spark's CSV reader accepts; cp1252 has
+# none, and is never reached anyway because latin-1 decodes any byte.
+JAVA_CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """SRC6: UTF-8 first; Spark does not fail on bad bytes but inserts U+FFFD,
     so a first pass looks for it and, if present, the file is read as the next
@@ -68,7 +74,9 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = N
     (latin-1 always decodes)."""
     df = None
     for enc in C.ENCODINGS:
-        df = read_csv(spark, path, schema, encoding=enc)
+        if enc not in JAVA_CHARSETS:
+            continue
+        df = read_csv(spark, path, schema, encoding=JAVA_CHARSETS[enc])
         text_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
         if not text_cols:
             return df
