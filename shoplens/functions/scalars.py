@@ -16,7 +16,8 @@ __all__ = [
     "quality_score", "action_weight", "review_length", "rating_actions",
     "interaction_confidence", "neighbour_confidence", "als_confidence", "predicted_rating",
     "reason_text", "event_priority", "is_stream_trigger", "is_api_trigger", "metric_alert",
-    "non_empty_metadata_count", "whitespace_tokens", "cents", "money_mean",
+    "non_empty_metadata_count", "whitespace_tokens", "cents", "money_mean", "sentiment_counts",
+    "sentiment_from_counts",
 ]
 
 
@@ -56,6 +57,34 @@ def whitespace_tokens(text) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+")))
 
 
+def sentiment_counts(text) -> Column:
+    """Word-list hits of a review: struct(has, pos, neg, tokens).
+
+    Kept as one column so the 27 substring tests run once per row; tokens are
+    counted only when there is a hit (the only case that needs them).
+    """
+    lower = F.lower(_col(text))
+    pos = sum((F.when(F.contains(lower, F.lit(w)), 1).otherwise(0) for w in C.POSITIVE_WORDS),
+              F.lit(0))
+    neg = sum((F.when(F.contains(lower, F.lit(w)), 1).otherwise(0) for w in C.NEGATIVE_WORDS),
+              F.lit(0))
+    return F.struct(pos.alias("pos"), neg.alias("neg"),
+                    F.when(pos + neg > 0, whitespace_tokens(text)).alias("tokens"))
+
+
+def sentiment_from_counts(counts) -> Column:
+    """SCL1 from ``sentiment_counts``: same result as ``sentiment``."""
+    c = _col(counts)
+    pos, neg, tokens = c["pos"], c["neg"], c["tokens"]
+    hits = pos + neg
+    has = F.coalesce(hits > 0, F.lit(False))
+    score = F.when(has, round_half_up(pos / hits, 3)).otherwise(F.lit(0.5))
+    conf = F.when(has & (tokens > 0), round_half_up(hits / tokens, 3)).otherwise(F.lit(0.0))
+    return F.struct(score.alias("score"), conf.alias("confidence"),
+                    F.when(has, pos).alias("positive_words"),
+                    F.when(has, neg).alias("negative_words"))
+
+
 def sentiment(text) -> Column:
     """SCL1: word-list sentiment of a review.
 

@@ -88,11 +88,16 @@ def review_events(rows: DataFrame, source_name: str, index_col: str,
 
 
 def enrich_reviews(reviews: DataFrame) -> DataFrame:
-    """STR1 (reviews): sentiment, length, recommendation weight, quality score."""
-    return reviews.select(
-        "*",
+    """STR1 (reviews): sentiment, length, recommendation weight, quality score.
+
+    The word hits are computed in their own column first (one pass of the
+    substring tests per row), then turned into the sentiment struct.
+    """
+    staged = reviews.withColumn("_sentiment_counts", S.sentiment_counts("review_text"))
+    return staged.select(
+        *reviews.columns,
         F.current_timestamp().cast("timestamp_ntz").alias("processed_at"),
-        S.sentiment("review_text").alias("sentiment_analysis"),
+        S.sentiment_from_counts("_sentiment_counts").alias("sentiment_analysis"),
         S.review_length("review_text").alias("review_length"),
         S.recommendation_weight("rating", "review_text").alias("recommendation_weight"),
         S.quality_score("rating", "review_text", "metadata").alias("quality_score"),

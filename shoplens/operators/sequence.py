@@ -1,10 +1,13 @@
 """Global 1-based sequence numbers without funnelling rows through one task.
 
 ``row_number() over (order by ...)`` with no partition moves every row into a
-single partition.  Here the rows are range-partitioned by the sort (a
-distributed sort), each row gets its partition id and its position inside the
-partition, and a tiny per-partition count table (one row per partition, a
-proven bound) gives each partition its starting offset.
+single partition.  Here the rows are range-partitioned by a distributed sort,
+each row records its partition id and its position inside the partition, and
+that tagged result is checkpointed (a reliable checkpoint in the shared
+``spark.checkpoint.dir``) so the numbering is fixed once: re-planning the sort
+could otherwise pick other range bounds or another AQE partition coalescing for
+the count than for the rows.  A tiny per-partition count table (one row per
+partition, a proven bound) then gives each partition its starting offset.
 """
 
 from __future__ import annotations
@@ -12,22 +15,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.session import ensure_checkpoint_dir
+
 
 def with_global_sequence(df: DataFrame, order_cols: list, name: str = "seq") -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order ``order_cols``.
 
     The order columns must form a unique key so the numbering is deterministic.
+    Runs one job (the sort + checkpoint) when called.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside a partition: the low 33 bits of monotonically_increasing_id
-    tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    tagged = (tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+              .drop("_mid").checkpoint(eager=True))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a bounded table, safe to order globally and broadcast
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = (tagged.join(F.broadcast(offsets), "_pid")
-           .withColumn(name, F.col("_off") + F.col("_pos") + F.lit(1))
-           .drop("_pid", "_mid", "_pos", "_off"))
-    return out
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_pos") + F.lit(1))
+            .drop("_pid", "_pos", "_off"))

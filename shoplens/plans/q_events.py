@@ -50,12 +50,13 @@ FROM reviews""")
 def q_review_enriched(spark, sf_dir):
     """STR1 review enrichment: SCL1, SCL2, SCL3, SCL5, PRJ7."""
     ev = E.enrich_reviews(reviews(spark, sf_dir))
-    ev = E.with_processing_ids(ev, "csv_proc_", ["timestamp", "event_id"])
     s = F.col("sentiment_analysis")
-    return ev.select("event_id", "user_id", "product_id", "rating", "review_length",
-                     s.score.alias("sentiment_score"), s.confidence.alias("sentiment_confidence"),
-                     s.positive_words.alias("positive_words"), s.negative_words.alias("negative_words"),
-                     "recommendation_weight", "quality_score", "processing_id")
+    # project before numbering so the sort does not carry the review text
+    ev = ev.select("event_id", "timestamp", "user_id", "product_id", "rating", "review_length",
+                   s.score.alias("sentiment_score"), s.confidence.alias("sentiment_confidence"),
+                   s.positive_words.alias("positive_words"), s.negative_words.alias("negative_words"),
+                   "recommendation_weight", "quality_score")
+    return E.with_processing_ids(ev, "csv_proc_", ["timestamp", "event_id"]).drop("timestamp")
 
 
 _UDT1_SQL = f"""WITH {Q.REVIEWS_CTE},
