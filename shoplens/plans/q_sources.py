@@ -79,5 +79,5 @@ def q_source_fallback(spark, sf_dir):
 def q_file_catalogue(spark, sf_dir):
     """SRC4 + SRC5: catalogue of the written CSV files, largest first."""
     prod, _ = _write_catalogue_csv(spark, sf_dir)
-    cat = FS.file_catalogue(spark, os.path.dirname(prod) + "/*", "*.csv")
+    cat = FS.file_catalogue(spark, os.path.dirname(prod), "*.csv")
     return cat.orderBy(F.desc("length"), F.asc("path"))

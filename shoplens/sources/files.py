@@ -43,9 +43,11 @@ def load_first(spark: SparkSession, candidates: list) -> DataFrame:
 
 
 def file_catalogue(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """SRC4: path, file name, bytes and size in MB (2 places) of every file,
-    read as file metadata only (``content`` is never selected)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """SRC4: path, file name, bytes and size in MB (2 places) of every file
+    under ``folder`` (recursively, no partition inference), read as file
+    metadata only (``content`` is never selected)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", True).load(folder)
              .select("path", "length", "modificationTime"))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length",
                         (F.floor(F.col("length") / F.lit(1048576.0) * 100 + 0.5) / 100).alias("size_mb"),
