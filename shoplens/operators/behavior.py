@@ -82,7 +82,9 @@ def category_share(actions: DataFrame, dimension: DataFrame, days: int = 7) -> D
            .agg(F.count(F.lit(1)).alias("events"),
                 F.count_if(ts > cur).alias("current_events"),
                 F.count_if((ts > prev) & (ts <= cur)).alias("previous_events")))
-    total = per.select(F.sum("events")).scalar()
+    # one row per category (a bounded table): the total is a window over it,
+    # not a second pass over the events
+    total = F.sum("events").over(Window.partitionBy())
     return per.select(
         "category", "events",
         round_half_up(F.lit(100.0) * F.col("events") / total, 2).alias("share_pct"),

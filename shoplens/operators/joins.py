@@ -19,3 +19,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def lookup_small(small: DataFrame, big: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``small`` left-joined with ``big`` when ``small`` is a bounded top-k.
+
+    A broadcast hint on the preserved side of a left join is ignored, so the
+    big side would be shuffled.  Instead ``big`` is first cut to the keys of
+    ``small`` by an inner join that builds ``small`` (big is only streamed),
+    and the result -- at most one row per key of ``small`` when ``key`` is
+    unique in ``big`` -- is broadcast into the left join.
+    """
+    keys = F.broadcast(small.select(key).distinct())
+    hits = big.select(key, *cols).join(keys, key)
+    return small.join(F.broadcast(hits), key, "left")

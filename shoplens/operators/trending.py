@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shoplens import constants as C
 from shoplens.functions.scalars import action_weight, round_half_up
-from shoplens.operators.joins import checked_broadcast
+from shoplens.operators.joins import lookup_small
 
 
 def period_days(period: str) -> int:
@@ -75,9 +75,8 @@ def trending_products(actions: DataFrame, dimension: DataFrame, period: str = "w
     limit = check_limit("trending", limit)
     scores = trend_scores(actions, period)
     top = scores.orderBy(F.desc("trend_score"), F.asc("product_id")).limit(limit)
-    dim = dimension.select("product_id", "title", "category", "price")
-    # the top-k side is bounded by ``limit`` rows
-    return (F.broadcast(top).join(dim, "product_id", "left")
+    # the top-k side is bounded by ``limit`` rows; the dimension is only streamed
+    return (lookup_small(top, dimension, "product_id", ["title", "category", "price"])
             .select("product_id", "title", "category", "price", "trend_score", "raw_score",
                     "growth_rate", "views_today"))
 
