@@ -53,7 +53,10 @@ def train(ratings: DataFrame, user_col: str = "user_id", item_col: str = "asin",
                        F.col(rating_col).cast("float").alias("rating"))
     ui = id_index(r, user_col, "user_idx")
     ii = id_index(r, item_col, "item_idx")
-    idx = r.join(ui, user_col).join(ii, item_col).select("user_idx", "item_idx", "rating")
+    # the indexed ratings are read by the split, every ALS pass and the holdout
+    # scoring: materialise them once in the shared checkpoint folder
+    idx = (r.join(ui, user_col).join(ii, item_col).select("user_idx", "item_idx", "rating")
+           .checkpoint(eager=True))
     tr, te = idx.randomSplit([train_fraction, 1 - train_fraction], seed=seed)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg_param, userCol="user_idx", itemCol="item_idx",
               ratingCol="rating", coldStartStrategy="drop", implicitPrefs=implicit, seed=seed)

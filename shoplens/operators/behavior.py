@@ -218,8 +218,8 @@ def window_metrics(events: DataFrame, window: str = "1 hour", approx: bool = Fal
     average order value exceeds ``threshold``."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
     a = F.col("action")
-    seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(
-        F.col("w.start").cast("timestamp"))
+    # local-time window bounds: the length does not depend on the session zone
+    seconds = F.expr("timestampdiff(SECOND, w.start, w.end)")
     g = events.groupBy(F.window("timestamp", window).alias("w")).agg(
         distinct("user_id").alias("active_users"), F.count(F.lit(1)).alias("events"),
         F.count_if(a == "view").alias("views"), F.count_if(a == "purchase").alias("purchases"),

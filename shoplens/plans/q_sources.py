@@ -8,6 +8,7 @@ data that grows with the inputs.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,13 +22,17 @@ from shoplens.sources import files as FS
 from shoplens.sources import tables as T
 
 
-def _scratch(spark, sf_dir, name):
-    return scratch_path(spark, os.path.join(os.path.basename(os.path.normpath(sf_dir)), name))
+def _scratch(spark, sf_dir, name, run=None):
+    """A per-call folder under the shared checkpoint folder, so a lazily read
+    result of one call is never overwritten by another call."""
+    run = run or uuid.uuid4().hex[:12]
+    return scratch_path(spark, os.path.join(os.path.basename(os.path.normpath(sf_dir)), run, name))
 
 
-def _write_catalogue_csv(spark, sf_dir):
-    prod = _scratch(spark, sf_dir, "bronze/products_csv")
-    cats = _scratch(spark, sf_dir, "bronze/categories_csv")
+def _write_catalogue_csv(spark, sf_dir, run=None):
+    run = run or uuid.uuid4().hex[:12]
+    prod = _scratch(spark, sf_dir, "bronze/products_csv", run)
+    cats = _scratch(spark, sf_dir, "bronze/categories_csv", run)
     W.write_csv_sample(T.products_raw(spark, sf_dir), prod)
     W.write_csv_sample(T.categories_raw(spark, sf_dir), cats)
     return prod, cats
@@ -37,10 +42,11 @@ def _write_catalogue_csv(spark, sf_dir):
 def q_csv_catalogue_etl(spark, sf_dir):
     """SRC1 + SNK5 + PRJ1/PRJ2/JN1 + SNK1: the catalogue ETL from CSV files
     (bronze) to the written gold dimension, read back."""
-    prod, cats = _write_catalogue_csv(spark, sf_dir)
+    run = uuid.uuid4().hex[:12]
+    prod, cats = _write_catalogue_csv(spark, sf_dir, run)
     products = FS.read_csv(spark, prod, schemas.PRODUCT_TEXT)
     categories = FS.read_csv(spark, cats, schemas.CATEGORY)
-    gold = _scratch(spark, sf_dir, "gold/products_dimension")
+    gold = _scratch(spark, sf_dir, "gold/products_dimension", run)
     W.write_table(catalog.product_dimension(products, categories), gold, "parquet")
     return spark.read.parquet(gold)
 
@@ -66,8 +72,9 @@ def q_json_document_products(spark, sf_dir):
 @register("source_fallback", f"WITH {Q.PRODUCT_DIM_CTE} SELECT * FROM dim")
 def q_source_fallback(spark, sf_dir):
     """SRC3: the object-store copy is missing, so the local CSV copy is used."""
-    prod, cats = _write_catalogue_csv(spark, sf_dir)
-    missing = _scratch(spark, sf_dir, "object-store/does-not-exist")
+    run = uuid.uuid4().hex[:12]
+    prod, cats = _write_catalogue_csv(spark, sf_dir, run)
+    missing = _scratch(spark, sf_dir, "object-store/does-not-exist", run)
     products = FS.load_first(spark, [
         lambda s: s.read.schema(schemas.PRODUCT_TEXT).parquet(missing),
         lambda s: FS.read_csv(s, prod, schemas.PRODUCT_TEXT),
