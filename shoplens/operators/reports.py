@@ -51,3 +51,24 @@ def analytics_document(reviews: DataFrame, interactions: DataFrame, user_profile
         base = base.withColumn("recommendation_analytics",
                                _one_row_struct(recommendation_analytics(recommendations)))
     return base
+
+
+def behaviour_report(actions: DataFrame, dimension: DataFrame, regions: DataFrame) -> DataFrame:
+    """RPT3: one-row user-behaviour document: action counts, funnel, user
+    counts, category shares, peak hours and top regions (each part a small
+    aggregate; the lists are bounded by categories, hours and regions)."""
+    from shoplens.operators import behavior as B
+    counts = B.action_counts(actions)
+    funnel = B.conversion_funnel(actions)
+    users = B.user_counts(actions)
+    share = B.category_share(actions, dimension)
+    peaks = B.peak_hours(actions, 3).withColumn("_o", -F.col("events"))
+    regions_top = B.region_ranking(actions, regions, 3).withColumn("_o", -F.col("events"))
+    return counts.select(
+        F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
+        F.struct(*counts.columns).alias("action_counts"),
+        _one_row_struct(funnel).alias("conversion_funnel"),
+        _one_row_struct(users).alias("user_counts"),
+        _top_array(share.withColumn("_o", -F.col("events")), ["_o", "category"]).alias("category_share"),
+        _top_array(peaks, ["_o", "hour"]).alias("peak_hours"),
+        _top_array(regions_top, ["_o", "region"]).alias("top_regions"))

@@ -222,3 +222,10 @@ FROM g""")
 def q_window_metrics(spark, sf_dir):
     """STR2 (batch form): hourly tumbling-window metrics with the SCL13 alert."""
     return B.window_metrics(T.events_with_value(spark, sf_dir), "1 hour")
+
+
+@register("behaviour_report")
+def q_behaviour_report(spark, sf_dir):
+    """RPT3: the one-row user-behaviour document."""
+    from shoplens.operators.reports import behaviour_report
+    return behaviour_report(_acts(spark, sf_dir), dimension(spark, sf_dir), T.customer_regions(spark, sf_dir))

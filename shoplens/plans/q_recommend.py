@@ -250,3 +250,18 @@ def q_embedding_neighbours(spark, sf_dir):
     from shoplens.operators.similarity import top_k_cosine_vectors
     emb = T.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return top_k_cosine_vectors(emb, "vec_id", "embedding", 5)
+
+
+@register("recommendation_feed", f"""{_RECS}, {Q.PRODUCT_DIM_CTE},
+{Q.popularity_cte('pop')},
+{Q.fill_cte('allrecs', 'sets', 'sets_recs', 'sets', 'pop')}
+SELECT user_id, product_id, source, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS stream_id
+FROM allrecs""")
+def q_recommendation_feed(spark, sf_dir):
+    """STR8 (batch form): each user's recommendation feed numbered by stream_id."""
+    from shoplens.streaming.jobs import recommendation_feed
+    s = sets(spark, sf_dir)
+    recs = RC.neighbour_recommendations(s, RC.user_neighbours(s))
+    pop = RC.popularity(T.actions(spark, sf_dir), dimension(spark, sf_dir))
+    feed = recommendation_feed(RC.fill_with_popular(s.select("user_id"), recs, s, pop))
+    return feed.select("user_id", "product_id", "source", "stream_id")
