@@ -1,4 +1,4 @@
-"""Exact all-pairs top-k set similarity (Jaccard or cosine) without pair rows.
+"""Exact all-pairs top-k set similarity (Jaccard or cosine) without pair explosion.
 
 The classic Spark form -- self-join the (entity, item) table on ``item`` and
 count per pair -- emits every pair of entities that share an item, so a
@@ -7,16 +7,20 @@ popular item shared by n entities alone produces n^2 rows.  Here:
 1. Entities are hashed into ``nb`` blocks (``nb`` from the entity count and a
    block budget).  Each (entity, item) row is replicated once per partner
    block with ``explode(sequence(...))`` -- no join, replication factor ``nb``.
-2. Each block pair is one ``applyInPandas`` group.  Inside the task the
-   intersection sizes are counted with numpy: dense matrix products for items
-   that many entities of the two blocks share, a bounded sparse expansion for
-   the rest.  Only each entity's local top-k (by similarity desc, neighbour
-   asc, above the threshold) leaves the task.
-3. A final ``row_number() <= k`` per entity over at most ``nb * k`` candidates
-   gives the exact global top-k (the global top-k under a total order is
-   contained in the union of the local top-k under the same order).
-
-Cost: one shuffle of ``nb`` x the input, one small shuffle of candidates.
+   Each row carries its entity's set size (joined in beforehand).
+2. A block pair whose rows fit the row budget is one ``applyInPandas`` group:
+   intersection sizes are counted with numpy (dense matrix products for items
+   many entities of the pair share, a bounded sparse expansion for the rest)
+   and only each entity's local top-k (similarity desc, neighbour asc, above
+   the threshold) leaves the task.
+3. A heavier block pair -- e.g. one holding a hot entity with a third of all
+   rows -- is split further by item hash into ``parts`` groups, so no task
+   holds more than about the budget.  Each part emits partial intersection
+   counts of its entity pairs; they are summed per pair by an aggregate and
+   turned into similarities there.
+4. A final ``row_number() <= k`` per entity over the candidates gives the
+   exact global top-k (the global top-k under a total order is contained in
+   the union of the local top-k under the same order).
 """
 
 from __future__ import annotations
@@ -29,41 +33,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ENTITIES = 4096      # entities per block: a block-pair count matrix is 4096^2
+DEFAULT_GROUP_ROWS = 4_000_000     # rows one kernel task may hold before a block pair is split
 HOT_ITEM_PAIRS = 4096              # items with more member pairs than this use the dense path
 DENSE_CHUNK = 2048                 # hot items per dense matrix product
 
-OUT_SCHEMA = "entity string, neighbour string, similarity double, common long"
+OUT_SCHEMA = ("entity string, neighbour string, similarity double, common long, "
+              "size_a long, size_b long, partial boolean")
+OUT_COLUMNS = ["entity", "neighbour", "similarity", "common", "size_a", "size_b", "partial"]
 
 
 def _empty() -> pd.DataFrame:
     return pd.DataFrame({"entity": pd.Series([], dtype=object), "neighbour": pd.Series([], dtype=object),
                          "similarity": pd.Series([], dtype="float64"),
-                         "common": pd.Series([], dtype="int64")})
+                         "common": pd.Series([], dtype="int64"), "size_a": pd.Series([], dtype="int64"),
+                         "size_b": pd.Series([], dtype="int64"), "partial": pd.Series([], dtype=bool)})
 
 
-def _local_topk(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd.DataFrame:
-    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    ent = pdf["entity"].to_numpy(dtype=object)
-    item_codes, _ = pd.factorize(pdf["item"].to_numpy(dtype=object), sort=False)
-    blk = pdf["blk"].to_numpy()
-    sides = []
-    for b in ((lo,) if lo == hi else (lo, hi)):
-        m = blk == b
-        codes, names = pd.factorize(ent[m], sort=True)
-        sides.append((codes, np.asarray(names, dtype=object), item_codes[m]))
-    a_codes, a_names, a_items = sides[0]
-    b_codes, b_names, b_items = sides[-1]
-    na, nbb = len(a_names), len(b_names)
-    if na == 0 or nbb == 0:
-        return _empty()
-    size_a = np.bincount(a_codes, minlength=na).astype(np.int64)
-    size_b = np.bincount(b_codes, minlength=nbb).astype(np.int64)
-    n_items = int(item_codes.max()) + 1
+def _similarity(common, size_a, size_b, measure: str):
+    """Similarity from intersection and set sizes (numpy or Spark columns)."""
+    if measure == "jaccard":
+        return common / (size_a + size_b - common)
+    if isinstance(common, np.ndarray):
+        return common / np.sqrt(size_a.astype(np.float64) * size_b)
+    return common / F.sqrt(size_a * size_b)
+
+
+def _intersections(a_codes, a_items, na, b_codes, b_items, nbb, n_items):
+    """Intersection sizes between the entities of two sides (int64 matrix)."""
     fa = np.bincount(a_items, minlength=n_items)
     fb = np.bincount(b_items, minlength=n_items)
     hot = (fa.astype(np.int64) * fb) > HOT_ITEM_PAIRS
     common = np.zeros((na, nbb), dtype=np.int64)
-    # dense path: items shared by many entities of both blocks
+    # dense path: items shared by many entities of both sides
     hot_ids = np.flatnonzero(hot)
     for start in range(0, len(hot_ids), DENSE_CHUNK):
         chunk = hot_ids[start:start + DENSE_CHUNK]
@@ -94,70 +95,118 @@ def _local_topk(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd
             rep_b = be[offs]
             flat = np.bincount(rep_a * nbb + rep_b, minlength=na * nbb)
             common += flat.reshape(na, nbb)
-    if measure == "jaccard":
-        denom = size_a[:, None] + size_b[None, :] - common
-    else:
-        denom = np.sqrt(size_a[:, None].astype(np.float64) * size_b[None, :])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sim = np.where(common > 0, common / denom, 0.0)
-    valid = (common > 0) & (sim > threshold)
+    return common
+
+
+def _topk_rows(r, c, s, cm, row_names, col_names, row_sizes, col_sizes, k):
+    """Per row entity, the k best (similarity desc, neighbour asc) of (r, c)."""
+    order = np.lexsort((c, -s, r))
+    r1, c1, s1, m1 = r[order], c[order], s[order], cm[order]
+    first = np.r_[True, r1[1:] != r1[:-1]]
+    grp_start = np.maximum.accumulate(np.where(first, np.arange(len(r1)), 0))
+    keep = (np.arange(len(r1)) - grp_start) < k
+    return pd.DataFrame({"entity": row_names[r1[keep]], "neighbour": col_names[c1[keep]],
+                         "similarity": s1[keep], "common": m1[keep],
+                         "size_a": row_sizes[r1[keep]], "size_b": col_sizes[c1[keep]],
+                         "partial": np.zeros(int(keep.sum()), dtype=bool)})
+
+
+def _block_pair(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd.DataFrame:
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    parts = int(pdf["parts"].iloc[0])
+    ent = pdf["entity"].to_numpy(dtype=object)
+    item_codes, _ = pd.factorize(pdf["item"].to_numpy(dtype=object), sort=False)
+    blk = pdf["blk"].to_numpy()
+    sizes = pdf["n"].to_numpy(dtype=np.int64)
+    sides = []
+    for b in ((lo,) if lo == hi else (lo, hi)):
+        m = blk == b
+        codes, names = pd.factorize(ent[m], sort=True)
+        side_sizes = np.zeros(len(names), dtype=np.int64)
+        side_sizes[codes] = sizes[m]
+        sides.append((codes, np.asarray(names, dtype=object), item_codes[m], side_sizes))
+    a_codes, a_names, a_items, a_sizes = sides[0]
+    b_codes, b_names, b_items, b_sizes = sides[-1]
+    na, nbb = len(a_names), len(b_names)
+    if na == 0 or nbb == 0:
+        return _empty()
+    common = _intersections(a_codes, a_items, na, b_codes, b_items, nbb, int(item_codes.max()) + 1)
     if lo == hi:
-        np.fill_diagonal(valid, False)
-    out = []
-    r, c = np.nonzero(valid)
-    if len(r):
-        s = sim[r, c]
-        cm = common[r, c]
-        # rows of block a: rank neighbours in block b (neighbour names sorted => code order = name order)
-        order = np.lexsort((c, -s, r))
-        r1, c1, s1, m1 = r[order], c[order], s[order], cm[order]
-        first = np.r_[True, r1[1:] != r1[:-1]]
-        grp_start = np.maximum.accumulate(np.where(first, np.arange(len(r1)), 0))
-        keep = (np.arange(len(r1)) - grp_start) < k
-        out.append(pd.DataFrame({"entity": a_names[r1[keep]], "neighbour": b_names[c1[keep]],
-                                 "similarity": s1[keep], "common": m1[keep]}))
+        np.fill_diagonal(common, 0)
+    r, c = np.nonzero(common > 0)
+    cm = common[r, c]
+    if parts > 1:
+        # partial counts over one item part: summed per pair downstream
+        out = [pd.DataFrame({"entity": a_names[r], "neighbour": b_names[c], "similarity": np.nan,
+                             "common": cm, "size_a": a_sizes[r], "size_b": b_sizes[c],
+                             "partial": np.ones(len(r), dtype=bool)})]
         if lo != hi:
-            order = np.lexsort((r, -s, c))
-            r2, c2, s2, m2 = r[order], c[order], s[order], cm[order]
-            first = np.r_[True, c2[1:] != c2[:-1]]
-            grp_start = np.maximum.accumulate(np.where(first, np.arange(len(c2)), 0))
-            keep = (np.arange(len(c2)) - grp_start) < k
-            out.append(pd.DataFrame({"entity": b_names[c2[keep]], "neighbour": a_names[r2[keep]],
-                                     "similarity": s2[keep], "common": m2[keep]}))
-    if not out:
+            out.append(pd.DataFrame({"entity": b_names[c], "neighbour": a_names[r], "similarity": np.nan,
+                                     "common": cm, "size_a": b_sizes[c], "size_b": a_sizes[r],
+                                     "partial": np.ones(len(r), dtype=bool)}))
+        return pd.concat(out, ignore_index=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = _similarity(cm, a_sizes[r], b_sizes[c], measure)
+    keep = s > threshold
+    r, c, s, cm = r[keep], c[keep], s[keep], cm[keep]
+    if not len(r):
         return _empty()
-    res = pd.concat(out, ignore_index=True)
-    res["common"] = res["common"].astype("int64")
-    return res
+    out = [_topk_rows(r, c, s, cm, a_names, b_names, a_sizes, b_sizes, k)]
+    if lo != hi:
+        out.append(_topk_rows(c, r, s, cm, b_names, a_names, b_sizes, a_sizes, k))
+    return pd.concat(out, ignore_index=True)
 
 
 def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str = "jaccard",
-                  threshold: float = 0.0, block_entities: int = DEFAULT_BLOCK_ENTITIES) -> DataFrame:
+                  threshold: float = 0.0, block_entities: int = DEFAULT_BLOCK_ENTITIES,
+                  group_rows: int = DEFAULT_GROUP_ROWS) -> DataFrame:
     """Top-``k`` most similar entities per entity by their item sets.
 
-    Returns (entity, neighbour, similarity, common, rank) with rank 1..k,
-    ordered by similarity desc then neighbour asc; only pairs with
-    similarity > ``threshold`` (and at least one common item) qualify.
+    Returns (entity, neighbour_<entity>, similarity, common, rank) with rank
+    1..k, ordered by similarity desc then neighbour asc; only pairs with
+    similarity > ``threshold`` and at least one common item qualify.
     """
     if measure not in ("jaccard", "cosine"):
         raise ValueError("measure must be 'jaccard' or 'cosine'")
     sets = (pairs.select(F.col(entity).cast("string").alias("entity"),
                          F.col(item).cast("string").alias("item"))
             .where(F.col("entity").isNotNull() & F.col("item").isNotNull()).distinct())
-    n_entities = sets.select(F.count_distinct("entity")).first()[0]
+    sizes = sets.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    n_entities = sizes.count()
     nb = max(1, math.ceil(n_entities / block_entities))
     blk = F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int")
-    rep = (sets.withColumn("blk", blk)
-           .withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    rows = sets.join(sizes, "entity").withColumn("blk", blk)
+    # rows per block: nb numbers (bounded by the block count) decide how many
+    # item parts each block pair is split into
+    per_block = {r["blk"]: r["rows"] for r in
+                 rows.groupBy("blk").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    spark = pairs.sparkSession
+    plan = [(lo, hi, max(1, math.ceil((per_block.get(lo, 0) + (per_block.get(hi, 0) if hi != lo else 0))
+                                      / group_rows)))
+            for lo in range(nb) for hi in range(lo, nb)]
+    parts_df = spark.createDataFrame(plan, "lo int, hi int, parts int")
+    rep = (rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
            .withColumn("lo", F.least("blk", "partner")).withColumn("hi", F.greatest("blk", "partner"))
-           .drop("partner"))
+           .drop("partner")
+           .join(F.broadcast(parts_df), ["lo", "hi"])
+           .withColumn("ip", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _local_topk(pdf, k, measure, threshold)
+        return _block_pair(pdf, k, measure, threshold)
 
-    local = rep.groupBy("lo", "hi").applyInPandas(kernel, OUT_SCHEMA)
+    local = rep.groupBy("lo", "hi", "ip").applyInPandas(kernel, OUT_SCHEMA)
+    complete = local.where(~F.col("partial")).select("entity", "neighbour", "similarity", "common")
+    summed = (local.where(F.col("partial"))
+              .groupBy("entity", "neighbour")
+              .agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"),
+                   F.first("size_b").alias("size_b")))
+    summed = (summed.withColumn("similarity", _similarity(F.col("common"), F.col("size_a"),
+                                                          F.col("size_b"), measure))
+              .where(F.col("similarity") > threshold)
+              .select("entity", "neighbour", "similarity", "common"))
     w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (complete.unionByName(summed).withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= k)
             .withColumnsRenamed({"entity": entity, "neighbour": "neighbour_" + entity}))
 
 

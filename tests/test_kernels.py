@@ -38,18 +38,36 @@ def test_top_k_similar_many_blocks_and_hot_items(spark):
         sets[f"u{u:02d}"] = items
     rows = [(u, i) for u, its in sets.items() for i in its]
     df = spark.createDataFrame(rows, "user string, item string")
-    for measure, thr in (("jaccard", 0.1), ("cosine", 0.0)):
-        got = top_k_similar(df, "user", "item", 4, measure, thr, block_entities=7)
+    for measure, thr, group_rows in (("jaccard", 0.1, 4_000_000), ("cosine", 0.0, 4_000_000),
+                                     ("jaccard", 0.1, 60), ("cosine", 0.0, 60)):
+        # group_rows=60 forces every block pair to be split by item hash
+        got = top_k_similar(df, "user", "item", 4, measure, thr, block_entities=7, group_rows=group_rows)
         res = {}
         for r in got.orderBy("user", "rank").collect():
             res.setdefault(r.user, []).append((r.neighbour_user, r.similarity))
         exp = brute_topk(sets, 4, measure, thr)
         for u in sets:
-            assert [v for v, _ in res.get(u, [])] == [v for v, _ in exp[u]], (measure, u)
+            assert [v for v, _ in res.get(u, [])] == [v for v, _ in exp[u]], (measure, group_rows, u)
             for (_, a), (_, b) in zip(res.get(u, []), exp[u]):
                 assert abs(a - b) < 1e-12
 
 
+def test_hot_entity_is_split(spark):
+    # one user holds far more rows than the group budget: its block pairs are split
+    rows = [("hot", f"i{j}") for j in range(300)] + [(f"u{u}", f"i{(u * 7 + j) % 300}")
+                                                       for u in range(20) for j in range(5)]
+    df = spark.createDataFrame(rows, "user string, item string")
+    got = top_k_similar(df, "user", "item", 3, "cosine", 0.0, block_entities=5, group_rows=50)
+    sets = {}
+    for u, i in rows:
+        sets.setdefault(u, set()).add(i)
+    exp = brute_topk(sets, 3, "cosine", 0.0)
+    res = {}
+    for r in got.orderBy("user", "rank").collect():
+        res.setdefault(r.user, []).append(r.neighbour_user)
+    assert res == {u: [v for v, _ in exp[u]] for u in exp if exp[u]}
+
+
 def test_cosine_vectors_brute_force(spark):
     rnd = random.Random(3)
     vecs = {i: [rnd.uniform(-1, 1) for _ in range(5)] for i in range(40)}
