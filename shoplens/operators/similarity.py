@@ -278,3 +278,57 @@ def top_k_cosine_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int,
     w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnsRenamed({"entity": id_col, "neighbour": "neighbour_" + id_col}))
+
+
+DOT_SCHEMA = "user long, item long, score double"
+
+
+def _local_top_dot(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    u = pdf[pdf["side"] == 0].sort_values("id", kind="stable")
+    it = pdf[pdf["side"] == 1].sort_values("id", kind="stable")
+    if not len(u) or not len(it):
+        return pd.DataFrame({"user": pd.Series([], dtype="int64"), "item": pd.Series([], dtype="int64"),
+                             "score": pd.Series([], dtype="float64")})
+    mu = np.vstack([np.asarray(v, dtype=np.float64) for v in u["vec"]])
+    mi = np.vstack([np.asarray(v, dtype=np.float64) for v in it["vec"]])
+    uid, iid = u["id"].to_numpy(), it["id"].to_numpy()
+    scores = mu @ mi.T
+    kk = min(k, len(iid))
+    # per user: the kk best items (score desc, item id asc)
+    r = np.repeat(np.arange(len(uid)), len(iid))
+    c = np.tile(np.arange(len(iid)), len(uid))
+    s = scores.ravel()
+    order = np.lexsort((iid[c], -s, r))
+    r, c, s = r[order], c[order], s[order]
+    pos = np.arange(len(r)) - np.repeat(np.arange(len(uid)) * len(iid), len(iid))
+    keep = pos < kk
+    return pd.DataFrame({"user": uid[r[keep]], "item": iid[c[keep]], "score": s[keep]})
+
+
+def top_k_dot_product(users: DataFrame, items: DataFrame, k: int,
+                      block_entities: int = DEFAULT_BLOCK_ENTITIES) -> DataFrame:
+    """Top-``k`` items per user by dot product of their factor vectors.
+
+    ``users`` and ``items`` have columns (id, vec).  Users and items are
+    hashed into blocks; each vector is replicated once per block of the other
+    side with ``explode(sequence)`` (no cross join), each (user block, item
+    block) group is one matrix product emitting its local top-k, and a final
+    ``row_number() <= k`` merges them (ties: item id).
+    """
+    nu = max(1, math.ceil(users.count() / block_entities))
+    ni = max(1, math.ceil(items.count() / block_entities))
+    u = users.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
+                     F.lit(0).alias("side"),
+                     F.pmod(F.xxhash64("id"), F.lit(nu)).cast("int").alias("ub"),
+                     F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
+    i = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
+                     F.lit(1).alias("side"),
+                     F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"),
+                     F.pmod(F.xxhash64("id"), F.lit(ni)).cast("int").alias("ib"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _local_top_dot(pdf, k)
+
+    local = u.unionByName(i).groupBy("ub", "ib").applyInPandas(kernel, DOT_SCHEMA)
+    w = Window.partitionBy("user").orderBy(F.desc("score"), F.asc("item"))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
