@@ -21,7 +21,6 @@ from shoplens import constants as C
 from shoplens.functions.scalars import als_confidence, round_half_up
 from shoplens.operators.sequence import with_global_sequence
 from shoplens.operators.similarity import top_k_cosine_vectors, top_k_dot_product
-from shoplens.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -35,11 +34,11 @@ class AlsResult:
 
 
 def id_index(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Dense 0-based int index of the distinct values of ``col`` (sorted)."""
+    """Dense 0-based int index of the distinct values of ``col`` (any order:
+    ALS only needs distinct ints, so no sort; the numbering is fixed by the
+    sequence's checkpoint)."""
     d = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
-    idx = with_global_sequence(d, [col], "_seq").select(col, (F.col("_seq") - 1).cast("int").alias(name))
-    ensure_checkpoint_dir(df.sparkSession)
-    return idx.checkpoint(eager=True)
+    return with_global_sequence(d, None, "_seq").select(col, (F.col("_seq") - 1).cast("int").alias(name))
 
 
 def train(ratings: DataFrame, user_col: str = "user_id", item_col: str = "asin",

@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 from shoplens.session import ensure_checkpoint_dir
 
 
-def with_global_sequence(df: DataFrame, order_cols: list, name: str = "seq") -> DataFrame:
+def with_global_sequence(df: DataFrame, order_cols: list | None, name: str = "seq") -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order ``order_cols``.
 
     The order columns must form a unique key so the numbering is deterministic.
-    Runs one job (the sort + checkpoint) when called.
+    With ``order_cols=None`` the rows keep their current partitioning and the
+    result is a dense numbering in no particular order (no sort; fixed by the
+    checkpoint).  Runs one job (the sort + checkpoint) when called.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order_cols)
+    base = df.orderBy(*order_cols) if order_cols else df
+    tagged = (base
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside a partition: the low 33 bits of monotonically_increasing_id

@@ -210,6 +210,31 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
             .withColumnsRenamed({"entity": entity, "neighbour": "neighbour_" + entity}))
 
 
+def _dense_row_topk(scores: np.ndarray, valid: np.ndarray, col_ids: np.ndarray, k: int):
+    """Top-k entries per row of a dense score matrix among ``valid`` cells,
+    ordered by score desc then column id asc.  Returns (rows, cols, scores).
+
+    ``np.partition`` finds each row's k-th best score in linear time; only the
+    cells at or above it (k per row, more only on ties) are sorted.
+    """
+    n_rows, n_cols = scores.shape
+    if n_rows == 0 or n_cols == 0:
+        e = np.array([], dtype=np.int64)
+        return e, e, np.array([], dtype=np.float64)
+    masked = np.where(valid, scores, -np.inf)
+    kk = min(k, n_cols)
+    kth = np.partition(masked, n_cols - kk, axis=1)[:, n_cols - kk]
+    cand = valid & (masked >= kth[:, None])
+    r, c = np.nonzero(cand)
+    s = scores[r, c]
+    order = np.lexsort((col_ids[c], -s, r))
+    r, c, s = r[order], c[order], s[order]
+    first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.array([], dtype=bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else r
+    keep = (np.arange(len(r)) - start) < k
+    return r[keep], c[keep], s[keep]
+
+
 VEC_SCHEMA = "entity long, neighbour long, similarity double"
 
 
@@ -237,19 +262,11 @@ def _local_topk_vectors(pdf: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
     valid = oka[:, None] & okb[None, :]
     if lo == hi:
         np.fill_diagonal(valid, False)
-    out = []
-    r, c = np.nonzero(valid)
-    s = sim[r, c]
-    for rows, cols, ids_r, ids_c in ((r, c, ida, idb), (c, r, idb, ida)):
-        order = np.lexsort((ids_c[cols], -s, rows))
-        rr, cc, ss = rows[order], cols[order], s[order]
-        first = np.r_[True, rr[1:] != rr[:-1]] if len(rr) else np.array([], dtype=bool)
-        gs = np.maximum.accumulate(np.where(first, np.arange(len(rr)), 0)) if len(rr) else rr
-        keep = (np.arange(len(rr)) - gs) < k
-        out.append(pd.DataFrame({"entity": ids_r[rr[keep]], "neighbour": ids_c[cc[keep]],
-                                 "similarity": ss[keep]}))
-        if lo == hi:
-            break
+    r, c, sv = _dense_row_topk(sim, valid, idb, k)
+    out = [pd.DataFrame({"entity": ida[r], "neighbour": idb[c], "similarity": sv})]
+    if lo != hi:
+        r, c, sv = _dense_row_topk(sim.T, valid.T, ida, k)
+        out.append(pd.DataFrame({"entity": idb[r], "neighbour": ida[c], "similarity": sv}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -293,16 +310,9 @@ def _local_top_dot(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     mi = np.vstack([np.asarray(v, dtype=np.float64) for v in it["vec"]])
     uid, iid = u["id"].to_numpy(), it["id"].to_numpy()
     scores = mu @ mi.T
-    kk = min(k, len(iid))
-    # per user: the kk best items (score desc, item id asc)
-    r = np.repeat(np.arange(len(uid)), len(iid))
-    c = np.tile(np.arange(len(iid)), len(uid))
-    s = scores.ravel()
-    order = np.lexsort((iid[c], -s, r))
-    r, c, s = r[order], c[order], s[order]
-    pos = np.arange(len(r)) - np.repeat(np.arange(len(uid)) * len(iid), len(iid))
-    keep = pos < kk
-    return pd.DataFrame({"user": uid[r[keep]], "item": iid[c[keep]], "score": s[keep]})
+    r, c, sv = _dense_row_topk(scores, np.ones(scores.shape, dtype=bool), iid, k)
+    return pd.DataFrame({"user": uid[r], "item": iid[c], "score": sv})
+
 
 
 def top_k_dot_product(users: DataFrame, items: DataFrame, k: int,
