@@ -42,12 +42,13 @@ SELECT r.user_id, r.rank, r.product_id, r.score,
        {Q.rhu('least(r.score, 1.0::DOUBLE)', 3)} AS confidence,
        CASE WHEN p.avg_rating IS NOT NULL AND p.avg_rating <> 0 THEN {Q.rhu('p.avg_rating', 2)}
             ELSE 4.0::DOUBLE END AS predicted_rating,
-       coalesce(p.reviews, 0) AS total_reviews, coalesce(p.unique_users, 0) AS unique_users
+       coalesce(p.reviews, 0) AS total_reviews, coalesce(p.unique_users, 0) AS unique_users,
+       'Similar users (similarity: ' || CAST({Q.rhu('r.score', 2)} AS VARCHAR) || ') liked this product'
+         AS reason
 FROM sets_recs r LEFT JOIN prof_product_id p ON r.product_id = p.product_id""")
 def q_user_recommendations(spark, sf_dir):
-    """REC3 + JN3 + WIN2 + JN4 + SCL8/SCL9: top-5 neighbour recommendations."""
-    r = RC.describe_recommendations(neighbour_recs(spark, sf_dir), products(spark, sf_dir))
-    return r.drop("reason")
+    """REC3 + JN3 + WIN2 + JN4 + SCL8-SCL10: top-5 neighbour recommendations."""
+    return RC.describe_recommendations(neighbour_recs(spark, sf_dir), products(spark, sf_dir))
 
 
 @register("recommendations_with_fallback", f"""{_RECS}, {Q.PRODUCT_DIM_CTE},
