@@ -176,20 +176,19 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
     nb = max(1, math.ceil(n_entities / block_entities))
     blk = F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int")
     rows = sets.join(sizes, "entity").withColumn("blk", blk)
-    # rows per block: nb numbers (bounded by the block count) decide how many
-    # item parts each block pair is split into
-    per_block = {r["blk"]: r["rows"] for r in
-                 rows.groupBy("blk").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    spark = pairs.sparkSession
-    plan = [(lo, hi, max(1, math.ceil((per_block.get(lo, 0) + (per_block.get(hi, 0) if hi != lo else 0))
-                                      / group_rows)))
-            for lo in range(nb) for hi in range(lo, nb)]
-    parts_df = spark.createDataFrame(plan, "lo int, hi int, parts int")
+    # rows per block: exactly nb rows (nb = entities / block size), broadcast to
+    # size every block pair; a pair is split into as many item parts as its
+    # rows need.  Nothing is collected to the driver.
+    per_block = F.broadcast(rows.groupBy("blk").agg(F.count(F.lit(1)).alias("blk_rows")))
+    partner_rows = per_block.withColumnsRenamed({"blk": "partner", "blk_rows": "partner_rows"})
     rep = (rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+           .join(per_block, "blk").join(partner_rows, "partner")
+           .withColumn("parts", F.greatest(F.lit(1), F.ceil(
+               (F.col("blk_rows") + F.when(F.col("partner") != F.col("blk"), F.col("partner_rows"))
+                .otherwise(F.lit(0))) / F.lit(float(group_rows)))).cast("int"))
            .withColumn("lo", F.least("blk", "partner")).withColumn("hi", F.greatest("blk", "partner"))
-           .drop("partner")
-           .join(F.broadcast(parts_df), ["lo", "hi"])
-           .withColumn("ip", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")))
+           .withColumn("ip", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+           .drop("partner", "blk_rows", "partner_rows"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         return _block_pair(pdf, k, measure, threshold)
