@@ -6,9 +6,10 @@ every step is a streaming DataFrame with checkpointed state:
 STR1  stateless enrichment (same column functions as batch)
 STR2  watermarked tumbling-window metrics
 STR3  session windows
-STR4  running user profiles: ``applyInPandasWithState`` keeps per-user counts,
-      the product set and the stale-average inputs; events of a micro-batch
-      are applied in arrival order
+STR4  running user profiles: ``transformWithStateInPandas`` keeps per-user
+      counters and the stale-average inputs in a value state and the seen
+      products in a map state (RocksDB); a micro-batch is applied in arrival
+      order
 STR5/STR6  ``foreachBatch`` side jobs: recommendations for the batch's users,
       analytics reports
 STR7  bounded runs with ``availableNow`` and ``maxFilesPerTrigger``
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shoplens.functions import scalars as S
 from shoplens.operators import behavior as B
@@ -89,46 +90,63 @@ def session_stream(stream: DataFrame, gap: str = "30 minutes", watermark: str =
 
 PROFILE_OUT = ("user_id string, reviews long, interactions long, products_count long, "
                "total_rating double, avg_rating double")
-PROFILE_STATE = ("reviews long, interactions long, total_rating double, avg_rating double, "
-                 "products array<string>")
-
-
-def _profile_update(key, batches: Iterator[pd.DataFrame], state):
-    (user,) = key
-    if state.exists:
-        reviews, interactions, total, avg, products = state.get
-        products = set(products or [])
-    else:
-        reviews, interactions, total, avg, products = 0, 0, 0.0, 0.0, set()
-    for pdf in batches:
-        pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
-        for kind, product, rating in zip(pdf["kind"], pdf["product_id"], pdf["rating_num"]):
-            if kind == "interaction":
-                interactions += 1
-                continue
-            reviews += 1
-            if rating is not None and not pd.isna(rating):
-                total += float(rating)
-                avg = total / reviews
-            if product:
-                products.add(product)
-    state.update((reviews, interactions, total, avg, sorted(products)))
-    yield pd.DataFrame({"user_id": [user], "reviews": [reviews], "interactions": [interactions],
-                        "products_count": [len(products)], "total_rating": [total],
-                        "avg_rating": [avg]})
+PROFILE_COUNTS = ("reviews long, interactions long, products long, total_rating double, "
+                  "avg_rating double")
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ProfileProcessor(StatefulProcessor):
+    """STR4 state per user: counters in a value state and the user's products
+    in a map state (one RocksDB entry per product, so a user with a huge
+    history never becomes one huge state value)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", PROFILE_COUNTS)
+        self.products = handle.getMapState("products", "product_id string", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        (user,) = key
+        if self.counts.exists():
+            reviews, interactions, n_products, total, avg = self.counts.get()
+        else:
+            reviews, interactions, n_products, total, avg = 0, 0, 0, 0.0, 0.0
+        for pdf in rows:
+            pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
+            for kind, product, rating in zip(pdf["kind"], pdf["product_id"], pdf["rating_num"]):
+                if kind == "interaction":
+                    interactions += 1
+                    continue
+                reviews += 1
+                if rating is not None and not pd.isna(rating):
+                    total += float(rating)
+                    avg = total / reviews          # the stale-average rule (AGG3)
+                if product and not self.products.containsKey((product,)):
+                    self.products.updateValue((product,), (True,))
+                    n_products += 1
+        self.counts.update((reviews, interactions, n_products, total, avg))
+        yield pd.DataFrame({"user_id": [user], "reviews": [reviews], "interactions": [interactions],
+                            "products_count": [n_products], "total_rating": [total],
+                            "avg_rating": [avg]})
+
+    def close(self) -> None:
+        pass
 
 
 def running_user_profiles(reviews: DataFrame, interactions: DataFrame) -> DataFrame:
-    """STR4: running user profiles (update mode).  Arrival order inside a
-    micro-batch is (timestamp, event_id); across batches it is batch order."""
+    """STR4: running user profiles (update mode) with ``transformWithStateInPandas``
+    on the RocksDB state store.  Arrival order inside a micro-batch is
+    (timestamp, event_id); across batches it is batch order."""
+    spark = reviews.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     rev = reviews.select("user_id", "product_id", "event_id", "timestamp",
                          S.rating_value("rating").alias("rating_num"), F.lit("review").alias("kind"))
     act = interactions.select("user_id", "product_id", "event_id", "timestamp",
                               F.lit(None).cast("double").alias("rating_num"),
                               F.lit("interaction").alias("kind"))
     ev = rev.unionByName(act).where(F.coalesce(F.col("user_id") != "", F.lit(False)))
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _profile_update, PROFILE_OUT, PROFILE_STATE, "update", GroupStateTimeout.NoTimeout)
+    return ev.groupBy("user_id").transformWithStateInPandas(
+        ProfileProcessor(), PROFILE_OUT, "Update", "None")
 
 
 def recommendation_feed(recs: DataFrame) -> DataFrame:
