@@ -98,19 +98,6 @@ def _intersections(a_codes, a_items, na, b_codes, b_items, nbb, n_items):
     return common
 
 
-def _topk_rows(r, c, s, cm, row_names, col_names, row_sizes, col_sizes, k):
-    """Per row entity, the k best (similarity desc, neighbour asc) of (r, c)."""
-    order = np.lexsort((c, -s, r))
-    r1, c1, s1, m1 = r[order], c[order], s[order], cm[order]
-    first = np.r_[True, r1[1:] != r1[:-1]]
-    grp_start = np.maximum.accumulate(np.where(first, np.arange(len(r1)), 0))
-    keep = (np.arange(len(r1)) - grp_start) < k
-    return pd.DataFrame({"entity": row_names[r1[keep]], "neighbour": col_names[c1[keep]],
-                         "similarity": s1[keep], "common": m1[keep],
-                         "size_a": row_sizes[r1[keep]], "size_b": col_sizes[c1[keep]],
-                         "partial": np.zeros(int(keep.sum()), dtype=bool)})
-
-
 def _block_pair(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd.DataFrame:
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
     parts = int(pdf["parts"].iloc[0])
@@ -145,15 +132,21 @@ def _block_pair(pdf: pd.DataFrame, k: int, measure: str, threshold: float) -> pd
                                      "common": cm, "size_a": b_sizes[c], "size_b": a_sizes[r],
                                      "partial": np.ones(len(r), dtype=bool)}))
         return pd.concat(out, ignore_index=True)
+    # unsplit pair: dense similarity matrix, linear-time top-k per row
+    # (codes follow sorted ids, so code order is the id tie-break order)
     with np.errstate(divide="ignore", invalid="ignore"):
-        s = _similarity(cm, a_sizes[r], b_sizes[c], measure)
-    keep = s > threshold
-    r, c, s, cm = r[keep], c[keep], s[keep], cm[keep]
-    if not len(r):
-        return _empty()
-    out = [_topk_rows(r, c, s, cm, a_names, b_names, a_sizes, b_sizes, k)]
-    if lo != hi:
-        out.append(_topk_rows(c, r, s, cm, b_names, a_names, b_sizes, a_sizes, k))
+        sim = _similarity(common, a_sizes[:, None], b_sizes[None, :], measure)
+    valid = (common > 0) & (sim > threshold)
+    out = []
+    for rows_m, valid_m, cm_m, rn, cn, rs, cs in (
+            (sim, valid, common, a_names, b_names, a_sizes, b_sizes),
+            (sim.T, valid.T, common.T, b_names, a_names, b_sizes, a_sizes)):
+        rr, cc, sv = _dense_row_topk(rows_m, valid_m, np.arange(rows_m.shape[1]), k)
+        out.append(pd.DataFrame({"entity": rn[rr], "neighbour": cn[cc], "similarity": sv,
+                                 "common": cm_m[rr, cc], "size_a": rs[rr], "size_b": cs[cc],
+                                 "partial": np.zeros(len(rr), dtype=bool)}))
+        if lo == hi:
+            break
     return pd.concat(out, ignore_index=True)
 
 
@@ -194,17 +187,18 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
         return _block_pair(pdf, k, measure, threshold)
 
     local = rep.groupBy("lo", "hi", "ip").applyInPandas(kernel, OUT_SCHEMA)
-    complete = local.where(~F.col("partial")).select("entity", "neighbour", "similarity", "common")
-    summed = (local.where(F.col("partial"))
-              .groupBy("entity", "neighbour")
-              .agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"),
-                   F.first("size_b").alias("size_b")))
-    summed = (summed.withColumn("similarity", _similarity(F.col("common"), F.col("size_a"),
-                                                          F.col("size_b"), measure))
-              .where(F.col("similarity") > threshold)
-              .select("entity", "neighbour", "similarity", "common"))
+    # one pass over the kernel output: a pair from an unsplit block pair arrives
+    # once (already above the threshold and among the local top-k); a pair from
+    # a split block pair arrives once per item part and is summed here
+    pairs_out = (local.groupBy("entity", "neighbour")
+                 .agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"),
+                      F.first("size_b").alias("size_b"))
+                 .withColumn("similarity", _similarity(F.col("common"), F.col("size_a"),
+                                                       F.col("size_b"), measure))
+                 .where(F.col("similarity") > threshold)
+                 .select("entity", "neighbour", "similarity", "common"))
     w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
-    return (complete.unionByName(summed).withColumn("rank", F.row_number().over(w))
+    return (pairs_out.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .withColumnsRenamed({"entity": entity, "neighbour": "neighbour_" + entity}))
 
