@@ -196,3 +196,11 @@ def to_topic_records(df: DataFrame, key_col: str, value_cols: list | None = None
     value_cols = value_cols or df.columns
     return df.select(F.col(key_col).cast("string").alias("key"),
                      F.to_json(F.struct(*value_cols)).alias("value"))
+
+
+def append_datasets(*frames: DataFrame) -> DataFrame:
+    """SET2: UNION ALL by column name; columns missing in a frame are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
