@@ -4,10 +4,13 @@ The classic Spark form -- self-join the (entity, item) table on ``item`` and
 count per pair -- emits every pair of entities that share an item, so a
 popular item shared by n entities alone produces n^2 rows.  Here:
 
-1. Entities are hashed into ``nb`` blocks (``nb`` from the entity count and a
-   block budget).  Each (entity, item) row is replicated once per partner
-   block with ``explode(sequence(...))`` -- no join, replication factor ``nb``.
-   Each row carries its entity's set size (joined in beforehand).
+1. Entities are put into ``nb`` blocks (``nb`` from the entity count and a
+   block budget): by hash, or -- for Jaccard with a threshold t -- in set-size
+   order, so that the exact length filter (J > t needs the smaller set to
+   exceed t times the larger) limits each block to a contiguous range of
+   partner blocks.  Each (entity, item) row is replicated once per partner
+   block with ``explode(sequence(...))`` -- no join.  Each row carries its
+   entity's set size.
 2. A block pair whose rows fit the row budget is one ``applyInPandas`` group:
    intersection sizes are counted with numpy (dense matrix products for items
    many entities of the pair share, a bounded sparse expansion for the rest)
@@ -167,21 +170,43 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
     sizes = sets.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     n_entities = sizes.count()
     nb = max(1, math.ceil(n_entities / block_entities))
-    blk = F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int")
-    rows = sets.join(sizes, "entity").withColumn("blk", blk)
-    # rows per block: exactly nb rows (nb = entities / block size), broadcast to
-    # size every block pair; a pair is split into as many item parts as its
-    # rows need.  Nothing is collected to the driver.
+    spark = pairs.sparkSession
+    if measure == "jaccard" and threshold > 0 and nb > 1:
+        # length filter (exact): J(a, b) > t needs min(|a|,|b|) > t * max(|a|,|b|).
+        # Blocks follow set size, and each block meets only the contiguous range
+        # of blocks whose sizes can qualify.
+        from shoplens.operators.sequence import with_global_sequence
+        ordered = with_global_sequence(sizes, ["n", "entity"], "pos")
+        blocks = ordered.select("entity", "n", F.floor((F.col("pos") - 1) / F.lit(block_entities))
+                                .cast("int").alias("blk"))
+        # per-block size range: nb rows (bounded by the block count)
+        stats = sorted((r["blk"], r["lo_n"], r["hi_n"]) for r in blocks.groupBy("blk").agg(
+            F.min("n").alias("lo_n"), F.max("n").alias("hi_n")).collect())
+        lo_n = np.array([x[1] for x in stats], dtype=np.float64)
+        hi_n = np.array([x[2] for x in stats], dtype=np.float64)
+        first = np.searchsorted(hi_n, threshold * lo_n, side="right")   # max_n(j) > t * min_n(i)
+        last = np.searchsorted(lo_n, hi_n / threshold, side="left") - 1  # min_n(j) < max_n(i) / t
+        ranges = spark.createDataFrame(
+            [(int(b), int(min(f, b)), int(max(l_, b))) for (b, _, _), f, l_ in zip(stats, first, last)],
+            "blk int, p_first int, p_last int")
+        rows = sets.join(blocks, "entity")
+    else:
+        rows = (sets.join(sizes, "entity")
+                .withColumn("blk", F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int")))
+        ranges = spark.createDataFrame([(b, 0, nb - 1) for b in range(nb)], "blk int, p_first int, p_last int")
+    rows = rows.join(F.broadcast(ranges), "blk")
+    # rows per block: exactly nb rows, broadcast to size every block pair; a
+    # pair is split into as many item parts as its rows need
     per_block = F.broadcast(rows.groupBy("blk").agg(F.count(F.lit(1)).alias("blk_rows")))
     partner_rows = per_block.withColumnsRenamed({"blk": "partner", "blk_rows": "partner_rows"})
-    rep = (rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    rep = (rows.withColumn("partner", F.explode(F.sequence("p_first", "p_last")))
            .join(per_block, "blk").join(partner_rows, "partner")
            .withColumn("parts", F.greatest(F.lit(1), F.ceil(
                (F.col("blk_rows") + F.when(F.col("partner") != F.col("blk"), F.col("partner_rows"))
                 .otherwise(F.lit(0))) / F.lit(float(group_rows)))).cast("int"))
            .withColumn("lo", F.least("blk", "partner")).withColumn("hi", F.greatest("blk", "partner"))
            .withColumn("ip", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
-           .drop("partner", "blk_rows", "partner_rows"))
+           .drop("partner", "blk_rows", "partner_rows", "p_first", "p_last"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         return _block_pair(pdf, k, measure, threshold)

@@ -52,6 +52,23 @@ def test_top_k_similar_many_blocks_and_hot_items(spark):
                 assert abs(a - b) < 1e-12
 
 
+def test_length_filter_blocks_by_size(spark):
+    # very different set sizes: small users never meet the big ones, results stay exact
+    rnd = random.Random(11)
+    sets = {}
+    for u in range(50):
+        size = rnd.choice([1, 2, 3, 40, 60, 200])
+        sets[f"u{u:02d}"] = {f"i{rnd.randrange(250)}" for _ in range(size)} | {"hot"}
+    rows = [(u, i) for u, its in sets.items() for i in its]
+    df = spark.createDataFrame(rows, "user string, item string")
+    got = top_k_similar(df, "user", "item", 3, "jaccard", 0.1, block_entities=6, group_rows=80)
+    res = {}
+    for r in got.orderBy("user", "rank").collect():
+        res.setdefault(r.user, []).append(r.neighbour_user)
+    exp = brute_topk(sets, 3, "jaccard", 0.1)
+    assert res == {u: [v for v, _ in exp[u]] for u in exp if exp[u]}
+
+
 def test_hot_entity_is_split(spark):
     # one user holds far more rows than the group budget: its block pairs are split
     rows = [("hot", f"i{j}") for j in range(300)] + [(f"u{u}", f"i{(u * 7 + j) % 300}")
