@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shoplens import constants as C
 from shoplens.functions import scalars as S
+from shoplens.operators.joins import checked_broadcast
 from shoplens.operators.sequence import with_global_sequence
 from shoplens.operators.similarity import top_k_similar
 
@@ -99,7 +100,9 @@ def fill_with_popular(users: DataFrame, recs: DataFrame, seen: DataFrame, popula
     on (user, rank) and keeps the first ``need``.
     """
     own = recs.select("user_id", "product_id", "rank", F.col("score").cast("double").alias("score"))
-    ranked = popular.select("product_id", "pop_rank", "popularity")
+    # one row per product: broadcast under the checked bound, so a product seen
+    # by a third of all users does not skew a shuffle join
+    ranked = checked_broadcast(popular.select("product_id", "pop_rank", "popularity"))
     excluded = (seen.select("user_id", "product_id").unionByName(own.select("user_id", "product_id"))
                 .distinct().join(ranked, "product_id").select("user_id", "pop_rank"))
     n_own = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_own"))
