@@ -189,18 +189,20 @@ def recommendation_batch_job(sets_path: str, out_path: str, product_profiles_fn=
     (user, product) pairs to the set table and recomputes the neighbour
     recommendations of the users it touched (a per-batch trigger replaces the
     reference's global every-10th-review counter, which cannot be kept across
-    executors)."""
+    executors).  Every write goes to the batch's own folder in overwrite mode,
+    so a batch replayed after a failure does not duplicate rows."""
     from shoplens.operators import recommend as RC
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         pairs = RC.interaction_sets(batch)
-        pairs.write.mode("append").parquet(sets_path)
-        sets = spark.read.parquet(sets_path).distinct()
+        # each batch owns one folder, overwritten on a replay: idempotent output
+        pairs.write.mode("overwrite").parquet(f"{sets_path}/batch_id={batch_id}")
+        sets = spark.read.parquet(sets_path).drop("batch_id").distinct()
         touched = pairs.select("user_id").distinct()
         nb = RC.user_neighbours(sets)
         recs = RC.neighbour_recommendations(sets, nb).join(touched, "user_id", "left_semi")
-        recs.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        recs.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return run
 
@@ -214,10 +216,11 @@ def report_batch_job(reviews_path: str, actions_path: str, out_path: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(actions_path)
-        acts = spark.read.parquet(actions_path)
+        # each batch owns one folder, overwritten on a replay: idempotent output
+        batch.write.mode("overwrite").parquet(f"{actions_path}/batch_id={batch_id}")
+        acts = spark.read.parquet(actions_path).drop("batch_id")
         rv = spark.read.parquet(reviews_path)
         doc = analytics_document(rv, acts, P.user_profiles(rv, acts), P.product_profiles(rv, acts))
-        doc.withColumn("batch_id", F.lit(batch_id)).write.mode("append").json(out_path)
+        doc.write.mode("overwrite").json(f"{out_path}/batch_id={batch_id}")
 
     return run
