@@ -63,3 +63,13 @@ PERIOD_DAYS = {"day": 1, "week": 7, "month": 30}
 
 # --- fixed values: live-metric alert ------------------------------------------
 LATENCY_ALERT_THRESHOLD = 180.0
+
+# --- fixed values: labels and id formats of the emitted records -------------
+REVIEW_EVENT_TYPE = "amazon_review"
+REVIEW_EVENT_ID_PREFIX = "csv_"
+ANALYTICS_DATA_SOURCE = "csv_amazon_dataset"
+RECOMMENDATION_METHOD = "csv_collaborative_filtering"
+DERIVED_INTERACTION_SOURCE = "csv_derived"
+REVIEW_PROCESSING_PREFIX = "csv_proc_"
+INTERACTION_PROCESSING_PREFIX = "int_proc_"
+INTERACTION_ID_FORMAT = "interaction_%06d"

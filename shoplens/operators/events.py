@@ -55,8 +55,8 @@ def review_events(rows: DataFrame, source_name: str, index_col: str,
     idx = F.col(index_col)
     arrival = F.current_timestamp().cast("timestamp_ntz")
     out = [
-        F.concat(F.lit(f"csv_{source_name}_"), idx.cast("string")).alias("event_id"),
-        F.lit("amazon_review").alias("event_type"),
+        F.concat(F.lit(f"{C.REVIEW_EVENT_ID_PREFIX}{source_name}_"), idx.cast("string")).alias("event_id"),
+        F.lit(C.REVIEW_EVENT_TYPE).alias("event_type"),
         F.lit(source_name).alias("dataset_source"),
         idx.cast("long").alias("row_index"),
     ]
@@ -139,9 +139,9 @@ def interactions_from_reviews(reviews: DataFrame) -> DataFrame:
                             .alias("pos", "action"))
     numbered = with_global_sequence(exploded, ["row_index", "pos"], "_n")
     return numbered.select(
-        F.format_string("interaction_%06d", F.col("_n") - 1).alias("event_id"),
+        F.format_string(C.INTERACTION_ID_FORMAT, F.col("_n") - 1).alias("event_id"),
         "user_id", "product_id", "action", "timestamp",
-        F.lit("csv_derived").alias("source"),
+        F.lit(C.DERIVED_INTERACTION_SOURCE).alias("source"),
         "original_rating",
         S.interaction_confidence(F.col("original_rating")).alias("confidence"),
     )

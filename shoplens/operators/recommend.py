@@ -213,7 +213,7 @@ def recommendation_documents(recs: DataFrame, user_profiles: DataFrame) -> DataF
         S.round_half_up("avg_rating", 2).alias("avg_rating"),
         F.col("products_count").alias("products_reviewed")).alias("user_profile_summary"))
     return (lists.join(up, "user_id", "left")
-            .select("user_id", F.lit("csv_collaborative_filtering").alias("method"),
+            .select("user_id", F.lit(C.RECOMMENDATION_METHOD).alias("method"),
                     "user_profile_summary", "recommendations"))
 
 

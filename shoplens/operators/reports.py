@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplens import constants as C
 from shoplens.operators import profiles as P
 
 
@@ -39,7 +40,7 @@ def analytics_document(reviews: DataFrame, interactions: DataFrame, user_profile
     tp = tp.withColumn("_o", -act())
     base = summary.select(
         F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
-        F.lit("csv_amazon_dataset").alias("data_source"),
+        F.lit(C.ANALYTICS_DATA_SOURCE).alias("data_source"),
         F.struct(*summary.columns).alias("processing_summary"),
         F.struct(_one_row_struct(ua).alias("totals"),
                  _top_array(tu, ["_o", "user_id"]).alias("top_users")).alias("user_analytics"),

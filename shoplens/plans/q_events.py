@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoplens import constants as C
 from shoplens.functions import scalars as S
 from shoplens.operators import events as E
 from shoplens.plans.registry import register
@@ -25,7 +26,7 @@ _META_COUNT = "((CASE WHEN coalesce(lang, '') <> '' THEN 1 ELSE 0 END) + (CASE W
 
 
 @register("review_events", f"""WITH {Q.REVIEWS_CTE}
-SELECT event_id, 'amazon_review' AS event_type, 'documents' AS dataset_source, row_index, timestamp,
+SELECT event_id, '{C.REVIEW_EVENT_TYPE}' AS event_type, 'documents' AS dataset_source, row_index, timestamp,
        user_id, product_id, rating, review_text, CAST(NULL AS VARCHAR) AS helpful,
        CAST(NULL AS VARCHAR) AS title, lang AS meta_lang, source AS meta_source,
        user_id AS kafka_key
@@ -56,7 +57,7 @@ def q_review_enriched(spark, sf_dir):
                    s.score.alias("sentiment_score"), s.confidence.alias("sentiment_confidence"),
                    s.positive_words.alias("positive_words"), s.negative_words.alias("negative_words"),
                    "recommendation_weight", "quality_score")
-    return E.with_processing_ids(ev, "csv_proc_", ["timestamp", "event_id"]).drop("timestamp")
+    return E.with_processing_ids(ev, C.REVIEW_PROCESSING_PREFIX, ["timestamp", "event_id"]).drop("timestamp")
 
 
 _UDT1_SQL = f"""WITH {Q.REVIEWS_CTE},
@@ -89,7 +90,8 @@ FROM actions""")
 def q_interaction_enriched(spark, sf_dir):
     """STR1 interaction enrichment: SCL4, FLT2, PRJ7, WIN3 over the events table."""
     ev = E.enrich_interactions(T.actions(spark, sf_dir))
-    ev = E.with_processing_ids(ev, "int_proc_", ["timestamp", "event_id"], with_sequence=True)
+    ev = E.with_processing_ids(ev, C.INTERACTION_PROCESSING_PREFIX, ["timestamp", "event_id"],
+                               with_sequence=True)
     return ev.select("event_id", "user_id", "product_id", "action", "action_weight",
                      "recommendation_trigger", "sequence_number", "processing_id")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# --- fixed values: topic names ---------------------------------------------------
 REVIEW_TOPIC = "amazon-csv-reviews"
 INTERACTION_TOPIC = "user-interactions"
 PRODUCT_TOPIC = "amazon-products"

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from shoplens import constants as C
 from shoplens.functions import scalars as S
 from shoplens.operators import behavior as B
 from shoplens.operators import events as E
@@ -58,12 +59,12 @@ def dedupe_events(stream: DataFrame, watermark: str = "10 minutes", ts: str = "t
 
 def enrich_interaction_stream(stream: DataFrame) -> DataFrame:
     """STR1 for interactions; the processing id is derived from the event id."""
-    return E.hashed_processing_ids(E.enrich_interactions(stream), "int_proc_")
+    return E.hashed_processing_ids(E.enrich_interactions(stream), C.INTERACTION_PROCESSING_PREFIX)
 
 
 def enrich_review_stream(stream: DataFrame) -> DataFrame:
     """STR1 for reviews."""
-    return E.hashed_processing_ids(E.enrich_reviews(stream), "csv_proc_")
+    return E.hashed_processing_ids(E.enrich_reviews(stream), C.REVIEW_PROCESSING_PREFIX)
 
 
 def window_metrics_stream(stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes",
