@@ -12,6 +12,7 @@ partition, a proven bound) then gives each partition its starting offset.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,21 @@ def with_global_sequence(df: DataFrame, order_cols: list | None, name: str = "se
     checkpoint).  Runs one job (the sort + checkpoint) when called.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    base = df.orderBy(*order_cols) if order_cols else df
+    # the input is read by the range sampling and by the sort, and the sorted
+    # rows by the count and by the checkpoint write: keep both for the
+    # duration (memory, spilling to disk) so nothing is computed twice
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    base = src.orderBy(*order_cols) if order_cols else src
     tagged = (base
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside a partition: the low 33 bits of monotonically_increasing_id
     tagged = (tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-              .drop("_mid").checkpoint(eager=True))
+              .drop("_mid").persist(StorageLevel.MEMORY_AND_DISK))
+    frozen = tagged.checkpoint(eager=True)
+    tagged.unpersist()
+    src.unpersist()
+    tagged = frozen
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
