@@ -32,9 +32,12 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.session import ensure_checkpoint_dir
+
 DEFAULT_BLOCK_ENTITIES = 4096      # entities per block: a block-pair count matrix is 4096^2
 DEFAULT_GROUP_ROWS = 4_000_000     # rows one kernel task may hold before a block pair is split
 HOT_ITEM_PAIRS = 4096              # items with more member pairs than this use the dense path
@@ -194,7 +197,12 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
         rows = (sets.join(sizes, "entity")
                 .withColumn("blk", F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int")))
         ranges = spark.createDataFrame([(b, 0, nb - 1) for b in range(nb)], "blk int, p_first int, p_last int")
-    rows = rows.join(F.broadcast(ranges), "blk")
+    # the (entity, item, size, block) table is read by the per-block count and
+    # by the replication: materialise it once in the shared checkpoint folder
+    ensure_checkpoint_dir(spark)
+    staged = rows.join(F.broadcast(ranges), "blk").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = staged.checkpoint(eager=True)
+    staged.unpersist()
     # rows per block: exactly nb rows, broadcast to size every block pair; a
     # pair is split into as many item parts as its rows need
     per_block = F.broadcast(rows.groupBy("blk").agg(F.count(F.lit(1)).alias("blk_rows")))
