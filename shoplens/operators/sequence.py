@@ -28,20 +28,25 @@ def with_global_sequence(df: DataFrame, order_cols: list | None, name: str = "se
     checkpoint).  Runs one job (the sort + checkpoint) when called.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # the input is read by the range sampling and by the sort, and the sorted
-    # rows by the count and by the checkpoint write: keep both for the
-    # duration (memory, spilling to disk) so nothing is computed twice
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # with a sort, the input is read by the range sampling and by the sort,
+    # and the sorted rows by the count and by the checkpoint write: keep both
+    # for the duration (memory, spilling to disk) so nothing is computed
+    # twice.  Without a sort (a dense index of a cheap distinct) caching costs
+    # more than it saves.
+    keep = bool(order_cols)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
     base = src.orderBy(*order_cols) if order_cols else src
     tagged = (base
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside a partition: the low 33 bits of monotonically_increasing_id
-    tagged = (tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-              .drop("_mid").persist(StorageLevel.MEMORY_AND_DISK))
+    tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+    if keep:
+        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     frozen = tagged.checkpoint(eager=True)
-    tagged.unpersist()
-    src.unpersist()
+    if keep:
+        tagged.unpersist()
+        src.unpersist()
     tagged = frozen
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
