@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoplens import constants as C
-from shoplens.functions import scalars as S
 from shoplens.operators import events as E
 from shoplens.plans.registry import register
 from shoplens.plans import sqlparts as Q

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shoplens.operators import profiles as P
 from shoplens.operators import reports as R
 from shoplens.plans import sqlparts as Q

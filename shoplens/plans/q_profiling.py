@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shoplens.operators import profiling as PR
 from shoplens.operators.catalog import DIMENSION_COLUMNS
 from shoplens.plans import sqlparts as Q

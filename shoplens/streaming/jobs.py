@@ -20,8 +20,6 @@ STR10 duplicate and late events: watermark + ``dropDuplicatesWithinWatermark``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

@@ -1,11 +1,8 @@
 """Distributed kernels against brute force on small random inputs."""
 
-import itertools
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from shoplens.operators.sequence import with_global_sequence
 from shoplens.operators.similarity import top_k_cosine_vectors, top_k_similar
 

@@ -1,8 +1,6 @@
 """Argument bounds, preference maps, dataset append, approximate describe and
 the REC7 metrics cross-checked with MLlib's RankingEvaluator."""
 
-import datetime as dt
-
 import pytest
 from pyspark.ml.evaluation import RankingEvaluator
 from pyspark.sql import functions as F
