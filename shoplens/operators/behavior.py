@@ -212,15 +212,17 @@ def user_sessions(actions: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def window_metrics(events: DataFrame, window: str = "1 hour", approx: bool = False,
-                   threshold: float = 180.0) -> DataFrame:
-    """STR2 (batch form): per tumbling window: active users, events per second,
-    conversion (purchases/views), average order value, and an alert when the
-    average order value exceeds ``threshold``."""
+                   threshold: float = 180.0, slide: str | None = None) -> DataFrame:
+    """STR2 (batch form): per tumbling window (or sliding, with ``slide``):
+    active users, events per second, conversion (purchases/views), average
+    order value, and an alert when the average order value exceeds
+    ``threshold``."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
     a = F.col("action")
     # local-time window bounds: the length does not depend on the session zone
     seconds = F.expr("timestampdiff(SECOND, w.start, w.end)")
-    g = events.groupBy(F.window("timestamp", window).alias("w")).agg(
+    win = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
+    g = events.groupBy(win.alias("w")).agg(
         distinct("user_id").alias("active_users"), F.count(F.lit(1)).alias("events"),
         F.count_if(a == "view").alias("views"), F.count_if(a == "purchase").alias("purchases"),
         money_mean(F.when(a == "purchase", F.col("value"))).alias("aov"))

@@ -229,3 +229,23 @@ def q_behaviour_report(spark, sf_dir):
     """RPT3: the one-row user-behaviour document."""
     from shoplens.operators.reports import behaviour_report
     return behaviour_report(_acts(spark, sf_dir), dimension(spark, sf_dir), T.customer_regions(spark, sf_dir))
+
+
+@register("sliding_window_metrics", f"""{_EV},
+b AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, timestamp) AS bucket FROM ev),
+x AS (SELECT *, bucket AS window_start FROM b
+      UNION ALL SELECT *, bucket - INTERVAL 30 MINUTE AS window_start FROM b),
+g AS (SELECT window_start, count(DISTINCT user_id) AS active_users, count(*) AS events,
+             count(*) FILTER (WHERE action = 'view') AS views,
+             count(*) FILTER (WHERE action = 'purchase') AS purchases,
+             {Q.money_mean("CASE WHEN action = 'purchase' THEN value END")} AS aov
+      FROM x GROUP BY 1)
+SELECT CAST(window_start AS TIMESTAMP) AS window_start, active_users, events,
+       {Q.rhu('events / 3600.0::DOUBLE', 6)} AS events_per_second,
+       CASE WHEN views > 0 THEN {Q.rhu('purchases / views', 4)} END AS conversion,
+       aov AS average_order_value,
+       CASE WHEN aov > 180.0 THEN 'warning' END AS alert
+FROM g""")
+def q_sliding_window_metrics(spark, sf_dir):
+    """STR2 sliding variant (batch form): one-hour windows every 30 minutes."""
+    return B.window_metrics(T.events_with_value(spark, sf_dir), "1 hour", slide="30 minutes")

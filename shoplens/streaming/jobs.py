@@ -66,12 +66,14 @@ def enrich_review_stream(stream: DataFrame) -> DataFrame:
 
 
 def window_metrics_stream(stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes",
-                          threshold: float = 180.0) -> DataFrame:
-    """STR2: per tumbling window (emitted once the watermark passes its end):
-    approximate active users, events, conversion, average order value, alert."""
+                          threshold: float = 180.0, slide: str | None = None) -> DataFrame:
+    """STR2: per tumbling (or, with ``slide``, sliding) window, emitted once
+    the watermark passes its end: approximate active users, events,
+    conversion, average order value, alert."""
     a = F.col("action")
+    win = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
     g = (with_event_time(stream).withWatermark("timestamp", watermark)
-         .groupBy(F.window("timestamp", window).alias("w"))
+         .groupBy(win.alias("w"))
          .agg(F.approx_count_distinct("user_id").alias("active_users"),
               F.count(F.lit(1)).alias("events"),
               F.count_if(a == "view").alias("views"), F.count_if(a == "purchase").alias("purchases"),
