@@ -112,3 +112,19 @@ def test_progress_collector(spark):
         spark.streams.removeListener(collector)
     df = collector.to_frame(spark)
     assert df.agg(F.sum("input_rows")).first()[0] == T.actions(spark, SF_SMALL).count()
+
+
+def test_sliding_window_stream_equals_batch(spark):
+    import datetime as dt
+    ev = T.events_with_value(spark, SF_SMALL)
+    folder = write_parts(ev, 2)
+    schema = "event_id long, timestamp timestamp_ntz, user_id long, action string, value double, product_id string"
+    stream = J.file_event_stream(spark, folder, schema, max_files=10)
+    run_to_memory(J.window_metrics_stream(stream, "1 hour", "1 hour", slide="30 minutes"), "sliding_stream")
+    last = ev.agg(F.max("timestamp")).first()[0]
+    closed = B.window_metrics(ev, "1 hour", slide="30 minutes").where(
+        F.col("window_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(last - dt.timedelta(hours=1)))
+    cols = ["window_start", "active_users", "events", "average_order_value", "alert"]
+    got = spark.table("sliding_stream").select(cols)
+    assert got.count() == closed.count()
+    assert got.exceptAll(closed.select(cols)).count() == 0
