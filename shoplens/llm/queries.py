@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shoplens.llm import byte_bpe, packed_ids, packing, token_counts
+from shoplens.llm import byte_bpe, html_text, language, packed_ids, packing, quality, token_counts, toxicity
 from shoplens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -48,3 +48,39 @@ def q_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048) \
         .withColumn("piece", F.col("piece").cast("int"))
+
+
+@register("op5_quality", quality.SQL)
+def q_quality(spark, sf_dir):
+    """Base figures and cross-document line frequency; kept is the verdict."""
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+@register("op6_html_text")
+def q_html_text(spark, sf_dir):
+    """Main text of every whole page."""
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def fold(parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@register("op2_language")
+def q_language(spark, sf_dir):
+    """Language of every whole document, learned on the documents whose fold of 4 is not 2."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(fold(4) != 2))
+    return language.identify(docs, model).select("doc_id", F.coalesce(fold(4) == 2, F.lit(True)).alias("held_out"),
+                                                 "lang_pred", "score")
+
+
+@register("op3_toxicity")
+def q_toxicity(spark, sf_dir):
+    """Toxicity of every whole document, learned on the labels whose fold of 5 is not 0."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels").filter(fold(5) != 0))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_score", "worst_sentence")
