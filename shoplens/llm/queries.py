@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shoplens.llm import byte_bpe, html_text, language, packed_ids, packing, quality, token_counts, toxicity
+from shoplens.llm import byte_bpe, html_text, language, near_dup, packed_ids, packing, quality, token_counts, toxicity
 from shoplens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ def q_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, model).select(
         "doc_id", F.coalesce(fold(5) == 0, F.lit(True)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_score", "worst_sentence")
+
+
+@register("op10_near_dup")
+def q_near_dup(spark, sf_dir):
+    """Components of documents whose sets of five-word shingles have a similarity of 0.85 or more."""
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
