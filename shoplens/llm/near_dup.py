@@ -12,13 +12,20 @@ A document's set holds the hashes of its distinct five-word shingles.
    shared, so that some stretch of the sorted union has RUN shared neighbours.
 3. Pairs come from the lists in two steps.  First every member is paired with
    the smallest member of its list, which takes one pair per entry however
-   large a group of copies is.  Then, where a list still holds members of
-   different components, the members of different components are paired.
+   large a group of copies is.  Then only lists that still hold members of
+   different components are open (of several lists with the same members, the
+   first).  A list of at most ``SHORT`` members gives its remaining pairs as
+   rows.  A longer one is dealt in blocks of ``BLOCK`` members to pairs of
+   blocks; a task holds the members' sets once and compares the members of
+   different components in memory, each pair only in the first list that holds
+   both, and returns nothing but links that join components.
 4. A pair must pass the size bound (the smaller set is at least 85 % of the
    larger), then the estimate from the union sketch (the K smallest values of
    both sketches together, the share of them in both; the margin below the
    threshold is wide enough to lose no pair but for a probability below 1e-6),
-   then the exact similarity of the full sets, computed from the texts.
+   then the exact similarity of the full sets, computed from the texts.  In the
+   blocks the sketches hold ``BIG`` values; sets no larger are whole there, and
+   their similarity is exact at once.
 5. Components grow along the confirmed links, by smallest labels with pointer
    jumping, in tables that stay distributed.
 
@@ -44,6 +51,10 @@ K = 48
 RUN = 3
 SHINGLE = 5
 MARGIN = 0.30
+SHORT = 16
+BLOCK = 2048
+BIG = 512
+BIG_MARGIN = 0.08  # five standard deviations of the estimate from BIG values
 MEMORY_WORDS = 500_000
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -75,7 +86,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
         s ^= s >> np.uint64(31)
     s *= np.uint64(MIX[1])
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return np.unique(s >> np.uint64(1))  # 63 bits: the order is the same for signed integers
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,9 +115,9 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(sketch: Column) -> Column:
-    """Keys of the runs of RUN neighbouring values."""
-    return F.transform(F.sequence(F.lit(0), F.size(sketch) - RUN),
-                       lambda i: F.xxhash64(*[F.get(sketch, i + j) for j in range(RUN)]))
+    """Runs of RUN neighbouring values: their key and place in the order of values."""
+    return F.transform(F.sequence(F.lit(0), F.size(sketch) - RUN), lambda i: F.struct(
+        F.xxhash64(*[F.get(sketch, i + j) for j in range(RUN)]).alias("key"), F.get(sketch, i).alias("v")))
 
 
 def similar_size(a: Column, b: Column, percent: int) -> Column:
@@ -150,6 +161,100 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(joint, fn, "a long, b long")
 
 
+def in_blocks(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, ta, b, tb, sure) of different components in long lists; sure: compared on whole sets."""
+    schema = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("set", pa.binary())])
+
+    def sets_of(batches):
+        for b in batches:
+            yield batch_of(schema, [b.column(0), b.column(1),
+                                    [shingle_set(x)[:BIG].tobytes() for x in b.column(2).to_pylist()]])
+
+    need = entries.select(F.col("rep").alias("id"), "t").distinct()
+    held = map_batches(texts.join(need, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), sets_of,
+                       "id long, t long, set binary").withColumnRenamed("id", "rep")
+    # block i meets blocks j >= i; a member of block b goes to (i, b) for i <= b and (b, j) for j > b
+    last = F.ceil(F.col("m") / BLOCK).cast("int") - 1
+    block = F.pmod(F.xxhash64("rep", "key"), (last + 1).cast("long")).cast("int")
+    dealt = entries.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), last))) \
+        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
+        .select("key", "i", "j", "mine", "v", "rep", "t", "n", "label")
+
+    def compare(pdf):
+        return blocks_links(pdf, percent)
+
+    return dealt.join(held, ["rep", "t"]).groupBy("key", "i", "j") \
+        .applyInPandas(compare, "a long, ta long, b long, tb long, sure boolean")
+
+
+def bits(values: list[np.ndarray]) -> np.ndarray:
+    """One packed bit row per array, over the values that occur in two arrays or more."""
+    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(values)), [len(x) for x in values])
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[common] = np.arange(len(common))
+    col = place[at]
+    words = max(1, -(-len(common) // 64))
+    out = np.zeros((len(values), words), np.uint64)
+    use = col >= 0
+    np.bitwise_or.at(out, (row[use], col[use] // 64), np.uint64(1) << (col[use] % 64).astype(np.uint64))
+    return out
+
+
+def blocks_links(pdf, percent: int):
+    """Compare the members of one list, or of one pair of its blocks."""
+    import pandas as pd
+    pdf = pdf.sort_values("rep")
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    rep, t, n, mine = (pdf[c].to_numpy() for c in ("rep", "t", "n", "mine"))
+    single = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    here = np.uint64(int(pdf["v"].iloc[0]) & 0xFFFFFFFFFFFFFFFF)
+    # runs before this list's: a pair that shares one was compared there
+    before = []
+    for s in sets:
+        k = s[:K]
+        r = k[:-2] * np.uint64(MIX[0]) ^ k[1:-1] * np.uint64(MIX[2]) ^ k[2:] * np.uint64(MIX[3])
+        before.append(r[k[:-2] < here])
+    runs_bits, set_bits = bits(before), bits(sets)
+    parent = {x: x for x in pdf["label"]}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    labels = pdf["label"].to_numpy().copy()
+    out = []
+    for p in range(len(rep) - 1):
+        q = np.arange(p + 1, len(rep))
+        ok = (labels[q] != labels[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))
+        if not single:
+            ok &= mine[q] != mine[p]
+        q = q[ok]
+        if not len(q):
+            continue
+        q = q[~(runs_bits[q] & runs_bits[p]).any(axis=1)]
+        if not len(q):
+            continue
+        both = np.bitwise_count(set_bits[q] & set_bits[p]).sum(axis=1).astype(np.int64)
+        whole = (n[q] <= BIG) & (n[p] <= BIG)
+        sure = whole & (100 * both >= percent * (n[q] + n[p] - both))
+        for k in q[sure]:
+            a, b = root(labels[p]), root(labels[k])
+            if a != b:  # links inside a component change nothing
+                parent[max(a, b)] = min(a, b)
+                out.append((rep[p], t[p], rep[k], t[k], True))
+        for k in q[~whole]:
+            union = np.union1d(sets[p], sets[k])[:BIG]
+            shared = np.isin(union, sets[p], assume_unique=True) & np.isin(union, sets[k], assume_unique=True)
+            if shared.sum() >= (percent / 100 - BIG_MARGIN) * len(union):
+                out.append((rep[p], t[p], rep[k], t[k], False))
+    return pd.DataFrame(out, columns=["a", "ta", "b", "tb", "sure"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): every node of a link with the smallest node reachable from it."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
@@ -176,7 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                      .agg(F.min(F.struct("id", "t")).alias("first"), F.first("n").alias("n"),
                           F.first("sketch").alias("sketch"))
                      .select("fp", F.col("first.id").alias("rep"), F.col("first.t").alias("t"), "n", "sketch"), "classes")
-    entries = classes.filter(F.col("n") >= RUN).select("rep", "n", F.explode(runs(F.col("sketch"))).alias("key"))
+    entries = classes.filter(F.col("n") >= RUN).select("rep", "t", "n", F.explode(runs(F.col("sketch"))).alias("x")) \
+        .select("rep", "t", "n", "x.key", "x.v")
     lists = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")) \
         .filter("m > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = stored(entries.join(lists, "key"), "members")
@@ -184,17 +290,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(confirmed(stored(by_estimate(first, classes, percent), "pairs"), texts, percent), "confirmed")
     labels = components(links)
-    known = members.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")) \
-        .filter("low < high").select("key")
+    known = members.select("key", "v", "rep", "t", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+        .withColumn("label", F.coalesce("label", "rep"))
+    # lists with several components; of those with the same members, the first in the order of values
+    mixed = known.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.min("v").alias("v"),
+        F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2")) \
+        .filter("low < high").groupBy("m", "h1", "h2").agg(F.min(F.struct("v", "key")).alias("x")).select("m", "x.key")
     open_lists = stored(known.join(mixed, "key"), "open")
-    x = open_lists.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_lists.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    short = open_lists.filter(F.col("m") <= SHORT)
+    x = short.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = short.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
                                      & similar_size(F.col("na"), F.col("nb"), percent)) \
         .select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(stored(by_estimate(second, classes, percent), "pairs"), texts, percent)
+    found = stored(in_blocks(open_lists.filter(F.col("m") > SHORT), texts, percent), "blocks")
+    unsure = found.filter(~F.col("sure")).select("a", "ta", "b", "tb").distinct()
+    more = confirmed(stored(by_estimate(second, classes, percent).union(unsure), "pairs"), texts, percent) \
+        .union(found.filter("sure").select("a", "b"))
     links = stored(links.union(more), "confirmed")
     labels = components(links).withColumnsRenamed({"node": "rep", "label": "component_id"})
     of_class = classes.select("fp", "rep").join(labels, "rep", "left") \
