@@ -43,7 +43,6 @@ FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense s
                       "share sharing social related recommended comment comments respond disqus replies widget search "
                       "pagination pager copyright".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-BLANK = re.compile(r"\s+")
 
 
 class Line:
@@ -67,6 +66,9 @@ class Lines(HTMLParser):
         self.links = 0
         self.lines = [Line(False, 0)]
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def place(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
 
@@ -167,7 +169,7 @@ def main_text(html: str | None) -> str:
     p.close()
     lines = []
     for x in p.lines:
-        text = BLANK.sub(" ", "".join(x.parts)).strip() if x.parts and not x.skip else ""
+        text = " ".join("".join(x.parts).split()) if x.parts and not x.skip else ""
         if text:
             lines.append((x, text))
     if not lines:
