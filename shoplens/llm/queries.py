@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shoplens.llm import byte_bpe, html_text, language, near_dup, packed_ids, packing, quality, token_counts, toxicity
+from shoplens.llm import byte_bpe, html_text, language, near_dup, nearest, packed_ids, packing, quality, token_counts, toxicity
 from shoplens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -90,3 +90,9 @@ def q_toxicity(spark, sf_dir):
 def q_near_dup(spark, sf_dir):
     """Components of documents whose sets of five-word shingles have a similarity of 0.85 or more."""
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+@register("op9_nearest")
+def q_nearest(spark, sf_dir):
+    """The 10 nearest vectors found for every vector whose id is divisible by 100."""
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
