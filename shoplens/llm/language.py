@@ -34,32 +34,34 @@ from shoplens.llm.common import batch_of, map_batches
 
 UNKNOWN = "und"
 MAX_DOCS = 20_000
-MAX_WORDS = 150_000
+MAX_WORDS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 DISCOUNT = 0.4
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 NOT_LETTERS = r"[^\p{L}]+"
 
 
 class Model:
-    """Languages, and per known word or n-gram one log frequency per language."""
+    """Languages, and per known word or n-gram a row of log frequencies, one per language."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, languages: list[str], words: dict[str, int], word_rows: np.ndarray, grams: dict[str, int],
+                 gram_rows: np.ndarray):
         self.id = uuid.uuid4().hex
-        self.languages, self.words, self.grams = languages, words, grams
+        self.languages = languages
+        self.words, self.word_rows, self.grams, self.gram_rows = words, word_rows, grams, gram_rows
 
     def vector(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.word_rows[known]
         padded = f"_{word}_"
         weight = 1.0
         for n in ORDERS:
             found = [g for g in (self.grams.get(padded[i:i + n]) for i in range(len(padded) - n + 1)) if g is not None]
             if found:
-                return weight * np.mean(found, axis=0)
+                return weight * self.gram_rows[found].mean(axis=0)
             weight *= DISCOUNT
         return np.zeros(len(self.languages))
 
@@ -80,12 +82,16 @@ class Scorer(dict):
         self[word] = k
         return k
 
+    def reset(self) -> None:
+        self.clear()
+        self.rows = np.zeros((1024, self.rows.shape[1]))
+
     def score(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         if len(self) >= MEMORY_WORDS:
-            self.clear()
+            self.reset()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = self.rows[at].sum(axis=0)
         share = np.exp(total - total.max())
@@ -132,8 +138,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     finally:
         words.unpersist()
     languages = sorted(sizes[0])
-    return Model(languages, logs(found[0], sizes[0], languages),
-                 {g: v for size in ORDERS for g, v in logs(found[size], sizes[size], languages).items()})
+    of_words = logs(found[0], sizes[0], languages)
+    of_grams = [logs(found[size], sizes[size], languages) for size in ORDERS]
+    grams_at: dict[str, int] = {}
+    for names, _ in of_grams:
+        for g in names:
+            grams_at[g] = len(grams_at)
+    return Model(languages, {w: i for i, w in enumerate(of_words[0])}, of_words[1], grams_at,
+                 np.concatenate([x for _, x in of_grams]))
 
 
 def grams(text: Column, size: int) -> Column:
@@ -141,20 +153,20 @@ def grams(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) + 1 - size), lambda i: F.substr(text, i, F.lit(size)))
 
 
-def logs(rows, sizes: dict, languages: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log relative frequency of each kept word or n-gram in each language."""
+def logs(rows, sizes: dict, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The kept words or n-grams and their smoothed log relative frequencies by language."""
     at = {x: i for i, x in enumerate(languages)}
     total = np.array([sizes.get(x, (0, 0))[0] for x in languages], float)
     kinds = max([1, *(k for _, k in sizes.values())])
-    counts: dict[str, np.ndarray] = {}
+    names: dict[str, int] = {}
+    for r in rows:
+        names.setdefault(r["gram"], len(names))
+    counts = np.zeros((len(names), len(languages)))
     for r in rows:
-        counts.setdefault(r["gram"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
+        counts[names[r["gram"]], at[r["lang"]]] = r["n"]
+    out = np.log((counts + SMOOTHING) / (total + SMOOTHING * kinds))
     # relative to the mean over languages: an item equally common everywhere adds nothing
-    out = {}
-    for g, c in counts.items():
-        v = np.log((c + SMOOTHING) / (total + SMOOTHING * kinds))
-        out[g] = v - v.mean()
-    return out
+    return list(names), (out - out.mean(axis=1, keepdims=True) if languages else out)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
