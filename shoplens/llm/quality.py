@@ -94,23 +94,27 @@ def count_of(text: Column, chars: str) -> Column:
 
 def base_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  host_col: str = "source") -> DataFrame:
-    """Per document: id, host, fp (hash of the text), the base figures, and its lines."""
-    t = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"),
-                    F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.select("id", "host", "t", words_of(F.col("t")).alias("w"),
+    """Per document: row (all its columns), id, host, fp (hash of the text), the base figures, and its lines."""
+    t = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"),
+                    F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    t = t.select("row", "id", "host", "t", words_of(F.col("t")).alias("w"),
                  F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("ls"))
     n = F.size("w")
     t = t.select(
-        "id", "host", F.xxhash64("t").alias("fp"), n.cast("long").alias("n_words"),
+        "row", "id", "host", F.xxhash64("t").alias("fp"), n.cast("long").alias("n_words"),
         (F.length("t") - count_of(F.col("t"), BLANK_CHARS)).cast("long").alias("word_chars"),
         count_of(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.when(n >= WINDOW, window_hashes(F.col("w"))).otherwise(F.array().cast("array<bigint>")).alias("h"),
         lines_with_words(F.col("t")).alias("lines"))
-    return t.select("id", "host", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return t.select("row", "id", "host", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     words_in_repeats(F.col("h")).cast("long").alias("n_repeat_words"), "lines")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def frequent_lines(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
     """(host, lh) of lines above the limit; ``texts`` has one row per distinct (host, fp)."""
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
@@ -120,27 +124,45 @@ def frequent_lines(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
         .filter(F.col("n") > share * F.col("n_texts")).select(lines["host"], "lh")
 
 
+def removed_words(base: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """(r_host, r_fp, n_removed, r_words) of the distinct texts that hold a line above the limit."""
+    texts = base.select("host", "fp", "n_words", "lines").dropDuplicates(["host", "fp"])
+    frequent = frequent_lines(texts, min_docs, share).withColumnsRenamed({"host": "f_host", "lh": "f_lh"})
+    uses = texts.select("host", "fp", "n_words", F.explode("lines").alias("x")) \
+        .select("host", "fp", "n_words", "x.lh", "x.nw")
+    return uses.join(frequent, uses["host"].eqNullSafe(frequent["f_host"]) & (F.col("lh") == F.col("f_lh"))) \
+        .groupBy("host", "fp").agg(F.sum("nw").cast("long").alias("n_removed"), F.first("n_words").alias("r_words")) \
+        .withColumnsRenamed({"host": "r_host", "fp": "r_fp"})
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_removed_words."""
-    base = stored(base_figures(docs, id_col, text_col, host_col), "quality")
-    texts = base.select("host", "fp", "lines").dropDuplicates(["host", "fp"])
-    frequent = frequent_lines(texts, min_docs, share).withColumnsRenamed({"host": "f_host", "lh": "f_lh"})
-    uses = texts.select("host", "fp", F.explode("lines").alias("x")).select("host", "fp", "x.lh", "x.nw")
-    removed = uses.join(frequent, uses["host"].eqNullSafe(frequent["f_host"]) & (F.col("lh") == F.col("f_lh"))) \
-        .groupBy("host", "fp").agg(F.sum("nw").cast("long").alias("n_removed")) \
-        .withColumnsRenamed({"host": "r_host", "fp": "r_fp"})
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    base = stored(base_figures(docs, id_col, text_col, host_col).drop("row"), "quality")
+    removed = removed_words(base, min_docs, share)
     gone = F.coalesce(F.col("n_removed"), F.lit(0).cast("long"))
     return base.drop("lines") \
         .join(removed, base["host"].eqNullSafe(removed["r_host"]) & (F.col("fp") == F.col("r_fp")), "left") \
         .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                failed.alias("base_failed"),
-                (~failed & (gone <= max_removed * F.col("n_words"))).alias("kept"),
+                base_failed().alias("base_failed"),
+                (~base_failed() & (gone <= max_removed * F.col("n_words"))).alias("kept"),
                 gone.alias("n_removed_words"))
 
 
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                   min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps.  The base
+    rules filter where the row is read; only the depleted texts are looked up,
+    in a stored table whose measured size decides how it is joined."""
+    base = stored(base_figures(docs, id_col, text_col, host_col).drop("row"), "quality")
+    depleted = stored(removed_words(base, min_docs, share).filter(F.col("n_removed") > max_removed * F.col("r_words"))
+                      .select("r_host", "r_fp"), "depleted")
+    rows = base_figures(docs, id_col, text_col, host_col).filter(~base_failed()).select("row", "host", "fp")
+    return rows.join(depleted, rows["host"].eqNullSafe(depleted["r_host"]) & (F.col("fp") == F.col("r_fp")),
+                     "left_anti").select("row.*")
+
+
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents
