@@ -174,7 +174,7 @@ def reassemble(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     word_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.string()))])
-    doc_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()),
+    doc_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("named", pa.binary()), ("lengths", pa.binary()),
                             ("uses", pa.binary())])
 
     def words_of(batches):
@@ -187,7 +187,9 @@ def reassemble(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
     def docs_of(batches):
         for key, _, _, ids, uses in blocks(batches, pattern, buckets, block_chars):
             lengths = np.array([len(u) for u in uses], np.uint32)
-            yield batch_of(doc_schema, [[key], [ids], [squeeze(lengths)],
+            numbers = np.array([i or 0 for i in ids], "<i8").tobytes()
+            named = np.array([i is not None for i in ids], bool).tobytes()
+            yield batch_of(doc_schema, [[key], [numbers], [named], [squeeze(lengths)],
                                         [squeeze(np.concatenate(uses) if uses else lengths)]])
 
     def encode_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,7 +212,10 @@ def reassemble(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
         first = np.cumsum(counts) - counts
         out: list[tuple] = []
         # rows of one key are equal blocks (repeated input): each is put together by itself
-        for doc_ids, lengths, uses in zip(docs_df["doc_ids"], docs_df["lengths"], docs_df["uses"], strict=True):
+        for doc_ids, named, lengths, uses in zip(docs_df["doc_ids"], docs_df["named"], docs_df["lengths"],
+                                                 docs_df["uses"], strict=True):
+            doc_ids = [i if ok else None for i, ok in zip(np.frombuffer(doc_ids, "<i8").tolist(),
+                                                          np.frombuffer(named, bool).tolist(), strict=True)]
             use, n = expand(uses), expand(lengths).astype(np.int64)
             ends = np.cumsum(n)
             parts = []
@@ -224,11 +229,11 @@ def reassemble(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
             out.extend(rows(doc_ids, parts))
         names = [x.split()[0] for x in schema.split(", ")]
         pdf = pd.DataFrame(out, columns=names)
-        pdf["id"] = pd.array([r[0] if r[0] is None else int(r[0]) for r in out], dtype="Int64")
+        pdf["id"] = pd.array([r[0] for r in out], dtype="Int64")
         return pdf
 
     words = map_batches(src, words_of, "bucket int, block long, words array<string>")
     ids = words.groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, counts binary, ids binary")
-    placed = map_batches(src, docs_of, "block long, doc_ids array<long>, lengths binary, uses binary")
+    placed = map_batches(src, docs_of, "block long, doc_ids binary, named binary, lengths binary, uses binary")
     return ids.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(put_together, schema) \
         .withColumnRenamed("id", id_col)
