@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shoplens import constants as C
 
 __all__ = [
-    "round_half_up", "is_numeric_text", "rating_value", "sentiment", "recommendation_weight",
+    "round_half_up", "is_numeric_text", "rating_value", "recommendation_weight",
     "quality_score", "action_weight", "review_length", "rating_actions",
     "interaction_confidence", "neighbour_confidence", "als_confidence", "predicted_rating",
     "reason_text", "event_priority", "is_stream_trigger", "is_api_trigger", "metric_alert",
@@ -21,6 +21,9 @@ __all__ = [
 ]
 
 
+EXACT_INTEGERS = float(2 ** 53)
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,10 +32,14 @@ def round_half_up(c, digits: int) -> Column:
     """Round half away from zero for non-negative values, identically in SQL.
 
     ``floor(x * 10^k + 0.5) / 10^k`` is written the same way in the oracle SQL
-    so both engines do the same double arithmetic.
+    so both engines do the same double arithmetic.  From 2^53 / 10^k on a double
+    has no digits left to round (and ``floor`` would not fit in a long), so such
+    values, and NaN, stay as they are.
     """
     scale = float(10 ** digits)
-    return F.floor(_col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    x = _col(c).cast("double")
+    return F.when(F.abs(x) < F.lit(EXACT_INTEGERS / scale), F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)) \
+        .otherwise(x)
 
 
 def is_numeric_text(c) -> Column:
@@ -52,9 +59,10 @@ def rating_value(c) -> Column:
 
 
 def whitespace_tokens(text) -> Column:
-    """Number of whitespace-separated tokens (Unicode blanks included)."""
-    t = F.trim(F.coalesce(_col(text), F.lit("")), )
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    """Number of whitespace-separated tokens, like Python's ``split()``: Unicode
+    blanks and the separators U+001C to U+001F, leading and trailing ones too."""
+    parts = F.split(F.coalesce(_col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+")
+    return F.size(F.filter(parts, lambda p: p != ""))
 
 
 def sentiment_counts(text) -> Column:
@@ -73,33 +81,16 @@ def sentiment_counts(text) -> Column:
 
 
 def sentiment_from_counts(counts) -> Column:
-    """SCL1 from ``sentiment_counts``: same result as ``sentiment``."""
-    c = _col(counts)
-    pos, neg, tokens = c["pos"], c["neg"], c["tokens"]
-    hits = pos + neg
-    has = F.coalesce(hits > 0, F.lit(False))
-    score = F.when(has, round_half_up(pos / hits, 3)).otherwise(F.lit(0.5))
-    conf = F.when(has & (tokens > 0), round_half_up(hits / tokens, 3)).otherwise(F.lit(0.0))
-    return F.struct(score.alias("score"), conf.alias("confidence"),
-                    F.when(has, pos).alias("positive_words"),
-                    F.when(has, neg).alias("negative_words"))
-
-
-def sentiment(text) -> Column:
-    """SCL1: word-list sentiment of a review.
+    """SCL1: word-list sentiment of a review, from ``sentiment_counts``.
 
     A word counts once when it occurs anywhere (as a substring) in the lower-cased
     text.  score = pos/(pos+neg), confidence = hits/tokens, both to 3 places.
     Empty text or no hit gives score 0.5, confidence 0 and null counts.
     """
-    lower = F.lower(_col(text))
-    pos = sum((F.when(F.contains(lower, F.lit(w)), 1).otherwise(0) for w in C.POSITIVE_WORDS),
-              F.lit(0))
-    neg = sum((F.when(F.contains(lower, F.lit(w)), 1).otherwise(0) for w in C.NEGATIVE_WORDS),
-              F.lit(0))
+    c = _col(counts)
+    pos, neg, tokens = c["pos"], c["neg"], c["tokens"]
     hits = pos + neg
-    tokens = whitespace_tokens(text)
-    has = F.coalesce(lower != "", F.lit(False)) & (hits > 0)
+    has = F.coalesce(hits > 0, F.lit(False))
     score = F.when(has, round_half_up(pos / hits, 3)).otherwise(F.lit(0.5))
     conf = F.when(has & (tokens > 0), round_half_up(hits / tokens, 3)).otherwise(F.lit(0.0))
     return F.struct(score.alias("score"), conf.alias("confidence"),
@@ -230,12 +221,12 @@ def event_priority(user_id, action) -> Column:
                     impact.alias("business_impact"))
 
 
-def metric_alert(metric, threshold: float = C.LATENCY_ALERT_THRESHOLD) -> Column:
-    """SCL13: a warning struct when a latency metric exceeds the threshold."""
+def metric_alert(metric, threshold: float = C.LATENCY_ALERT_THRESHOLD, name: str = "latency") -> Column:
+    """SCL13: a warning struct when the metric ``name`` exceeds the threshold."""
     m = _col(metric)
     return F.when(m > F.lit(threshold), F.struct(
         F.lit("warning").alias("level"),
-        F.concat(F.lit("latency above "), F.lit(str(threshold))).alias("message"),
+        F.lit(f"{name} above {threshold}").alias("message"),
         m.alias("value")))
 
 

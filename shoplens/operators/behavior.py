@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import (action_weight, is_stream_trigger, metric_alert, money_mean,
                                        round_half_up)
-from shoplens.operators.joins import checked_broadcast
 
 PIVOT_ACTIONS = ["view", "click", "purchase", "like", "share", "cart_add"]
 PIVOT_NAMES = {"view": "views", "click": "clicks", "purchase": "purchases", "like": "likes",
@@ -63,12 +62,11 @@ def user_counts(actions: DataFrame, session_gap: str = "30 minutes") -> DataFram
             .withColumn("active_sessions", sessions.select("active_sessions").scalar()))
 
 
-def with_category(actions: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Attach each action's product category (left join: unknown products keep
-    a null category).  The dimension has one row per product; it is broadcast
-    only under the checked bound, else shuffled."""
-    dim = checked_broadcast(dimension.select("product_id", "category"))
-    return actions.join(dim, "product_id", "left")
+def with_category(per_product: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Attach the category to measures already aggregated per product (left
+    join: unknown products keep a null category).  Both sides have one row per
+    product (and period), so a product with a third of all events is one row."""
+    return per_product.join(dimension.select("product_id", "category"), "product_id", "left")
 
 
 def category_share(actions: DataFrame, dimension: DataFrame, days: int = 7) -> DataFrame:
@@ -78,10 +76,12 @@ def category_share(actions: DataFrame, dimension: DataFrame, days: int = 7) -> D
     cur = F.timestamp_add("DAY", F.lit(-days), now)
     prev = F.timestamp_add("DAY", F.lit(-2 * days), now)
     ts = F.col("timestamp")
-    per = (with_category(actions, dimension).groupBy("category")
-           .agg(F.count(F.lit(1)).alias("events"),
-                F.count_if(ts > cur).alias("current_events"),
-                F.count_if((ts > prev) & (ts <= cur)).alias("previous_events")))
+    counts = (actions.groupBy("product_id")
+              .agg(F.count(F.lit(1)).alias("events"),
+                   F.count_if(ts > cur).alias("current_events"),
+                   F.count_if((ts > prev) & (ts <= cur)).alias("previous_events")))
+    per = (with_category(counts, dimension).groupBy("category")
+           .agg(*[F.sum(c).alias(c) for c in ("events", "current_events", "previous_events")]))
     # one row per category (a bounded table): the total is a window over it,
     # not a second pass over the events
     total = F.sum("events").over(Window.partitionBy())
@@ -96,10 +96,12 @@ def category_performance(actions: DataFrame, dimension: DataFrame) -> DataFrame:
     """AGG14: per category: recommendation triggers (purchase/like/cart_add),
     click-through = clicks/views and conversion = purchases/views (4 places)."""
     a = F.col("action")
-    g = (with_category(actions, dimension).groupBy("category")
-         .agg(F.count_if(is_stream_trigger(a)).alias("recommendations"),
-              F.count_if(a == "view").alias("views"), F.count_if(a == "click").alias("clicks"),
-              F.count_if(a == "purchase").alias("purchases")))
+    counts = actions.groupBy("product_id").agg(
+        F.count_if(is_stream_trigger(a)).alias("recommendations"),
+        F.count_if(a == "view").alias("views"), F.count_if(a == "click").alias("clicks"),
+        F.count_if(a == "purchase").alias("purchases"))
+    g = (with_category(counts, dimension).groupBy("category")
+         .agg(*[F.sum(c).alias(c) for c in ("recommendations", "views", "clicks", "purchases")]))
     return g.select("category", "recommendations", "views", "clicks", "purchases",
                     round_half_up(F.try_divide(F.col("clicks"), F.col("views")), 4).alias("click_through"),
                     round_half_up(F.try_divide(F.col("purchases"), F.col("views")), 4).alias("conversion"))
@@ -122,10 +124,11 @@ def peak_hours(actions: DataFrame, n: int = 3) -> DataFrame:
 
 def region_ranking(actions: DataFrame, regions: DataFrame, n: int = 3) -> DataFrame:
     """AGG16: regions ranked by events of their users (ties: region)."""
-    u = actions.select(F.col("user_id").cast("long").alias("user_id"), "action")
+    u = (actions.groupBy(F.col("user_id").cast("long").alias("user_id"))
+         .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("action") == "purchase").alias("purchases")))
     g = (u.join(regions, "user_id").groupBy("region")
-         .agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"),
-              F.count_if(F.col("action") == "purchase").alias("purchases")))
+         .agg(F.sum("events").alias("events"), F.count_distinct("user_id").alias("users"),
+              F.sum("purchases").alias("purchases")))
     return g.orderBy(F.desc("events"), F.asc("region")).limit(n)
 
 
@@ -151,9 +154,10 @@ def event_timeline(actions: DataFrame, unit: str = "day") -> DataFrame:
 
 def category_trend(actions: DataFrame, dimension: DataFrame, unit: str = "week") -> DataFrame:
     """AGG18: events and weighted score per (period, category)."""
-    return (with_category(actions, dimension)
-            .groupBy(F.date_trunc(unit, "timestamp").cast("timestamp_ntz").alias("period"), "category")
-            .agg(F.count(F.lit(1)).alias("events"), F.sum(action_weight("action")).alias("score")))
+    counts = (actions.groupBy("product_id", F.date_trunc(unit, "timestamp").cast("timestamp_ntz").alias("period"))
+              .agg(F.count(F.lit(1)).alias("events"), F.sum(action_weight("action")).alias("score")))
+    return (with_category(counts, dimension).groupBy("period", "category")
+            .agg(F.sum("events").alias("events"), F.sum("score").alias("score")))
 
 
 def average_order_value(events: DataFrame) -> DataFrame:
@@ -231,4 +235,4 @@ def window_metrics(events: DataFrame, window: str = "1 hour", approx: bool = Fal
         round_half_up(F.col("events") / seconds, 6).alias("events_per_second"),
         round_half_up(F.try_divide(F.col("purchases"), F.col("views")), 4).alias("conversion"),
         F.col("aov").alias("average_order_value"),
-        metric_alert(F.col("aov"), threshold).getField("level").alias("alert"))
+        metric_alert(F.col("aov"), threshold, "average order value").getField("level").alias("alert"))

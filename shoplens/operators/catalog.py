@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.operators.joins import checked_broadcast
 
 DIMENSION_COLUMNS = ["product_id", "title", "price", "stars", "reviews", "isBestSeller",
                      "boughtInLastMonth", "category"]
@@ -37,17 +36,15 @@ def rename_categories(categories: DataFrame) -> DataFrame:
     return categories.withColumnsRenamed({"id": "cat_id", "category_name": "category"})
 
 
-def product_dimension(products: DataFrame, categories: DataFrame,
-                      max_broadcast_rows: int = 100_000) -> DataFrame:
+def product_dimension(products: DataFrame, categories: DataFrame) -> DataFrame:
     """PRJ1 + PRJ2 + JN1: the gold product dimension.
 
-    Categories are a small dimension (hundreds of rows); they are broadcast only
-    after a row-count check, otherwise the join is a shuffle join.
+    The join strategy follows measured sizes: the optimizer broadcasts the
+    categories when their bytes allow it, else adaptive execution decides.
     """
     cleaned = clean_products(products)
     cats = rename_categories(categories.select(F.col("id").try_cast("long").alias("id"),
                                                "category_name"))
-    cats = checked_broadcast(cats, max_broadcast_rows)
     return (cleaned.join(cats, cleaned.category_id == cats.cat_id, "inner")
             .drop("cat_id", "category_id")
             .select(*DIMENSION_COLUMNS))

@@ -118,9 +118,17 @@ def with_processing_ids(df: DataFrame, prefix: str, order_cols: list,
 
 def hashed_processing_ids(df: DataFrame, prefix: str) -> DataFrame:
     """Stream form of PRJ7: a global counter cannot be kept across executors,
-    so the id is derived from the event id (stable under replays)."""
-    h = F.pmod(F.xxhash64("event_id"), F.lit(1_000_000))
-    return df.withColumn("processing_id", F.format_string(prefix + "%06d", h))
+    so the id is the full 64-bit hash of the event's key (stable under replays)."""
+    return df.withColumn("processing_id", F.concat(F.lit(prefix), F.lower(F.lpad(F.hex(
+        F.xxhash64(event_key(df))), 16, "0"))))
+
+
+def event_key(df: DataFrame, key: str = "event_id") -> F.Column:
+    """The event id, or a hash of the whole row for an event without one.
+    Columns that differ between deliveries of one event are left out."""
+    fields = [c for c in df.columns if c not in (key, "processed_at", "processing_time")]
+    return F.coalesce(F.concat(F.lit("id:"), F.col(key).cast("string")),
+                      F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct(*fields)), 256)))
 
 
 def interactions_from_reviews(reviews: DataFrame) -> DataFrame:

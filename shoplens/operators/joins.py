@@ -1,26 +1,10 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helper for bounded top-k tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it has at most this many rows.  The check
-# reads at most ``limit + 1`` rows, so it is cheap whatever the table size.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
-
-    Otherwise return ``df`` unchanged, so the join falls back to a shuffle
-    (sort-merge) join, which AQE may still turn into a broadcast at run time
-    once it has measured the real size.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def lookup_small(small: DataFrame, big: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """``small`` left-joined with ``big`` when ``small`` is a bounded top-k.
 

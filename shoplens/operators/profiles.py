@@ -11,9 +11,9 @@ AGG5/6  user / product analytics; AGG7 processing summary; TOP1 top entities
 
 Reviews and interactions are unioned into one event table and aggregated in
 one ``groupBy`` (partial aggregation before the shuffle).  The stale average
-needs the arrival key of the last rated review per entity: a second small
-aggregate joined back on the key, instead of a per-entity window that would
-sort a hot entity's whole history in one task.
+divides by all reviews less the unrated ones after the last rated: only the
+unrated reviews are joined to the last rated arrival per entity, never the
+whole event table, and no window sorts a hot entity's history in one task.
 """
 
 from __future__ import annotations
@@ -41,22 +41,26 @@ def _profile(ev: DataFrame, key: str, other: str, stale_avg: bool = True) -> Dat
     present = F.coalesce(F.col(key) != "", F.lit(False))
     ev = ev.where(present)
     is_rev = F.col("kind") == "review"
-    last = (ev.where(is_rev & F.col("rating_num").isNotNull())
-            .groupBy(key).agg(F.max("arrival").alias("last_rated")))
-    joined = ev.join(last, key, "left")
+    rated = is_rev & F.col("rating_num").isNotNull()
     other_present = is_rev & F.coalesce(F.col(other) != "", F.lit(False))
-    prof = joined.groupBy(key).agg(
+    prof = ev.groupBy(key).agg(
         F.count_if(is_rev).alias("reviews"),
         F.count_if(F.col("kind") == "interaction").alias("interactions"),
         F.count_distinct(F.when(other_present, F.col(other))).alias("distinct_" + other),
         F.coalesce(F.sum(F.when(is_rev, F.col("rating_num"))), F.lit(0.0)).alias("total_rating"),
-        F.count_if(is_rev & (F.col("arrival") <= F.col("last_rated"))).alias("_upto"),
-        F.count_if(is_rev & F.col("rating_num").isNotNull()).alias("_rated"),
+        F.count_if(rated).alias("_rated"),
     )
-    denom = F.col("_upto") if stale_avg else F.col("_rated")
+    denom = F.col("_rated")
+    if stale_avg:
+        # only unrated reviews can follow the last rated one: those alone meet the join
+        last = ev.where(rated).groupBy(key).agg(F.max("arrival").alias("last_rated"))
+        after = (ev.where(is_rev & F.col("rating_num").isNull()).select(key, "arrival").join(last, key)
+                 .where(F.col("arrival") > F.col("last_rated")).groupBy(key).agg(F.count(F.lit(1)).alias("_after")))
+        prof = prof.join(after, key, "left")
+        denom = F.when(F.col("_rated") > 0, F.col("reviews") - F.coalesce("_after", F.lit(0)))
     return (prof.withColumn("avg_rating", F.when(denom > 0, F.col("total_rating") / denom)
                             .otherwise(F.lit(0.0)))
-            .drop("_upto", "_rated"))
+            .drop("_after", "_rated"))
 
 
 def user_profiles(reviews: DataFrame, interactions: DataFrame, avg: str = "stale") -> DataFrame:

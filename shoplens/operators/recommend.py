@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from shoplens import constants as C
 from shoplens.functions import scalars as S
-from shoplens.operators.joins import checked_broadcast
 from shoplens.operators.sequence import with_global_sequence
 from shoplens.operators.similarity import top_k_similar
 
@@ -79,13 +78,19 @@ def popularity(actions: DataFrame, products: DataFrame | None = None) -> DataFra
     The rank is a global sequence from a distributed sort, not a
     single-partition window.
     """
+    return with_global_sequence(popularity_scores(actions, products),
+                                [F.desc("popularity"), F.asc("product_id")], "pop_rank")
+
+
+def popularity_scores(actions: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """(product_id, popularity): the sum of action weights."""
     scores = (actions.where(F.col("product_id").isNotNull())
               .groupBy("product_id").agg(F.sum(S.action_weight("action")).alias("popularity")))
     if products is not None:
         scores = (products.select("product_id").distinct()
                   .join(scores, "product_id", "full")
                   .select("product_id", F.coalesce("popularity", F.lit(0.0)).alias("popularity")))
-    return with_global_sequence(scores, [F.desc("popularity"), F.asc("product_id")], "pop_rank")
+    return scores
 
 
 def fill_with_popular(users: DataFrame, recs: DataFrame, seen: DataFrame, popular: DataFrame,
@@ -100,9 +105,9 @@ def fill_with_popular(users: DataFrame, recs: DataFrame, seen: DataFrame, popula
     on (user, rank) and keeps the first ``need``.
     """
     own = recs.select("user_id", "product_id", "rank", F.col("score").cast("double").alias("score"))
-    # one row per product: broadcast under the checked bound, so a product seen
-    # by a third of all users does not skew a shuffle join
-    ranked = checked_broadcast(popular.select("product_id", "pop_rank", "popularity"))
+    # one row per product; a product seen by a third of all users is a skewed key
+    # that adaptive execution splits, the side of one row being repeated
+    ranked = popular.select("product_id", "pop_rank", "popularity")
     excluded = (seen.select("user_id", "product_id").unionByName(own.select("user_id", "product_id"))
                 .distinct().join(ranked, "product_id").select("user_id", "pop_rank"))
     n_own = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_own"))
@@ -126,10 +131,12 @@ def fill_with_popular(users: DataFrame, recs: DataFrame, seen: DataFrame, popula
     return mine.unionByName(fill.withColumn("rank", F.col("rank").cast("long")))
 
 
-def cold_start(popular: DataFrame, k: int = C.TOP_RECOMMENDATIONS) -> DataFrame:
-    """REC5 for an unknown user: the k most popular products."""
-    return (popular.where(F.col("pop_rank") <= k)
-            .select(F.col("pop_rank").alias("rank"), "product_id", F.col("popularity").alias("score"),
+def cold_start(scores: DataFrame, k: int = C.TOP_RECOMMENDATIONS) -> DataFrame:
+    """REC5 for an unknown user: the k most popular products of ``popularity_scores``
+    (a distributed top-k; the window numbers its k rows)."""
+    by = [F.desc("popularity"), F.asc("product_id")]
+    return (scores.orderBy(*by).limit(k)
+            .select(F.row_number().over(Window.orderBy(*by)).cast("long").alias("rank"), "product_id", F.col("popularity").alias("score"),
                     F.lit("popularity").alias("source")))
 
 
@@ -224,9 +231,12 @@ def event_recommendations(events: DataFrame, recs: DataFrame, n: int = 3) -> Dat
     top = recs.where(F.col("rank") <= n).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("recommendations_generated"),
         F.min_by("product_id", "rank").alias("top_recommendation"))
-    is_view = (F.col("action") == "view") & F.col("user_id").isNotNull() & (F.col("user_id") != "0")
-    j = events.join(top, "user_id", "left")
-    return j.select(*events.columns,
-                    F.when(is_view, F.coalesce("recommendations_generated", F.lit(0)))
-                    .alias("recommendations_generated"),
-                    F.when(is_view, F.col("top_recommendation")).alias("top_recommendation"))
+    is_view = F.coalesce((F.col("action") == "view") & (F.col("user_id") != "0"), F.lit(False))
+    # only views of known users can match; every other event, the many without a
+    # user among them, passes by the join
+    views = events.where(is_view).join(top, "user_id", "left").select(
+        *events.columns, F.coalesce("recommendations_generated", F.lit(0)).cast("long").alias("recommendations_generated"),
+        "top_recommendation")
+    return views.unionByName(events.where(~is_view).withColumns(
+        {"recommendations_generated": F.lit(None).cast("long"),
+         "top_recommendation": F.lit(None).cast(recs.schema["product_id"].dataType)}))

@@ -69,7 +69,7 @@ SELECT pop_rank AS rank, product_id, popularity AS score, 'popularity' AS source
 FROM pop WHERE pop_rank <= 5""")
 def q_cold_start_recommendations(spark, sf_dir):
     """REC5 for an unknown user: the five most popular products."""
-    return RC.cold_start(RC.popularity(T.actions(spark, sf_dir), dimension(spark, sf_dir)))
+    return RC.cold_start(RC.popularity_scores(T.actions(spark, sf_dir), dimension(spark, sf_dir)))
 
 
 @register("implicit_ratings", f"""WITH {Q.ACTIONS_CTE}

@@ -68,7 +68,13 @@ def rating_value(col: str) -> str:
 def rhu(expr: str, digits: int) -> str:
     """round half up, written exactly like shoplens.functions.scalars.round_half_up."""
     scale = 10 ** digits
-    return f"(floor(({expr}) * {scale}.0::DOUBLE + 0.5::DOUBLE) / {scale}.0::DOUBLE)"
+    x = f"({expr})::DOUBLE"
+    return (f"(CASE WHEN abs({x}) < {2 ** 53}.0::DOUBLE / {scale}.0::DOUBLE "
+            f"THEN floor({x} * {scale}.0::DOUBLE + 0.5::DOUBLE) / {scale}.0::DOUBLE ELSE {x} END)")
+
+
+# Python's str.split() blanks, spelled out: the SQL engine's \s is ASCII only.
+UNICODE_BLANKS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
 
 
 def word_hits(text: str, words: list[str]) -> str:
@@ -80,7 +86,7 @@ def sentiment_columns(text: str = "review_text") -> str:
     from shoplens import constants as C
     pos = word_hits(text, C.POSITIVE_WORDS)
     neg = word_hits(text, C.NEGATIVE_WORDS)
-    tokens = f"len(list_filter(string_split_regex(coalesce({text}, ''), '\\s+'), lambda x: x <> ''))"
+    tokens = f"len(list_filter(string_split_regex(coalesce({text}, ''), '{UNICODE_BLANKS}'), lambda x: x <> ''))"
     has = f"(coalesce(lower({text}) <> '', false) AND ({pos} + {neg}) > 0)"
     return f"""CASE WHEN {has} THEN {rhu(f'{pos} / ({pos} + {neg})', 3)} ELSE 0.5::DOUBLE END AS sentiment_score,
   CASE WHEN {has} AND {tokens} > 0 THEN {rhu(f'({pos} + {neg}) / {tokens}', 3)} ELSE 0.0::DOUBLE END AS sentiment_confidence,

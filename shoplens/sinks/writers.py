@@ -1,7 +1,7 @@
 """Writers (SNK1-SNK3, SNK5, SNK6).
 
-Paths are parameters; on a cluster they name shared storage.  Delta is used
-when its package is importable, Parquet otherwise.
+Paths are parameters; on a cluster they name shared storage.  The format is a
+parameter too; asking for one whose connector is missing is an error.
 """
 
 from __future__ import annotations
@@ -13,20 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def table_format(preferred: str = "delta") -> str:
-    if preferred == "delta":
-        try:
-            import delta  # noqa: F401
-            return "delta"
-        except ImportError:
-            return "parquet"
-    return preferred
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """SNK1 (gold dimension) and generic table writes."""
-    w = df.write.mode(mode).format(table_format(fmt))
+    w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -10,16 +10,13 @@ from pyspark.sql.utils import AnalysisException
 from shoplens import constants as C
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "utf-8",
-             max_rows: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "utf-8") -> DataFrame:
     """SRC1: header CSV with a declared schema (no inference pass); malformed
-    values become null (PERMISSIVE).  Without a schema every column is text.
-    ``max_rows`` is the reference's optional row cap (SRC5); unset by default."""
+    values become null (PERMISSIVE).  Without a schema every column is text."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding)
     if schema:
         reader = reader.schema(schema)
-    df = reader.csv(path)
-    return df.limit(max_rows) if max_rows else df
+    return reader.csv(path)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,13 +86,13 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = N
     return df
 
 
-def new_file_stream(spark: SparkSession, folder: str, columns: list[str], max_files: int = 1,
+def new_file_stream(spark: SparkSession, folder: str, columns: list[str], max_files: int | None = None,
                     pattern: str = "*.csv") -> DataFrame:
     """SRC7: each new CSV file in ``folder`` once, every column as text; the
     streaming checkpoint remembers the files already sent."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return (spark.readStream.schema(schema).option("header", True)
-            .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).csv(folder))
+    reader = spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).csv(folder)
 
 
 def read_ml_config(spark: SparkSession, path: str) -> dict:

@@ -136,14 +136,12 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, nation, region) from customer x nation x region; the two small
-    dimensions are joined by broadcast (25 and 5 rows by definition of TPC-H-like
-    nation and region tables, checked anyway)."""
-    from shoplens.operators.joins import checked_broadcast
+    """(user_id, nation, region) from customer x nation x region; the optimizer
+    broadcasts the small dimensions by their measured bytes."""
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = nation.join(checked_broadcast(region), nation.n_regionkey == region.r_regionkey)
-    return (cust.join(checked_broadcast(geo), cust.c_nationkey == geo.n_nationkey)
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return (cust.join(geo, cust.c_nationkey == geo.n_nationkey)
             .select(F.col("c_custkey").alias("user_id"), F.col("n_name").alias("nation"),
                     F.col("r_name").alias("region")))

@@ -33,10 +33,11 @@ from shoplens.operators import events as E
 
 
 def file_event_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet",
-                      max_files: int = 1) -> DataFrame:
-    """STR7 source: files of ``folder`` as a stream, ``max_files`` per batch."""
-    return (spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
-            .load(folder))
+                      max_files: int | None = None) -> DataFrame:
+    """STR7 source: files of ``folder`` as a stream, all new ones per batch
+    unless ``max_files`` limits them."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(folder)
 
 
 def with_event_time(stream: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -51,8 +52,11 @@ def dedupe_events(stream: DataFrame, watermark: str = "10 minutes", ts: str = "t
                   key: str = "event_id") -> DataFrame:
     """STR10: drop repeated event ids while they can still arrive; rows older
     than the watermark are dropped by the state operator and counted in the
-    query progress (``numRowsDroppedByWatermark``)."""
-    return with_event_time(stream, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    query progress (``numRowsDroppedByWatermark``).  An event without an id is
+    known by a hash of its whole row, so different ones all stay."""
+    s = with_event_time(stream, ts)
+    known = s.withColumn("_event_key", E.event_key(s, key))
+    return known.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["_event_key"]).drop("_event_key")
 
 
 def enrich_interaction_stream(stream: DataFrame) -> DataFrame:

@@ -62,3 +62,48 @@ def test_column_overlap_names(spark):
     assert info["shared"] == ["id"]
     assert info["category_like"] == ["cat_id", "category_name"]
     assert info["dtypes"] == ["bigint", "double", "string"]
+
+
+def test_events_without_an_id_all_stay(spark, tmp_path):
+    from shoplens.streaming import jobs as J
+    src = spark.createDataFrame(
+        [(None, "u1", "2024-01-01 00:00:00"), (None, "u2", "2024-01-01 00:00:00"), (None, "u1", "2024-01-01 00:00:00"),
+         ("e1", "u1", "2024-01-01 00:00:00"), ("e1", "u1", "2024-01-01 00:00:00")],
+        "event_id string, user_id string, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) as timestamp")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = J.file_event_stream(spark, str(tmp_path / "in"), "event_id string, user_id string, timestamp timestamp")
+    q = (J.dedupe_events(stream).writeStream.format("memory").queryName("no_ids")
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r["event_id"] or "", r["user_id"]) for r in spark.sql("select * from no_ids").collect())
+    assert got == [("", "u1"), ("", "u2"), ("e1", "u1")]
+
+
+def test_processing_ids_do_not_collide(spark):
+    from shoplens.operators import events as E
+    df = spark.range(20_000).selectExpr("cast(id as string) as event_id", "id % 7 as user_id")
+    assert E.hashed_processing_ids(df, "p_").select("processing_id").distinct().count() == 20_000
+    none = spark.range(2).selectExpr("cast(null as string) as event_id", "id as user_id")
+    assert E.hashed_processing_ids(none, "p_").select("processing_id").distinct().count() == 2
+
+
+def test_rounding_of_large_numbers(spark):
+    from shoplens.functions.scalars import round_half_up
+    rows = [(1e13,), (3e18,), (2.5,), (None,), (float("nan"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(round_half_up("x", 3)).collect()]
+    assert got[:4] == [1e13, 3e18, 2.5, None] and got[4] != got[4]
+
+
+def test_tokens_are_those_of_split(spark):
+    from shoplens.functions.scalars import whitespace_tokens
+    texts = ["\ngood phone", "\t a b　c ", "", " \n", "a b\x1cc d", "one"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(whitespace_tokens("t")).collect()
+    assert [r[0] for r in got] == [len(t.split()) for t in texts]
+
+
+def test_missing_connector_is_an_error(spark, tmp_path):
+    import pytest
+
+    from shoplens.sinks.writers import write_table
+    with pytest.raises(Exception, match="delta"):
+        write_table(spark.range(1), str(tmp_path / "t"), "delta")

@@ -11,7 +11,7 @@ def one(spark, col, schema, rows):
 
 def test_sentiment(spark):
     rows = [("Great phone, love it",), ("badge",), ("",), (None,), ("plain words only",)]
-    out = one(spark, S.sentiment("t"), "t string", rows)
+    out = one(spark, S.sentiment_from_counts(S.sentiment_counts("t")), "t string", rows)
     assert (out[0].score, out[0].confidence, out[0].positive_words, out[0].negative_words) == (1.0, 0.5, 2, 0)
     assert (out[1].score, out[1].confidence) == (0.0, 1.0)        # "bad" inside "badge"
     assert (out[2].score, out[2].confidence, out[2].positive_words) == (0.5, 0.0, None)
