@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shoplens import constants as C
 from shoplens.functions.scalars import als_confidence, round_half_up
 from shoplens.operators.sequence import with_global_sequence
-from shoplens.operators.similarity import top_k_cosine_vectors, top_k_dot_product
+from shoplens.operators.similarity import top_k_cosine_vectors
 
 
 @dataclass
@@ -50,6 +50,8 @@ def train(ratings: DataFrame, user_col: str = "user_id", item_col: str = "asin",
     r = ratings.select(F.col(user_col).cast("string").alias(user_col),
                        F.col(item_col).cast("string").alias(item_col),
                        F.col(rating_col).cast("float").alias("rating"))
+    # read by both id indexes and by the join: computed once
+    r = r.checkpoint(eager=True)
     ui = id_index(r, user_col, "user_idx")
     ii = id_index(r, item_col, "item_idx")
     # the indexed ratings are read by the split, every ALS pass and the holdout
@@ -84,17 +86,15 @@ def recommend(result: AlsResult, users: DataFrame, n: int, dimension: DataFrame
     """REC2 + JN5 (+ JN4): top-n for the given users (any number of them),
     decoded to product ids; rating and confidence (rating / 5) to 2 places.
 
-    Scores are factor dot products over every item, computed by the block
-    kernel (MLlib's ``recommendForUserSubset`` does the same through a
-    blocked cross join).
+    Scores are factor dot products over every item, by MLlib's own blocked
+    ``recommendForUserSubset``.
     """
     uc = result.user_col
     u = users.select(F.col(uc).cast("string").alias(uc)).distinct().join(result.user_index, uc)
-    uf = result.model.userFactors.join(u.select(F.col("user_idx").alias("id")), "id", "left_semi")
-    top = top_k_dot_product(uf.select("id", F.col("features").alias("vec")),
-                            result.model.itemFactors.select("id", F.col("features").alias("vec")), n)
-    flat = top.select(F.col("user").cast("int").alias("user_idx"), "rank",
-                      F.col("item").cast("int").alias("item_idx"), F.col("score").alias("rating"))
+    top = result.model.recommendForUserSubset(u.select("user_idx"), n)
+    flat = (top.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
+            .select("user_idx", (F.col("pos") + 1).alias("rank"), F.col("r.item_idx").alias("item_idx"),
+                    F.col("r.rating").cast("double").alias("rating")))
     items = result.item_index.withColumnRenamed(result.item_col, product_col)
     out = (flat.join(u, "user_idx").join(items, "item_idx")
            .select(uc, "rank", product_col,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from shoplens.functions.scalars import round_half_up
-from shoplens.operators.sequence import with_global_sequence
+from shoplens.operators.sequence import with_running_total
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -45,21 +45,29 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact linearly interpolated quantiles (as pandas/DuckDB ``quantile_cont``)
-    from one distributed sort of all values; only the rows at the needed ranks
-    are kept.  No column's values are gathered in one task."""
-    long = _long_numeric(df, cols).where(F.col("value").isNotNull())
-    seq = with_global_sequence(long, ["column_name", "value"], "seq")
-    bounds = seq.groupBy("column_name").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    j = seq.join(F.broadcast(bounds), "column_name").withColumn("r", F.col("seq") - F.col("first"))
+    """Exact linearly interpolated quantiles (as pandas/DuckDB ``quantile_cont``).
+
+    Equal values are counted first, so a value that fills a third of a column is
+    one row; the distinct (column, value) rows are sorted and their counts summed
+    up across the sorted partitions.  Only the values that cover the needed ranks
+    are kept, and no column's values are gathered in one task."""
+    counted = (_long_numeric(df, cols).where(F.col("value").isNotNull())
+               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c")))
+    upto = with_running_total(counted, ["column_name", "value"], "c", "upto")
+    bounds = upto.groupBy("column_name").agg(F.min(F.col("upto") - F.col("c")).alias("before"), F.sum("c").alias("n"))
+    # one row per column; value covers the ranks r_first .. r_last (from 0) of its column
+    j = (upto.join(F.broadcast(bounds), "column_name")
+         .withColumn("r_last", F.col("upto") - F.col("before") - 1)
+         .withColumn("r_first", F.col("r_last") - F.col("c") + 1))
     outs = []
     for q in qs:
         h = (F.col("n") - 1) * F.lit(q)
         lo = F.floor(h)
-        pick = j.where((F.col("r") == lo) | (F.col("r") == F.least(lo + 1, F.col("n") - 1)))
+        hi = F.least(lo + 1, F.col("n") - 1)
+        pick = j.where(((F.col("r_first") <= lo) & (F.col("r_last") >= lo)) | ((F.col("r_first") <= hi) & (F.col("r_last") >= hi)))
         g = pick.groupBy("column_name").agg(
             F.first("n").alias("n"),
-            F.min_by("value", "r").alias("v_lo"), F.max_by("value", "r").alias("v_hi"))
+            F.min_by("value", "r_first").alias("v_lo"), F.max_by("value", "r_first").alias("v_hi"))
         hh = (F.col("n") - 1) * F.lit(q)
         val = F.col("v_lo") + (hh - F.floor(hh)) * (F.col("v_hi") - F.col("v_lo"))
         outs.append(g.select("column_name", F.lit(q).alias("q"), val.alias("value")))

@@ -54,3 +54,17 @@ def with_global_sequence(df: DataFrame, order_cols: list | None, name: str = "se
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + F.col("_pos") + F.lit(1))
             .drop("_pid", "_pos", "_off"))
+
+
+def with_running_total(df: DataFrame, order_cols: list, weight: str, name: str) -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over all rows up to this one in the order
+    ``order_cols`` (a unique key): sorted ranges are summed inside each partition
+    and shifted by the totals of the partitions before (one row per partition)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    frozen = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = frozen.groupBy("_pid").agg(F.sum(weight).alias("_w")) \
+        .select("_pid", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"))
+    return (frozen.withColumn(name, F.sum(weight).over(inside)).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col(name) + F.col("_off")).drop("_pid", "_off"))

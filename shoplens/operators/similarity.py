@@ -4,8 +4,9 @@ The classic Spark form -- self-join the (entity, item) table on ``item`` and
 count per pair -- emits every pair of entities that share an item, so a
 popular item shared by n entities alone produces n^2 rows.  Here:
 
-1. Entities are put into ``nb`` blocks (``nb`` from the entity count and a
-   block budget): by hash, or -- for Jaccard with a threshold t -- in set-size
+1. Entities are put into ``nb`` blocks (from the entity count, the row count
+   and the number of cores, so that block pairs keep every core busy and hold
+   few rows each): by hash, or -- for Jaccard with a threshold t -- in set-size
    order, so that the exact length filter (J > t needs the smaller set to
    exceed t times the larger) limits each block to a contiguous range of
    partner blocks.  Each (entity, item) row is replicated once per partner
@@ -171,9 +172,12 @@ def top_k_similar(pairs: DataFrame, entity: str, item: str, k: int, measure: str
                          F.col(item).cast("string").alias("item"))
             .where(F.col("entity").isNotNull() & F.col("item").isNotNull()).distinct())
     sizes = sets.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    n_entities = sizes.count()
-    nb = max(1, math.ceil(n_entities / block_entities))
     spark = pairs.sparkSession
+    total = sizes.agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("rows")).first()
+    n_entities = total["entities"]
+    nb = max(1, math.ceil(n_entities / block_entities), math.ceil(2 * (total["rows"] or 0) / group_rows),
+             min(n_entities, math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    block_entities = max(1, math.ceil(n_entities / nb))
     if measure == "jaccard" and threshold > 0 and nb > 1:
         # length filter (exact): J(a, b) > t needs min(|a|,|b|) > t * max(|a|,|b|).
         # Blocks follow set size, and each block meets only the contiguous range
@@ -308,7 +312,8 @@ def top_k_cosine_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int,
     v = vectors.select(F.col(id_col).cast("long").alias("entity"),
                        F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
     n = v.count()
-    nb = max(1, math.ceil(n / block_entities))
+    nb = max(1, math.ceil(n / block_entities),
+             min(n, math.ceil(math.sqrt(4 * vectors.sparkSession.sparkContext.defaultParallelism))))
     rep = (v.withColumn("blk", F.pmod(F.xxhash64("entity"), F.lit(nb)).cast("int"))
            .withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
            .withColumn("lo", F.least("blk", "partner")).withColumn("hi", F.greatest("blk", "partner"))
@@ -321,50 +326,3 @@ def top_k_cosine_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int,
     w = Window.partitionBy("entity").orderBy(F.desc("similarity"), F.asc("neighbour"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnsRenamed({"entity": id_col, "neighbour": "neighbour_" + id_col}))
-
-
-DOT_SCHEMA = "user long, item long, score double"
-
-
-def _local_top_dot(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    u = pdf[pdf["side"] == 0].sort_values("id", kind="stable")
-    it = pdf[pdf["side"] == 1].sort_values("id", kind="stable")
-    if not len(u) or not len(it):
-        return pd.DataFrame({"user": pd.Series([], dtype="int64"), "item": pd.Series([], dtype="int64"),
-                             "score": pd.Series([], dtype="float64")})
-    mu = np.vstack([np.asarray(v, dtype=np.float64) for v in u["vec"]])
-    mi = np.vstack([np.asarray(v, dtype=np.float64) for v in it["vec"]])
-    uid, iid = u["id"].to_numpy(), it["id"].to_numpy()
-    scores = mu @ mi.T
-    r, c, sv = _dense_row_topk(scores, np.ones(scores.shape, dtype=bool), iid, k)
-    return pd.DataFrame({"user": uid[r], "item": iid[c], "score": sv})
-
-
-
-def top_k_dot_product(users: DataFrame, items: DataFrame, k: int,
-                      block_entities: int = DEFAULT_BLOCK_ENTITIES) -> DataFrame:
-    """Top-``k`` items per user by dot product of their factor vectors.
-
-    ``users`` and ``items`` have columns (id, vec).  Users and items are
-    hashed into blocks; each vector is replicated once per block of the other
-    side with ``explode(sequence)`` (no cross join), each (user block, item
-    block) group is one matrix product emitting its local top-k, and a final
-    ``row_number() <= k`` merges them (ties: item id).
-    """
-    nu = max(1, math.ceil(users.count() / block_entities))
-    ni = max(1, math.ceil(items.count() / block_entities))
-    u = users.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
-                     F.lit(0).alias("side"),
-                     F.pmod(F.xxhash64("id"), F.lit(nu)).cast("int").alias("ub"),
-                     F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
-    i = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
-                     F.lit(1).alias("side"),
-                     F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"),
-                     F.pmod(F.xxhash64("id"), F.lit(ni)).cast("int").alias("ib"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _local_top_dot(pdf, k)
-
-    local = u.unionByName(i).groupBy("ub", "ib").applyInPandas(kernel, DOT_SCHEMA)
-    w = Window.partitionBy("user").orderBy(F.desc("score"), F.asc("item"))
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

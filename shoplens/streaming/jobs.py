@@ -20,6 +20,8 @@ STR10 duplicate and late events: watermark + ``dropDuplicatesWithinWatermark``
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -139,8 +141,10 @@ class ProfileProcessor(StatefulProcessor):
 
 def running_user_profiles(reviews: DataFrame, interactions: DataFrame) -> DataFrame:
     """STR4: running user profiles (update mode) with ``transformWithStateInPandas``
-    on the RocksDB state store.  Arrival order inside a micro-batch is
-    (timestamp, event_id); across batches it is batch order."""
+    on the RocksDB state store.  Rows are applied in batch order, and inside a
+    micro-batch in the order Spark hands a user's chunks over, each chunk sorted
+    by (timestamp, event_id); counters and sums do not depend on it, the stale
+    average (AGG3) follows that order."""
     spark = reviews.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -161,11 +165,11 @@ def recommendation_feed(recs: DataFrame) -> DataFrame:
 
 
 class ProgressCollector(StreamingQueryListener):
-    """STR9: keeps the progress of every micro-batch (rows, rates, rows dropped
-    by the watermark) for a metrics table."""
+    """STR9: keeps the progress of the last ``keep`` micro-batches (rows, rates,
+    rows dropped by the watermark) for a metrics table."""
 
-    def __init__(self):
-        self.rows = []
+    def __init__(self, keep: int = 10_000):
+        self.rows = deque(maxlen=keep)
 
     def onQueryStarted(self, event):
         pass
@@ -183,7 +187,7 @@ class ProgressCollector(StreamingQueryListener):
         pass
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "query_id string, batch_id long, input_rows long, "
+        return spark.createDataFrame(list(self.rows), "query_id string, batch_id long, input_rows long, "
                                                 "input_rows_per_second double, "
                                                 "processed_rows_per_second double, "
                                                 "rows_dropped_by_watermark long")

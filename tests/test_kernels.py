@@ -109,19 +109,3 @@ def test_global_sequence_matches_row_number(spark):
     exp = {key: n + 1 for n, key in enumerate(sorted(rows))}
     assert len(got) == len(rows)
     assert all(exp[(r.a, r.b)] == r.seq for r in got)
-
-
-def test_top_k_dot_product_brute_force(spark):
-    from shoplens.operators.similarity import top_k_dot_product
-    rnd = random.Random(5)
-    users = {i: [rnd.uniform(-1, 1) for _ in range(4)] for i in range(23)}
-    items = {j: [rnd.uniform(-1, 1) for _ in range(4)] for j in range(31)}
-    u = spark.createDataFrame(list(users.items()), "id long, vec array<double>")
-    it = spark.createDataFrame(list(items.items()), "id long, vec array<double>")
-    got = top_k_dot_product(u, it, 4, block_entities=6)
-    res = {}
-    for r in got.orderBy("user", "rank").collect():
-        res.setdefault(r.user, []).append(r.item)
-    for i, uv in users.items():
-        scored = sorted((-sum(a * b for a, b in zip(uv, iv)), j) for j, iv in items.items())
-        assert res[i] == [j for _, j in scored[:4]]
