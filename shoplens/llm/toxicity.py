@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ from shoplens.llm.common import batch_of, map_batches, stored
 MAX_DOCS = 16_000
 MAX_FEATURES = 4_096
 MIN_DOCS = 5
-STEPS = 300
-DECAY = 1e-4
+MIN_CHI = 25.0  # beyond chance for a million features
+CHUNK = 256
+STEPS = 400
+DECAY = 2e-5
 PREFIXES = (3, 4, 5)
 MEMORY_WORDS = 400_000
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -113,33 +115,40 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     share = min(1.0, max_docs / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64(F.col("l_id").cast("string")), F.lit(1_000_000)) < round(share * 1_000_000))
+    # about max_docs narrow rows, so they may be broadcast
     sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                    .join(known, F.col("id") == F.col("l_id")).select("id", "text", "y"), "toxicity-sample")
+                    .join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "text", "y"), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model({}, -50.0)
 
-    count_schema = pa.schema([("f", pa.string()), ("y", pa.int32())])
+    count_schema = pa.schema([("f", pa.string()), ("c1", pa.int64()), ("c", pa.int64())])
 
     def count(batches):
         for b in batches:
-            rows = [(f, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                    for f in {f for w in set(WORD.findall((t or "").lower())) for f in features_of(w)}]
-            yield batch_of(count_schema, [[r[0] for r in rows], [r[1] for r in rows]])
-
-    c1, c = F.sum("y").cast("double"), F.count(F.lit(1)).cast("double")
+            for at in range(0, b.num_rows, CHUNK):  # counts of a few hundred documents at a time
+                part = b.slice(at, CHUNK)
+                every, toxic = Counter(), Counter()
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held = {f for w in set(WORD.findall((t or "").lower())) for f in features_of(w)}
+                    every.update(held)
+                    if y:
+                        toxic.update(held)
+                yield batch_of(count_schema, [list(every), [toxic[f] for f in every], list(every.values())])
+
+    c1, c = F.sum("c1").cast("double"), F.sum("c").cast("double")
     # chi-square of the two-by-two table of feature and label
     expected = F.col("c") * n1 / (n0 + n1)
-    kept = map_batches(sample.select("text", "y"), count, "f string, y int").groupBy("f") \
+    kept = map_batches(sample.select("text", "y"), count, "f string, c1 long, c long").groupBy("f") \
         .agg(c1.alias("c1"), c.alias("c")).filter(F.col("c") >= MIN_DOCS) \
         .withColumn("x", (F.col("c1") - expected) ** 2 / (expected * (1 - F.col("c") / (n0 + n1 + 1.0)))) \
-        .orderBy(F.desc("x"), "f").limit(max_features).select("f").collect()
+        .filter(F.col("x") >= MIN_CHI).orderBy(F.desc("x"), "f").limit(max_features).select("f").collect()
     names = sorted(r["f"] for r in kept)
     at = {f: i for i, f in enumerate(names)}
 
-    bag_schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("rest", pa.int32()),
-                            ("held", pa.list_(pa.list_(pa.int32())))])
+    bag_schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("rest", pa.int32()), ("sizes", pa.binary()),
+                            ("held", pa.binary())])
 
     def bags(batches):
         for b in batches:
@@ -148,11 +157,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 parts = sentences((t or "").lower())
                 held = [sorted({at[f] for w in WORD.findall(s) for f in features_of(w) if f in at}) for s in parts]
                 held = [h for h in held if h]
-                out.append((i, y, len(parts) - len(held), held))
-            yield batch_of(bag_schema, list(zip(*out)) if out else [[]] * 4)
+                out.append((i, y, len(parts) - len(held), np.array([len(h) for h in held], "<i4").tobytes(),
+                            np.array([f for h in held for f in h], "<i4").tobytes()))
+            yield batch_of(bag_schema, list(zip(*out)) if out else [[]] * 5)
 
-    rows = map_batches(sample.select("id", "text", "y"), bags, "id long, y int, rest int, held array<array<int>>") \
-        .orderBy("id").collect()  # a bounded sample, as numbers of bounded features
+    rows = map_batches(sample.select("id", "text", "y"), bags, "id long, y int, rest int, sizes binary, held binary") \
+        .orderBy("id").collect()  # a bounded sample, as numbers of a bounded list of features
     return Model(*fit(names, rows))
 
 
@@ -160,17 +170,17 @@ def fit(names: list[str], rows) -> tuple[dict[str, float], float]:
     """Maximum likelihood of the labels under the noisy-or."""
     y = np.array([r["y"] for r in rows], float)
     rest = np.array([r["rest"] for r in rows], float)
-    doc = np.array([d for d, r in enumerate(rows) for _ in r["held"]], np.int64)
-    held = [h for r in rows for h in r["held"]]
-    size = np.array([len(h) for h in held], np.int64)
-    col = np.array([f for h in held for f in h], np.int64)
-    row = np.repeat(np.arange(len(held)), size)
-    per_doc = max(1.0, (rest.sum() + len(held)) / len(rows))
+    size = np.frombuffer(b"".join(r["sizes"] for r in rows), "<i4")
+    col = np.frombuffer(b"".join(r["held"] for r in rows), "<i4")
+    doc = np.repeat(np.arange(len(rows)), [len(r["sizes"]) // 4 for r in rows])
+    n_held = len(size)
+    row = np.repeat(np.arange(n_held), size)
+    per_doc = max(1.0, (rest.sum() + n_held) / len(rows))
     w, bias = np.zeros(len(names)), math.log(y.mean() / per_doc)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     n = len(rows)
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, w[col], len(held))
+        z = bias + np.bincount(row, w[col], n_held)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-bias))
         s = np.bincount(doc, np.logaddexp(0, z), n) + rest * np.logaddexp(0, bias)
         # likelihood: -s for label 0, log(1 - exp(-s)) for label 1
@@ -202,6 +212,19 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         .withColumnRenamed("id", id_col)
 
 
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score stays below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def fn(batches):
+        s = scorer(sent.value)
+        for b in batches:
+            yield b.filter(pa.array([s.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(fn, docs.schema)
+
+
 def locate(text: str, model: Model, threshold: float = 0.5) -> list[tuple[str, float]]:
     """The sentences whose own score reaches ``threshold``, with their scores, in text order."""
     s, out = scorer(model), []
