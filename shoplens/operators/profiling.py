@@ -113,9 +113,9 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """EDA5: exactly ``n`` rows, repeatable: the rows with the smallest seeded
-    hash of the key (a top-n, so only n rows per task move)."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    """EDA5: exactly ``n`` rows, repeatable in any engine: the rows with the
+    smallest MD5 of key and seed (a top-n, so only n rows per task move)."""
+    h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 

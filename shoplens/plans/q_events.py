@@ -9,6 +9,7 @@ from shoplens.operators import events as E
 from shoplens.plans.registry import register
 from shoplens.plans import sqlparts as Q
 from shoplens.sources import tables as T
+from shoplens.sources.topics import INTERACTION_TOPIC, REVIEW_TOPIC
 
 
 def reviews(spark, sf_dir):
@@ -157,3 +158,32 @@ def q_topic_records(spark, sf_dir):
     acts = T.actions(spark, sf_dir).withColumn(
         "key", F.coalesce(F.col("user_id"), F.concat(F.lit("user_"), F.col("event_id"))))
     return E.to_topic_records(acts, "key", ["event_id", "product_id", "action"])
+
+
+def topic_events(spark, sf_dir):
+    """Reviews and actions as one table of records with their topic."""
+    rv = reviews(spark, sf_dir).select(F.lit(REVIEW_TOPIC).alias("topic"), "event_id", "user_id", "product_id", "rating")
+    ac = T.actions(spark, sf_dir).select(F.lit(INTERACTION_TOPIC).alias("topic"), "event_id", "user_id", "product_id",
+                                         "action")
+    return E.append_datasets(rv, ac)
+
+
+_TOPIC_EVENTS = f"""WITH {Q.REVIEWS_CTE}, {Q.ACTIONS_CTE},
+topic_events AS (
+  SELECT '{REVIEW_TOPIC}' AS topic, event_id, user_id, product_id, rating, CAST(NULL AS VARCHAR) AS action FROM reviews
+  UNION ALL
+  SELECT '{INTERACTION_TOPIC}', event_id, user_id, product_id, CAST(NULL AS VARCHAR), action FROM actions)"""
+
+
+@register("appended_events", f"{_TOPIC_EVENTS} SELECT * FROM topic_events")
+def q_appended_events(spark, sf_dir):
+    """SET2: reviews and actions appended by column name, missing columns null."""
+    return topic_events(spark, sf_dir)
+
+
+@register("routed_events", f"""{_TOPIC_EVENTS}
+SELECT event_id, user_id, product_id, action FROM topic_events WHERE topic = '{INTERACTION_TOPIC}'""")
+def q_routed_events(spark, sf_dir):
+    """FLT4: the records of the interaction topic."""
+    return E.route_by_topic(topic_events(spark, sf_dir), INTERACTION_TOPIC) \
+        .select("event_id", "user_id", "product_id", "action")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shoplens.operators import profiles as P
 from shoplens.operators import reports as R
 from shoplens.plans import sqlparts as Q
@@ -60,6 +62,23 @@ def q_user_preferences(spark, sf_dir):
     return P.preference_counts(reviews(spark, sf_dir))
 
 
+@register("user_profiles_with_preferences", f"""{_USER},
+v AS (SELECT user_id, lang AS preference FROM reviews UNION ALL SELECT user_id, source FROM reviews),
+c AS (SELECT user_id, preference, count(*) AS count FROM v
+      WHERE coalesce(user_id <> '', false) AND preference IS NOT NULL AND preference <> ''
+        AND length(preference) < 50 GROUP BY user_id, preference),
+m AS (SELECT user_id, string_agg(preference || '=' || CAST(count AS VARCHAR), ',' ORDER BY preference) AS preferences
+      FROM c GROUP BY user_id)
+SELECT p.user_id, p.reviews, p.interactions, p.products_count, p.total_rating, p.avg_rating, m.preferences
+FROM prof_user_id p LEFT JOIN m ON p.user_id = m.user_id""")
+def q_user_profiles_with_preferences(spark, sf_dir):
+    """AGG1 with AGG4's preference map inside the profile (written as key=count, sorted)."""
+    maps = P.preference_maps(reviews(spark, sf_dir))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("preferences")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return users(spark, sf_dir).join(maps.select("user_id", text.alias("preferences")), "user_id", "left")
+
+
 @register("user_analytics", f"""{_USER}
 SELECT count(*) AS total_users,
        {Q.rhu('sum(reviews) / count(*)', 2)} AS avg_reviews_per_user,

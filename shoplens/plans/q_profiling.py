@@ -66,11 +66,13 @@ def q_missing_summary(spark, sf_dir):
 t AS (SELECT 'category' AS column_name, category AS value, count(*) AS count FROM dim
       WHERE category IS NOT NULL GROUP BY 2 ORDER BY count DESC, value ASC LIMIT 3),
 u AS (SELECT 'title' AS column_name, title AS value, count(*) AS count FROM dim
-      WHERE title IS NOT NULL GROUP BY 2 ORDER BY count DESC, value ASC LIMIT 3)
-SELECT * FROM t UNION ALL SELECT * FROM u""")
+      WHERE title IS NOT NULL GROUP BY 2 ORDER BY count DESC, value ASC LIMIT 3),
+v AS (SELECT 'product_id' AS column_name, product_id AS value, count(*) AS count FROM dim
+      WHERE product_id IS NOT NULL GROUP BY 2 ORDER BY count DESC, value ASC LIMIT 3)
+SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM v""")
 def q_top_values(spark, sf_dir):
-    """TOP4: top-3 values of category and title."""
-    return PR.top_values(dimension(spark, sf_dir), ["category", "title"], 3)
+    """TOP4: top-3 values of category, title and product id."""
+    return PR.top_values(dimension(spark, sf_dir), ["category", "title", "product_id"], 3)
 
 
 @register("head_rows", f"""{_DIM} SELECT * FROM dim ORDER BY product_id LIMIT 5""")
@@ -81,10 +83,10 @@ def q_head_rows(spark, sf_dir):
 
 @register("duplicate_rows", """
 SELECT (SELECT count(*) FROM part) - count(*) AS duplicate_rows, (SELECT count(*) FROM part) AS rows
-FROM (SELECT DISTINCT p_name, p_brand, p_type FROM part)""")
+FROM (SELECT DISTINCT * FROM part)""")
 def q_duplicate_rows(spark, sf_dir):
-    """SET3: duplicate (name, brand, type) rows of the part table."""
-    return PR.duplicate_rows(T.read_table(spark, sf_dir, "part", ["p_name", "p_brand", "p_type"]))
+    """SET3: duplicate whole rows of the part table."""
+    return PR.duplicate_rows(T.read_table(spark, sf_dir, "part"))
 
 
 @register("key_overlap", """
@@ -103,13 +105,21 @@ def q_key_overlap(spark, sf_dir):
     return PR.key_overlap(ev, "product_id", part, "p_partkey")
 
 
-@register("schema_summary")
+_TYPES = {"product_id": "string", "title": "string", "price": "double", "stars": "double", "reviews": "int",
+          "isBestSeller": "boolean", "boughtInLastMonth": "int", "category": "string"}
+
+
+@register("schema_summary", f"""{_DIM},
+c(position, column_name, dtype) AS (VALUES {', '.join(f"({i}, '{c}', '{_TYPES[c]}')"
+                                                      for i, c in enumerate(DIMENSION_COLUMNS))})
+SELECT position, column_name, dtype, (SELECT count(*) FROM dim) AS rows FROM c""")
 def q_schema_summary(spark, sf_dir):
     """EDA1: columns, types and row count of the product dimension."""
     return PR.schema_summary(dimension(spark, sf_dir))
 
 
-@register("sample_rows")
+@register("sample_rows", """
+SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 100""")
 def q_sample_rows(spark, sf_dir):
     """EDA5: a repeatable exact 100-row sample of the orders table (seed 42)."""
     orders = T.read_table(spark, sf_dir, "orders")
