@@ -129,7 +129,7 @@ def by_estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("t").alias("ta"))
     right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("t").alias("tb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    joint = pairs.join(left, "a").join(right, "b").withColumn("u", union)
+    joint = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").withColumn("u", union)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
     return joint.filter(shared >= (percent / 100 - MARGIN) * F.size("u")).select("a", "ta", "b", "tb")
 
@@ -152,12 +152,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     out.append((i, j))
             yield batch_of(schema, list(zip(*out)) if out else [[], []])
 
-    need = pairs.select(F.col("a").alias("id"), F.col("ta").alias("t")) \
-        .union(pairs.select("b", "tb")).distinct()
-    some = texts.join(need, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
-    left = some.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("text").alias("xa"))
-    right = some.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("text").alias("xb"))
-    joint = pairs.join(right, ["b", "tb"]).join(left, ["a", "ta"]).select("a", "b", "xa", "xb")
+    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("text").alias("xa"))
+    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("text").alias("xb"))
+    joint = pairs.hint("merge").join(right, ["b", "tb"]).hint("merge").join(left, ["a", "ta"]) \
+        .select("a", "b", "xa", "xb")
     return map_batches(joint, fn, "a long, b long")
 
 
@@ -165,13 +163,15 @@ def in_blocks(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, ta, b, tb, sure) of different components in long lists; sure: compared on whole sets."""
     schema = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("set", pa.binary())])
 
+    big, margin = BIG, BIG_MARGIN
+
     def sets_of(batches):
         for b in batches:
             yield batch_of(schema, [b.column(0), b.column(1),
-                                    [shingle_set(x)[:BIG].tobytes() for x in b.column(2).to_pylist()]])
+                                    [shingle_set(x)[:big].tobytes() for x in b.column(2).to_pylist()]])
 
     need = entries.select(F.col("rep").alias("id"), "t").distinct()
-    held = map_batches(texts.join(need, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), sets_of,
+    held = map_batches(texts.join(need.hint("merge"), ["id", "t"], "left_semi"), sets_of,
                        "id long, t long, set binary").withColumnRenamed("id", "rep")
     # block i meets blocks j >= i; a member of block b goes to (i, b) for i <= b and (b, j) for j > b
     last = F.ceil(F.col("m") / BLOCK).cast("int") - 1
@@ -181,7 +181,7 @@ def in_blocks(entries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .select("key", "i", "j", "mine", "v", "rep", "t", "n", "label")
 
     def compare(pdf):
-        return blocks_links(pdf, percent)
+        return blocks_links(pdf, percent, big, margin)
 
     return dealt.join(held, ["rep", "t"]).groupBy("key", "i", "j") \
         .applyInPandas(compare, "a long, ta long, b long, tb long, sure boolean")
@@ -203,7 +203,7 @@ def bits(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def blocks_links(pdf, percent: int):
+def blocks_links(pdf, percent: int, big: int, margin: float):
     """Compare the members of one list, or of one pair of its blocks."""
     import pandas as pd
     pdf = pdf.sort_values("rep")
@@ -240,7 +240,7 @@ def blocks_links(pdf, percent: int):
         if not len(q):
             continue
         both = np.bitwise_count(set_bits[q] & set_bits[p]).sum(axis=1).astype(np.int64)
-        whole = (n[q] <= BIG) & (n[p] <= BIG)
+        whole = (n[q] <= big) & (n[p] <= big)
         sure = whole & (100 * both >= percent * (n[q] + n[p] - both))
         for k in q[sure]:
             a, b = root(labels[p]), root(labels[k])
@@ -248,9 +248,9 @@ def blocks_links(pdf, percent: int):
                 parent[max(a, b)] = min(a, b)
                 out.append((rep[p], t[p], rep[k], t[k], True))
         for k in q[~whole]:
-            union = np.union1d(sets[p], sets[k])[:BIG]
+            union = np.union1d(sets[p], sets[k])[:big]
             shared = np.isin(union, sets[p], assume_unique=True) & np.isin(union, sets[k], assume_unique=True)
-            if shared.sum() >= (percent / 100 - BIG_MARGIN) * len(union):
+            if shared.sum() >= (percent / 100 - margin) * len(union):
                 out.append((rep[p], t[p], rep[k], t[k], False))
     return pd.DataFrame(out, columns=["a", "ta", "b", "tb", "sure"])
 
@@ -275,8 +275,26 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id, kept (links at similarity >= percent / 100)."""
+    return placed(docs, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less the near-duplicates of a kept document.
+    A row repeated with the same id and text stays once."""
+    found = stored(placed(docs, percent, id_col, text_col).select("id", "t", "kept"), "placed")
+    gone = stored(found.filter(~F.col("kept")).select("id", "t").distinct(), "gone")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"),
+                        F.xxhash64(text_col).alias("t"))
+    left = keyed.join(gone.hint("merge"), ["id", "t"], "left_anti")
+    named = found.filter(F.col("kept") & F.col("id").isNotNull())
+    if named.groupBy("id", "t").count().filter("count > 1").limit(1).count():
+        left = left.filter(F.col("id").isNotNull()).dropDuplicates(["id", "t"]).unionByName(left.filter("id is null"))
+    return left.select("row.*")
+
+
+def placed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: id, t (hash of the text), n_shingles, component_id, kept."""
     sets = stored(sketches(docs, id_col, text_col), "sketches")
-    texts = keyed_texts(docs, id_col, text_col)
     classes = stored(sets.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("fp")
                      .agg(F.min(F.struct("id", "t")).alias("first"), F.first("n").alias("n"),
                           F.first("sketch").alias("sketch"))
@@ -286,6 +304,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     lists = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")) \
         .filter("m > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = stored(entries.join(lists, "key"), "members")
+    # the texts of all that a list names, once: every later step works on these
+    texts = stored(keyed_texts(docs, id_col, text_col)
+                   .join(members.select(F.col("rep").alias("id"), "t").distinct().hint("merge"), ["id", "t"], "left_semi")
+                   .dropDuplicates(["id", "t"]), "texts")
     first = members.filter((F.col("rep") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n"), percent)) \
         .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(confirmed(stored(by_estimate(first, classes, percent), "pairs"), texts, percent), "confirmed")
@@ -312,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     labels = components(links).withColumnsRenamed({"node": "rep", "label": "component_id"})
     of_class = classes.select("fp", "rep").join(labels, "rep", "left") \
         .select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    named = sets.select("id", "n", "fp").join(of_class, "fp", "left")
+    named = sets.select("id", "t", "n", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return named.select("id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
