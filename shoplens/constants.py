@@ -64,6 +64,23 @@ PERIOD_DAYS = {"day": 1, "week": 7, "month": 30}
 # --- fixed values: live-metric alert ------------------------------------------
 LATENCY_ALERT_THRESHOLD = 180.0
 
+# --- our own value: window metrics warn above this average order value ---------
+ORDER_VALUE_ALERT_THRESHOLD = 180.0
+
+# --- fixed values: actions counted as columns, and the columns' names -----------
+PIVOT_ACTIONS = ["view", "click", "purchase", "like", "share", "cart_add"]
+PIVOT_NAMES = {"view": "views", "click": "clicks", "purchase": "purchases", "like": "likes",
+               "share": "shares", "cart_add": "cart_adds"}
+
+# --- fixed values: labels of processed API events -------------------------------
+PRIORITY_VIEW = "high"
+PRIORITY_PURCHASE = "critical"
+PRIORITY_SOCIAL = "medium"
+TRIGGERS_PURCHASE = ["recommendation_update", "user_model_retrain"]
+TRIGGERS_SOCIAL = ["preference_update"]
+IMPACT_PURCHASE = "high"
+IMPACT_SOCIAL = "medium"
+
 # --- fixed values: labels and id formats of the emitted records -------------
 REVIEW_EVENT_TYPE = "amazon_review"
 REVIEW_EVENT_ID_PREFIX = "csv_"

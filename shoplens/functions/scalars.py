@@ -207,16 +207,15 @@ def event_priority(user_id, action) -> Column:
     is_view = has_user & (a == "view")
     is_purchase = has_user & (a == "purchase")
     is_social = a.isin("like", "share")
-    priority = (F.when(is_view, F.lit("high"))
-                .when(is_purchase, F.lit("critical"))
-                .when(is_social, F.lit("medium")))
+    priority = (F.when(is_view, F.lit(C.PRIORITY_VIEW))
+                .when(is_purchase, F.lit(C.PRIORITY_PURCHASE))
+                .when(is_social, F.lit(C.PRIORITY_SOCIAL)))
     triggers = (F.when(is_view, F.lit(None).cast("array<string>"))
-                .when(is_purchase, F.array(F.lit("recommendation_update"),
-                                           F.lit("user_model_retrain")))
-                .when(is_social, F.array(F.lit("preference_update"))))
+                .when(is_purchase, F.array(*[F.lit(t) for t in C.TRIGGERS_PURCHASE]))
+                .when(is_social, F.array(*[F.lit(t) for t in C.TRIGGERS_SOCIAL])))
     impact = (F.when(is_view, F.lit(None).cast("string"))
-              .when(is_purchase, F.lit("high"))
-              .when(is_social, F.lit("medium")))
+              .when(is_purchase, F.lit(C.IMPACT_PURCHASE))
+              .when(is_social, F.lit(C.IMPACT_SOCIAL)))
     return F.struct(priority.alias("action_priority"), triggers.alias("triggers"),
                     impact.alias("business_impact"))
 

@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.constants import ORDER_VALUE_ALERT_THRESHOLD, PIVOT_ACTIONS, PIVOT_NAMES
 from shoplens.functions.scalars import (action_weight, is_stream_trigger, metric_alert, money_mean,
                                        round_half_up)
 
-PIVOT_ACTIONS = ["view", "click", "purchase", "like", "share", "cart_add"]
-PIVOT_NAMES = {"view": "views", "click": "clicks", "purchase": "purchases", "like": "likes",
-               "share": "shares", "cart_add": "cart_adds"}
-
 
 def action_counts(actions: DataFrame, by: list | None = None) -> DataFrame:
     """AGG10: counts per action as columns (listed values: no extra job to find
@@ -216,7 +213,7 @@ def user_sessions(actions: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def window_metrics(events: DataFrame, window: str = "1 hour", approx: bool = False,
-                   threshold: float = 180.0, slide: str | None = None) -> DataFrame:
+                   threshold: float = ORDER_VALUE_ALERT_THRESHOLD, slide: str | None = None) -> DataFrame:
     """STR2 (batch form): per tumbling window (or sliding, with ``slide``):
     active users, events per second, conversion (purchases/views), average
     order value, and an alert when the average order value exceeds

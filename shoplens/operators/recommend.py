@@ -15,6 +15,7 @@ from shoplens import constants as C
 from shoplens.functions import scalars as S
 from shoplens.operators.sequence import with_global_sequence
 from shoplens.operators.similarity import top_k_similar
+from shoplens.operators.trending import check_limit
 
 
 def interaction_sets(events: DataFrame, user: str = "user_id", item: str = "product_id") -> DataFrame:
@@ -149,6 +150,7 @@ def implicit_ratings(actions: DataFrame) -> DataFrame:
 
 def similar_products_by_users(sets: DataFrame, k: int = 10, **kw) -> DataFrame:
     """REC4a: item-item cosine of co-interaction, n_ab / sqrt(n_a n_b), top k."""
+    check_limit("similar", k)
     return (top_k_similar(sets, "product_id", "user_id", k, "cosine", 0.0, **kw)
             .select("product_id", F.col("neighbour_product_id").alias("similar_product_id"),
                     S.round_half_up("similarity", 6).alias("similarity_score"), "common", "rank"))
@@ -164,6 +166,7 @@ def similar_products_by_content(dimension: DataFrame, k: int = 10) -> DataFrame:
     the neighbours are found by an equi-join on position (uniform keys, no
     per-category partition).
     """
+    check_limit("similar", k)
     d = (dimension.select("product_id", "category", "price")
          .where(F.col("category").isNotNull() & F.col("price").isNotNull() & (F.col("price") > 0)))
     pos = with_global_sequence(d, ["category", "price", "product_id"], "pos")
@@ -228,6 +231,7 @@ def event_recommendations(events: DataFrame, recs: DataFrame, n: int = 3) -> Dat
     """JN6: a view by a known user gets the user's top-n precomputed
     recommendations (a left join on user; works on a stream against a static
     table too)."""
+    check_limit("recommendations", n)
     top = recs.where(F.col("rank") <= n).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("recommendations_generated"),
         F.min_by("product_id", "rank").alias("top_recommendation"))

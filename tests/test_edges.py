@@ -107,3 +107,15 @@ def test_missing_connector_is_an_error(spark, tmp_path):
     from shoplens.sinks.writers import write_table
     with pytest.raises(Exception, match="delta"):
         write_table(spark.range(1), str(tmp_path / "t"), "delta")
+
+
+def test_similar_and_recommendation_bounds(spark):
+    import pytest
+
+    from shoplens.operators import recommend as R
+    df = spark.createDataFrame([("u", "p")], "user_id string, product_id string")
+    for k in (0, 31):
+        with pytest.raises(ValueError):
+            R.similar_products_by_users(df, k)
+    with pytest.raises(ValueError):
+        R.event_recommendations(df, df, 51)
