@@ -2,13 +2,14 @@
 
 File format (little-endian), one file per sorted range of documents:
 
-    header    8s  magic b"SLPKIDS1"
-              u32 bits per id, u32 ids per block, u64 n_docs, u64 n_ids, u64 n_blocks
+    head      8s magic b"SLPKIDS1", zeros up to the size of the counts below
     blocks    each block's ids packed with the lowest bit first, ``bits`` bits an id,
               padded to whole bytes
     index     i64 doc ids, u8 "doc id is present" flags, u64 ids before each document
               (n_docs + 1 entries), u64 byte offset of each block (n_blocks + 1 entries)
     trailer   u64 byte offset of the index
+    counts    8s magic, u32 bits per id, u32 ids per block, u64 n_docs, u64 n_ids,
+              u64 n_blocks (last, because a stream to a store cannot go back)
 
 The width is the minimum that holds every id of the vocabulary.  A block is
 unpacked with whole-array numpy operations, and any range of ids is read by
@@ -84,7 +85,7 @@ class Writer:
         self.offsets = [HEAD.size]
         self.parts: list[bytes] = []
         self.held = 0
-        self.out.write(b"\0" * HEAD.size)
+        self.out.write(MAGIC.ljust(HEAD.size, b"\0"))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id or 0)
@@ -110,7 +111,6 @@ class Writer:
         self.out.write(np.array(self.docs, "<i8").tobytes() + np.array(self.named, np.uint8).tobytes()
                        + np.array(self.starts, "<u8").tobytes() + np.array(self.offsets, "<u8").tobytes())
         self.out.write(struct.pack("<Q", self.offsets[-1]))
-        # counts sit in the trailer's mirror of the header: streams of object stores cannot seek back
         self.out.write(HEAD.pack(MAGIC, self.bits, BLOCK_IDS, len(self.docs), self.starts[-1],
                                  len(self.offsets) - 1))
         self.out.close()
