@@ -42,6 +42,7 @@ FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense s
                       "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login "
                       "share sharing social related recommended comment comments respond disqus replies widget search "
                       "pagination pager copyright".split())
+UNFINISHED = re.compile(r"<[A-Za-z!/?]")
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -166,6 +167,8 @@ def main_text(html: str | None) -> str:
         return ""
     p = Lines()
     p.feed(html)
+    if UNFINISHED.match(p.rawdata):
+        p.rawdata = ""  # a tag or comment that the page does not finish is no text
     p.close()
     lines = []
     for x in p.lines:
