@@ -10,13 +10,16 @@ centroid and, near a boundary, to further lists whose centroid is at most
 lists that lie behind a chosen one, as is usual for clustered data, left
 vectors without structure in one list and lost a quarter of the neighbours.)
 
-Search: a query visits the lists whose centroids the graph finds within
-(1 + ``prune``) times the distance of its nearest one, at most ``probes``.
-Candidates are compared in double precision on the original vectors.
+Search: a query visits all lists whose centroids lie within (1 + ``prune``)
+times the distance of its nearest one, however many these are: a limit on their
+number would search a smaller share of the table the larger the table is.
+Blocks of about ``QUERIES`` queries are broadcast; a task goes through its rows
+list by list and keeps the nearest of every query that reaches the list, and a
+window merges what the tasks found.  Candidates are compared in double
+precision on the original vectors.
 
-Lists with many vectors (a vector repeated often) are dealt in chunks of
-``CHUNK`` rows, each with its own task group; every chunk gives a query's
-nearest, and a window merges them.
+Lists with many vectors (a vector repeated often) are dealt in chunks of about
+``CHUNK`` rows.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part, nor do rows without an id;
@@ -26,8 +29,9 @@ all that its lists hold; equal distances go to the smaller id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +46,12 @@ BALANCE = 0.05
 LINKS = 24
 FAR_LINKS = 8
 ENTRIES = 16
-BEAM = 96
 EXPAND = 4
 REPLICAS = 6
 CHUNK = 4096
 BATCH = 512
+PAIRS = 65_536
+QUERIES = 200_000
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ class Index:
         self.entries = rng.choice(k, min(ENTRIES, k), replace=False)
         self.norms = (self.c * self.c).sum(1)
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Centroids near each row, nearest first: numbers (-1: none) and distances."""
         n, k = len(x), len(self.c)
         beam = min(beam, k)
@@ -134,10 +139,10 @@ class Index:
         return [i[:REPLICAS][(d[:REPLICAS] <= (1 + replicate) * d[0]) & (i[:REPLICAS] >= 0)]
                 for i, d in zip(ids, dist, strict=True)]
 
-    def probes_of(self, x: np.ndarray, prune: float, probes: int) -> list[np.ndarray]:
-        """The lists each query visits."""
-        ids, dist = self.search(x)
-        return [i[:probes][(d[:probes] <= (1 + prune) * d[0]) & (i[:probes] >= 0)] for i, d in zip(ids, dist, strict=True)]
+    def reach_of(self, x: np.ndarray, prune: float) -> np.ndarray:
+        """How far each query's lists may be: (1 + ``prune``) times the distance of its nearest."""
+        return (1 + prune) * np.sqrt(np.concatenate([squares(x[a:a + BATCH], self.c).min(1)
+                                                     for a in range(0, len(x), BATCH)]))
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -176,8 +181,86 @@ def listed(table: DataFrame, index, place) -> DataFrame:
     return map_batches(table.select("id", "vec"), fn, f"list int, id long, vec {kind}")
 
 
+class Best:
+    """The k nearest rows seen so far of every query."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.norms = (q * q).sum(1)
+        self.score = np.full((len(q), k), np.inf)
+        self.found = np.full((len(q), k), -1, np.int64)
+
+    def take(self, ask: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Compares the queries ``ask`` with rows in ascending order of their ids."""
+        # of equal vectors only the first k + 1 can be among a query's nearest, itself left out
+        _, same = np.unique(np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * 8))).ravel(),
+                            return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        first = np.searchsorted(same[order], same[order])
+        keep = np.sort(order[np.arange(len(order)) - first <= self.k])
+        ids, v = ids[keep], v[keep]
+        norms = (v * v).sum(1)
+        for a in range(0, len(ask), BATCH):
+            at = ask[a:a + BATCH]
+            rough = self.norms[at][:, None] + norms - 2 * (self.q[at] @ v.T)
+            slack = 1e-10 * (self.norms[at] + norms.max())
+            border = self.score[at, -1] ** 2 + slack
+            if len(v) > self.k + 1:  # the nearest k of these rows besides the query itself bound it too
+                border = np.minimum(border, np.partition(rough, self.k, axis=1)[:, self.k] + 2 * slack)
+            i, j = np.nonzero(rough <= border[:, None])
+            i = at[i]
+            other = self.ids[i] != ids[j]
+            i, j = i[other], j[other]
+            if len(i):
+                d = np.concatenate([np.sqrt(((v[j[s:s + PAIRS]] - self.q[i[s:s + PAIRS]]) ** 2).sum(1))
+                                    for s in range(0, len(i), PAIRS)])
+                self.merge(i, ids[j], d)
+
+    def merge(self, i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        who = np.unique(i)
+        i = np.concatenate([np.repeat(who, self.k), i])
+        ids, d = np.concatenate([self.found[who].ravel(), ids]), np.concatenate([self.score[who].ravel(), d])
+        order = np.lexsort((ids, d, i))
+        order = order[d[order] < np.inf]
+        i, ids, d = i[order], ids[order], d[order]
+        # a row stands in several lists, always at the same distance
+        new = np.append(True, (i[1:] != i[:-1]) | (ids[1:] != ids[:-1]))[:len(i)]
+        i, ids, d = i[new], ids[new], d[new]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        top = place < self.k
+        self.found[i[top], place[top]], self.score[i[top], place[top]] = ids[top], d[top]
+
+
+def searcher(index, sent, k: int):
+    """Compares rows (list, id, vec), list by list, with the queries that reach the list."""
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def fn(batches):
+        ids, q, reach = sent.value
+        best, centroids = Best(ids, q, k), index.value.c
+        for b in batches:
+            lists, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for a in range(0, len(lists), CHUNK):
+                v = matrix(b.column(2).slice(a, CHUNK))
+                part, row = lists[a:a + CHUNK], rows[a:a + CHUNK]
+                for one in np.unique(part):
+                    # the slack is more than rounding, so that a query's nearest list is always within its reach
+                    c = centroids[one]
+                    ask = np.flatnonzero(squares(c[None], q)[0] <= reach ** 2 + 1e-12 * (best.norms + c @ c))
+                    at = np.flatnonzero(part == one)
+                    at = at[np.argsort(row[at], kind="stable")]
+                    if len(ask):
+                        best.take(ask, row[at], v[at])
+        i, j = np.nonzero(best.score < np.inf)
+        for a in range(0, len(i), 65_536):
+            x, y = i[a:a + 65_536], j[a:a + 65_536]
+            yield batch_of(schema, [ids[x], best.found[x, y], best.score[x, y]])
+
+    return fn
+
+
 def nearest(table: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            list_size: int = LIST_SIZE, replicate: float = 0.15, prune: float = 0.35, probes: int = 64) -> DataFrame:
+            list_size: int = LIST_SIZE, replicate: float = 0.15, prune: float = 0.35) -> DataFrame:
     """query_id, rank, ``id_col``, score: the k nearest found for the rows that ``queries``
     (a condition on the column ``id``) selects, against all rows."""
     spark = table.sparkSession
@@ -192,32 +275,25 @@ def nearest(table: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_
     lists = int(min(max(1, n // list_size), MAX_CENTROIDS, max(1, len(np.unique(x, axis=0)) // 4)))
     index = spark.sparkContext.broadcast(Index(fit_centroids(x, lists)))
     postings = stored(listed(rows, index, lambda i, v: i.lists_of(v, replicate)), "postings")
-    asked = listed(rows.filter(queries), index, lambda i, v: i.probes_of(v, prune, probes))
     # one row per list, at most MAX_CENTROIDS
     chunks = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
-    left = postings.join(chunks, "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("chunk"), "id", "vec")
-    right = asked.join(chunks, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("id").alias("query_id"), "vec")
-
-    def compare(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(have) and len(ask):
-            have = have.sort_values("id")
-            ids, v = have["id"].to_numpy(), np.stack(have["vec"].to_numpy()).astype(np.float64)
-            for q, w in zip(ask["query_id"].to_numpy(), ask["vec"], strict=True):
-                d = np.sqrt(((v - w.astype(np.float64)) ** 2).sum(1))
-                d[ids == q] = np.inf
-                border = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                at = np.flatnonzero((d <= border) & (d < np.inf))
-                at = at[np.argsort(d[at], kind="stable")][:k]  # ids ascend: equal distances keep the smaller
-                found.append(pd.DataFrame({"query_id": q, "id": ids[at], "score": d[at]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"),
-                                                            "id": pd.Series(dtype="int64"),
-                                                            "score": pd.Series(dtype="float64")})
-
-    near = left.groupBy("list", "chunk").cogroup(right.groupBy("list", "chunk")) \
-        .applyInPandas(compare, "query_id long, id long, score double").distinct()
+    laid = postings.join(chunks, "list") \
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")) \
+        .repartition("list", "chunk").sortWithinPartitions("list", "chunk", "id").select("list", "id", "vec")
+    asked = rows.filter(queries).select("id", "vec")
+    blocks = -(-asked.count() // QUERIES)
+    if blocks > 1:
+        laid, asked = stored(laid, "laid"), stored(asked, "asked")
+    found = []
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toPandas()  # about QUERIES rows
+        if len(part):
+            q = np.stack(part["vec"].to_numpy()).astype(np.float64)
+            sent = spark.sparkContext.broadcast((part["id"].to_numpy(), q, index.value.reach_of(q, prune)))
+            found.append(laid.mapInArrow(searcher(index, sent, k), "query_id long, id long, score double"))
+    if not found:
+        return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
+    near = reduce(DataFrame.unionAll, found).distinct()
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -274,6 +274,25 @@ def test_op9_many_lists_and_a_common_vector(spark, monkeypatch):
     assert hit >= 0.9 * 10 * 30
 
 
+def test_op9_recall_with_a_thousand_lists(spark):
+    x = np.random.default_rng(5).normal(size=(20000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df, F.col("id") % 400 == 0, list_size=16).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hit = sum(len(set(v) & set(exact_nearest(list(range(20000)), x, q, 10)[0])) for q, v in got.items())
+    assert hit >= 0.9 * 10 * 50
+
+
+def test_op9_query_blocks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = rows_of(nearest.nearest(df, F.col("id") % 10 == 0, list_size=100))
+    monkeypatch.setattr(nearest, "QUERIES", 60)
+    assert rows_of(nearest.nearest(df, F.col("id") % 10 == 0, list_size=100)) == want
+    assert len(want) == 2000
+
+
 def test_op9_edges(spark):
     rows = [(0, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, None, "x"), (3, [0.0, 0.0], "x"), (4, [float("nan"), 1.0], "x"),
             (5, [None, 1.0], "x"), (6, [1.0, 2.0, 3.0], "x"), (7, [0.0, 1.0], "x"), (7, [0.0, 1.0], "x"),
