@@ -12,7 +12,10 @@ vectors without structure in one list and lost a quarter of the neighbours.)
 
 Search: a query visits all lists whose centroids lie within (1 + ``prune``)
 times the distance of its nearest one, however many these are: a limit on their
-number would search a smaller share of the table the larger the table is.
+number would search a smaller share of the table the larger the table is.  Where
+that nearest list is home to ``k`` rows or fewer, the distance is that of the
+first list, from near to far, by which all together are home to more than ``k``:
+every row has one home, so no query ends with fewer than ``k`` rows.
 Blocks of about ``QUERIES`` queries are broadcast; a task goes through its rows
 list by list and keeps the nearest of every query that reaches the list, and a
 window merges what the tasks found.  Candidates are compared in double
@@ -23,8 +26,8 @@ Lists with many vectors (a vector repeated often) are dealt in chunks of about
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part, nor do rows without an id;
-rows with the same id count once; a query with fewer candidates than ``k`` gets
-all that its lists hold; equal distances go to the smaller id.
+rows with the same id count once; a query gets ``k`` rows, or all others if the
+table has fewer; equal distances go to the smaller id.
 """
 
 from __future__ import annotations
@@ -139,10 +142,23 @@ class Index:
         return [i[:REPLICAS][(d[:REPLICAS] <= (1 + replicate) * d[0]) & (i[:REPLICAS] >= 0)]
                 for i, d in zip(ids, dist, strict=True)]
 
-    def reach_of(self, x: np.ndarray, prune: float) -> np.ndarray:
-        """How far each query's lists may be: (1 + ``prune``) times the distance of its nearest."""
-        return (1 + prune) * np.sqrt(np.concatenate([squares(x[a:a + BATCH], self.c).min(1)
-                                                     for a in range(0, len(x), BATCH)]))
+    def reach_of(self, x: np.ndarray, prune: float, homes: np.ndarray, need: int) -> np.ndarray:
+        """How far each query's lists may be: (1 + ``prune``) times the distance up to which
+        the lists are the nearest ones of ``need`` rows (``homes``: these rows by list) or of all."""
+        out = np.zeros(len(x))
+        for a in range(0, len(x), BATCH):
+            d = squares(x[a:a + BATCH], self.c)
+            at = d.argmin(1)
+            far = d[np.arange(len(d)), at]
+            few = np.flatnonzero(homes[at] < need)
+            for b in range(0, len(few), 64):
+                part = few[b:b + 64]
+                order = np.argsort(d[part], axis=1, kind="stable")
+                held = np.cumsum(homes[order], axis=1)
+                last = np.minimum((held < need).sum(1), len(self.c) - 1)
+                far[part] = d[part, order[np.arange(len(part)), last]]
+            out[a:a + BATCH] = (1 + prune) * np.sqrt(far)
+        return out
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -163,9 +179,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def listed(table: DataFrame, index, place) -> DataFrame:
-    """Rows (list, id, vec): each vector once per list that ``place`` names."""
+    """Rows (list, home, id, vec): each vector once per list that ``place`` names, the first is its home."""
     kind = table.schema["vec"].dataType.simpleString()
-    schema = pa.schema([("list", pa.int32()), ("id", pa.int64()),
+    schema = pa.schema([("list", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()),
                         ("vec", pa.list_(pa.float32() if kind == "array<float>" else pa.float64()))])
 
     def fn(batches):
@@ -173,12 +189,15 @@ def listed(table: DataFrame, index, place) -> DataFrame:
             for a in range(0, b.num_rows, BATCH):
                 part = b.slice(a, BATCH)
                 at = place(index.value, matrix(part.column(1)))
-                take = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+                sizes = np.array([len(x) for x in at])
+                take = pa.array(np.repeat(np.arange(len(at)), sizes))
+                home = np.zeros(sizes.sum(), bool)
+                home[np.cumsum(sizes) - sizes] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(at), pa.int32()), part.column(0).take(take),
-                     part.column(1).take(take).cast(schema.types[2])], schema=schema)
+                    [pa.array(np.concatenate(at), pa.int32()), pa.array(home), part.column(0).take(take),
+                     part.column(1).take(take).cast(schema.types[3])], schema=schema)
 
-    return map_batches(table.select("id", "vec"), fn, f"list int, id long, vec {kind}")
+    return map_batches(table.select("id", "vec"), fn, f"list int, home boolean, id long, vec {kind}")
 
 
 class Best:
@@ -276,6 +295,9 @@ def nearest(table: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_
     index = spark.sparkContext.broadcast(Index(fit_centroids(x, lists)))
     postings = stored(listed(rows, index, lambda i, v: i.lists_of(v, replicate)), "postings")
     # one row per list, at most MAX_CENTROIDS
+    homes = np.zeros(lists, np.int64)
+    for r in postings.groupBy("list").agg(F.sum(F.col("home").cast("long")).alias("n")).collect():
+        homes[r["list"]] = r["n"]
     chunks = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
     laid = postings.join(chunks, "list") \
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")) \
@@ -289,7 +311,7 @@ def nearest(table: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toPandas()  # about QUERIES rows
         if len(part):
             q = np.stack(part["vec"].to_numpy()).astype(np.float64)
-            sent = spark.sparkContext.broadcast((part["id"].to_numpy(), q, index.value.reach_of(q, prune)))
+            sent = spark.sparkContext.broadcast((part["id"].to_numpy(), q, index.value.reach_of(q, prune, homes, k + 1)))
             found.append(laid.mapInArrow(searcher(index, sent, k), "query_id long, id long, score double"))
     if not found:
         return spark.createDataFrame([], out).withColumnRenamed("id", id_col)

@@ -293,6 +293,21 @@ def test_op9_query_blocks(spark, monkeypatch):
     assert len(want) == 2000
 
 
+def test_op9_outlier_and_a_small_group_of_copies(spark):
+    x = np.random.default_rng(7).normal(size=(3000, 8))
+    x[0] = 500.0  # alone
+    x[[100, 101, 102, 103, 104]] = -300.0  # five copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df, F.col("id") % 100 == 0, list_size=30).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == list(range(0, 3000, 100)) and {len(v) for v in got.values()} == {10}
+    for q in (0, 100):
+        assert got[q] == exact_nearest(list(range(3000)), x, q, 10)[0]
+    small = df.filter("vec_id < 8")
+    assert nearest.nearest(small, F.col("id") == 0, list_size=1).count() == 7
+
+
 def test_op9_edges(spark):
     rows = [(0, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, None, "x"), (3, [0.0, 0.0], "x"), (4, [float("nan"), 1.0], "x"),
             (5, [None, 1.0], "x"), (6, [1.0, 2.0, 3.0], "x"), (7, [0.0, 1.0], "x"), (7, [0.0, 1.0], "x"),
