@@ -4,11 +4,13 @@ The standard library's streaming parser turns a page into lines: a new line
 begins at every block element and line break.  A line's ratio is its text
 outside links over its tags.  The ratios are smoothed with a Gaussian kernel, a
 two-means threshold on the smoothed values marks the dense lines, and runs of
-dense lines form clusters; the content region is the smallest container
-element that holds most of the dense text.  Every line of the region is kept -
-short paragraphs included - except those inside elements that are never
-article text (menus, footers, forms, scripts, adverts, notices, comments ...,
-by element, role or class words).
+dense lines form clusters; the content region starts from the smallest container
+element that holds most of the dense text and grows to the whole article: to the
+outermost article (or main) around it and on to all dense lines that stand in an
+article or main, or, on pages that mark neither, to all dense lines.  Every line
+of the region is kept - short paragraphs included - except those inside elements
+that are never article text (menus, footers, forms, scripts, adverts, notices,
+comments ..., by element, role or class words).
 
 Defined results: null or empty html gives an empty text; pages whose region
 has no text give an empty text; one output row per input row.
@@ -31,6 +33,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
                    "section summary table tbody td tfoot th thead tr ul br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div body td".split())
+MARKED = frozenset(["article", "main"])
 CLOSED_BY_BLOCK = frozenset(["p"])
 SKIPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe object "
                     "svg canvas menu dialog title audio video map".split())
@@ -64,6 +67,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, skipped inside, container
         self.parents = [-1]  # container number -> container around it; 0 is the page
+        self.kinds = [""]  # container number -> its tag
         self.links = 0
         self.lines = [Line(False, 0)]
 
@@ -96,6 +100,7 @@ class Lines(HTMLParser):
                 or (bool(attrs) and furniture(attrs))
             if tag in CONTAINERS:
                 self.parents.append(home)
+                self.kinds.append(tag)
                 home = len(self.parents) - 1
             self.stack.append((tag, skip, home))
             self.links += tag == "a"
@@ -189,9 +194,33 @@ def main_text(html: str | None) -> str:
                 c = p.parents[c]
     most = weight[0]
     region = max((c for c, w in weight.items() if 2 * w > most), key=lambda c: (depth(p.parents, c), weight[c]))
+    region = whole(p, region, {x.home for (x, _), d in zip(lines, dense, strict=True) if d})
     return "\n".join(t for x, t in lines if inside(p.parents, x.home, region))
 
 
+def around(parents: list[int], c: int) -> list[int]:
+    """The container and those around it, up to the page."""
+    out = []
+    while c >= 0:
+        out.append(c)
+        c = parents[c]
+    return out
+
+
+def whole(p: Lines, region: int, homes: set[int]) -> int:
+    """The smallest container that holds the region, all of the article or main it lies in,
+    and the dense lines (in ``homes``) of every other article or main; where it lies in none,
+    all dense lines."""
+    chain = around(p.parents, region)
+    marked = [c for c in chain if p.kinds[c] in MARKED]
+    if marked:
+        # the outermost article around the region; a main around it counts if it adds dense lines
+        homes = {h for h in homes if any(p.kinds[c] in MARKED for c in around(p.parents, h))}
+        inner = [c for c in marked if p.kinds[c] == "article"] or marked
+        chain = chain[chain.index(inner[-1]):]
+    return next(c for c in chain if all(inside(p.parents, h, c) for h in homes))
+
+
 def depth(parents: list[int], c: int) -> int:
     n = 0
     while parents[c] >= 0:

@@ -155,6 +155,35 @@ def test_pages_without_text(html):
     assert html_text.main_text(html) == ""
 
 
+def sentence(n, word):
+    return (" ".join([word] * n) + ".")[-n:]
+
+
+A, B, C = sentence(300, "lead"), sentence(400, "body"), sentence(200, "rest")
+
+
+@pytest.mark.parametrize("html", [
+    f"<article><h1>T</h1><p>{A}</p><section><p>{B}</p></section></article>",
+    f"<article><h1>T</h1><p>{A}</p><section><p>{B}{B}{B}</p></section><section><p>{C}</p></section><p>end</p></article>",
+    f"<main><h1>T</h1><p>{A}</p><div><p>{B}{B}</p></div><table><tr><td>{C}</td></tr></table></main>",
+    f"<main><h1>T</h1><p>{A}</p><article><p>{B}{B}</p></article></main>",
+    f"<div><div><h1>T</h1><p>{A}</p></div><div><p>{B}{B}</p></div><div><p>{C}</p></div></div>",
+    f"<div><article><h1>T</h1><p>{A}</p></article><article><p>{B}{B}</p></article></div>",
+])
+def test_an_article_in_parts_is_kept_whole(html):
+    nav, foot = '<nav><a href="x">menu</a></nav>', "<footer>all rights of the site are reserved</footer>"
+    got = html_text.main_text(f"<html><body>{nav}{html}{foot}</body></html>")
+    for part in ("T", A, B, C, "end"):
+        if f">{part}" in html:
+            assert part in got
+    assert "menu" not in got and "rights" not in got
+
+
+def test_text_outside_the_article_is_left_out():
+    teaser = f"<div><p>{C}</p></div>"
+    assert html_text.main_text(f"<body>{teaser}<article><p>{A}</p><p>{B}</p></article>{teaser}</body>") == f"{A}\n{B}"
+
+
 def test_odd_pages():
     assert html_text.main_text("plain text only") == "plain text only"
     assert html_text.main_text("</p></div>a &lt; b<br>c") == "a < b\nc"
