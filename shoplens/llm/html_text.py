@@ -10,7 +10,10 @@ outermost article (or main) around it and on to all dense lines that stand in an
 article or main, or, on pages that mark neither, to all dense lines.  Every line
 of the region is kept - short paragraphs included - except those inside elements
 that are never article text (menus, footers, forms, scripts, adverts, notices,
-comments ..., by element, role or class words).
+comments ..., by element, role or class words).  Class and id words never flag the
+page's html, body, main or article, and neither they nor a form flag an element
+that holds most of the page's dense text, unless an article or main beside it
+holds text.
 
 Defined results: null or empty html gives an empty text; pages whose region
 has no text give an empty text; one output row per input row.
@@ -34,11 +37,13 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div body td".split())
 MARKED = frozenset(["article", "main"])
+PAGE = frozenset(["html", "body"])
 CLOSED_BY_BLOCK = frozenset(["p"])
-SKIPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe object "
+SKIPPED = frozenset("head script style noscript template nav footer aside button select textarea iframe object "
                     "svg canvas menu dialog title audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                   "toolbar".split())
+HEAD_ONLY = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Words of class and id that mark page furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
                       "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead topbar toolbar "
@@ -50,14 +55,15 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "link_chars", "skip", "home")
+    __slots__ = ("parts", "tags", "link_chars", "skip", "home", "flag")
 
-    def __init__(self, skip: bool, home: int):
+    def __init__(self, skip: bool, home: int, flag: int):
         self.parts: list[str] = []
         self.tags = 0
         self.link_chars = 0
         self.skip = skip
         self.home = home
+        self.flag = flag
 
 
 class Lines(HTMLParser):
@@ -65,62 +71,85 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, skipped inside, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, skipped inside, container, flagged element
         self.parents = [-1]  # container number -> container around it; 0 is the page
         self.kinds = [""]  # container number -> its tag
+        self.flags = [(-1, 0)]  # element flagged by class, id or as form -> such an element around it, container; 0: none
         self.links = 0
-        self.lines = [Line(False, 0)]
+        self.lines = [Line(False, 0, 0)]
 
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
-    def place(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def place(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0)
 
     def new_line(self) -> None:
-        skip, home = self.place()
+        skip, home, flag = self.place()
         last = self.lines[-1]
         if last.parts or last.tags:
-            self.lines.append(Line(skip, home))
+            self.lines.append(Line(skip, home, flag))
         else:
-            last.skip, last.home = skip, home
+            last.skip, last.home, last.flag = skip, home, flag
+
+    def turned(self) -> bool:
+        """The place is skipped or flagged otherwise than the last line."""
+        skip, _, flag = self.place()
+        return self.lines[-1].skip != skip or self.lines[-1].flag != flag
+
+    def close_head(self, tag: str) -> None:
+        """The end tag of the head is optional: the body, or what only a body holds, ends it."""
+        if tag == "body" or self.stack[-1][0] == "head":
+            for k, (t, *_) in enumerate(self.stack):
+                if t == "head":
+                    del self.stack[k:]
+                    self.links = sum(t == "a" for t, *_ in self.stack)
+                    self.new_line()
+                    break
 
     def handle_starttag(self, tag, attrs):
+        if self.stack and tag not in HEAD_ONLY:
+            self.close_head(tag)
         if tag in BLOCKS and tag != "br":
             # an open paragraph ends where the next block begins
-            while self.stack and any(t == "p" for t, _, _ in self.stack[-3:]):
+            while self.stack and any(t == "p" for t, *_ in self.stack[-3:]):
                 name = self.stack.pop()[0]
                 if name == "a":
                     self.links -= 1
                 if name == "p":
                     break
         if tag not in VOID:
-            skip, home = self.place()
-            skip = skip or tag in SKIPPED or (tag == "header" and not any(t == "article" for t, _, _ in self.stack)) \
-                or (bool(attrs) and furniture(attrs))
+            skip, home, flag = self.place()
+            skip = skip or tag in SKIPPED or (tag == "header" and not any(t == "article" for t, *_ in self.stack)) \
+                or (bool(attrs) and tag not in PAGE and unseen(attrs, tag in MARKED))
+            if not skip and (tag == "form" or (attrs and tag not in PAGE and tag not in MARKED and furniture(attrs))):
+                self.flags.append((flag, home))
+                flag = len(self.flags) - 1
             if tag in CONTAINERS:
                 self.parents.append(home)
                 self.kinds.append(tag)
                 home = len(self.parents) - 1
-            self.stack.append((tag, skip, home))
+            self.stack.append((tag, skip, home, flag))
             self.links += tag == "a"
         if tag in BLOCKS:
             self.new_line()
         if tag not in VOID or tag in ("img", "input"):
-            if self.lines[-1].skip != self.place()[0]:
+            if self.turned():
                 self.new_line()
             self.lines[-1].tags += 1
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                self.links -= sum(t == "a" for t, _, _ in self.stack[k:])
+                self.links -= sum(t == "a" for t, *_ in self.stack[k:])
                 del self.stack[k:]
                 break
-        if tag in BLOCKS or self.lines[-1].skip != self.place()[0]:
+        if tag in BLOCKS or self.turned():
             self.new_line()
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_head("")
         line = self.lines[-1]
         line.parts.append(data)
         if self.links > 0:
@@ -128,17 +157,54 @@ class Lines(HTMLParser):
 
 
 def furniture(attrs) -> bool:
+    return any(value and (name == "class" or name == "id")
+               and not FURNITURE.isdisjoint(w.lower() for w in WORD.findall(value)) for name, value in attrs)
+
+
+def unseen(attrs, marked: bool) -> bool:
+    """Hidden, or of a role that is no article text (``marked``: an article or main, whatever its role)."""
     for name, value in attrs:
-        if value and (name == "class" or name == "id"):
-            if not FURNITURE.isdisjoint(w.lower() for w in WORD.findall(value)):
-                return True
-        elif name == "role" and value and value.lower() in ROLES:
+        if name == "role" and value and value.lower() in ROLES and not marked:
             return True
-        elif name in ("hidden",) or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
 
 
+def dense_lines(lines: list[tuple[Line, str]]) -> list[bool]:
+    ratios = smooth([math.log1p(max(0, len(t) - x.link_chars) / max(1, x.tags)) for x, t in lines])
+    border = two_means(ratios)
+    top = max(ratios)
+    return [r > border or r == top for r in ratios]
+
+
+def unflagged(p: Lines, lines: list[tuple[Line, str]]) -> list[tuple[Line, str]]:
+    """The lines outside flagged elements.  A flagged element that holds most of the page's dense
+    text is no furniture, unless an article or main beside it holds text outside links."""
+    if all(x.flag == 0 for x, _ in lines):
+        return lines
+    own = [(x, max(0, len(t) - x.link_chars)) for x, t in lines]
+    weight: dict[int, int] = {}
+    for (x, n), d in zip(own, dense_lines(lines), strict=True):
+        f = x.flag if d else -1
+        while f >= 0:
+            weight[f] = weight.get(f, 0) + n
+            f = p.flags[f][0]
+    cleared = {0}
+
+    def clear(f: int) -> bool:
+        while f in cleared and f > 0:
+            f = p.flags[f][0]
+        return f == 0
+
+    for f in sorted(f for f, w in weight.items() if f and 2 * w > weight.get(0, 0)):  # each holds the next
+        above = around(p.parents, p.flags[f][1])
+        if all(c in above or p.kinds[c] not in MARKED
+               for x, n in own if n and clear(x.flag) for c in around(p.parents, x.home)):
+            cleared.add(f)
+    return [(x, t) for x, t in lines if clear(x.flag)]
+
+
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     """Gaussian kernel, cut at three sigma and renormalised at the ends."""
     r = math.ceil(3 * sigma)
@@ -180,11 +246,11 @@ def main_text(html: str | None) -> str:
         text = " ".join("".join(x.parts).split()) if x.parts and not x.skip else ""
         if text:
             lines.append((x, text))
+    if lines:
+        lines = unflagged(p, lines)
     if not lines:
         return ""
-    ratios = smooth([math.log1p(max(0, len(t) - x.link_chars) / max(1, x.tags)) for x, t in lines])
-    border = two_means(ratios)
-    dense = [r > border or r == max(ratios) for r in ratios]
+    dense = dense_lines(lines)
     weight: dict[int, int] = {}  # container -> dense text in it or below
     for (x, t), d in zip(lines, dense, strict=True):
         if d:

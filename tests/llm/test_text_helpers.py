@@ -184,6 +184,23 @@ def test_text_outside_the_article_is_left_out():
     assert html_text.main_text(f"<body>{teaser}<article><p>{A}</p><p>{B}</p></article>{teaser}</body>") == f"{A}\n{B}"
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>x</title><body>{}</body></html>", "<html><head><title>x</title>{}</html>",
+    "<body class='no-sidebar'>{}</body>", "<div class='content with-sidebar'>{}</div>",
+    "<main id='main-navigation-content'>{}</main>", "<article class='related-post'>{}</article>",
+    "<div class='search-result-article'><article>{}</article></div>", "<body><form action='a.aspx'>{}</form></body>",
+    "<form><div class='page-with-sidebar'>{}</div></form>",
+])
+def test_a_flag_does_not_empty_the_page(html):
+    inner = f"<div class='ad'>Buy now</div><div><p>{A}</p><p>{B}</p></div><form><label>Mail</label></form>"
+    assert html_text.main_text(html.format(inner)) == f"{A}\n{B}"
+
+
+def test_long_comments_beside_an_article_stay_out():
+    html = f"<body><article><p>{A}</p></article><div class='comments'><article><p>{B}{B}{C}</p></article></div></body>"
+    assert html_text.main_text(html) == A
+
+
 def test_odd_pages():
     assert html_text.main_text("plain text only") == "plain text only"
     assert html_text.main_text("</p></div>a &lt; b<br>c") == "a < b\nc"
