@@ -198,6 +198,18 @@ def test_op3_learns_from_document_labels(spark, edge):
     assert kept.count() == sum(r["score"] < 0.5 for r in out.collect())
 
 
+def test_op3_length_alone_is_not_toxic(spark):
+    docs = [(i, "one two three. " * 4 + ("a vilest word." if i % 4 == 0 else "a lovely word.")) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    long = [(1, "one two three. " * 300_000), (2, "a lovely word. " * 300_000), (3, "one two three. " * 300_000 + "vilest."),
+            (4, "one two three.")]
+    long = spark.createDataFrame(long, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(long, model).collect()}
+    assert got[1] == got[4] < 0.5 and got[2] < 0.5 <= got[3]
+    assert {r["doc_id"] for r in toxicity.clean_documents(long, model).select("doc_id").collect()} == {1, 2, 4}
+
+
 def test_op5_edges(spark, edge):
     got = collections.defaultdict(list)
     for r in quality.judge(edge).collect():
