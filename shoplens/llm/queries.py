@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shoplens.llm import byte_bpe, html_text, language, near_dup, nearest, packed_ids, packing, quality, token_counts, toxicity
+from shoplens.llm import (byte_bpe, html_text, language, merkle, near_dup, nearest, packed_ids, packing, quality, spelling,
+                          token_counts, toxicity, url_filter)
 from shoplens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -96,3 +97,26 @@ def q_near_dup(spark, sf_dir):
 def q_nearest(spark, sf_dir):
     """The 10 nearest vectors found for every vector whose id is divisible by 100."""
     return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@register("op11_merkle", merkle.SQL)
+def q_merkle(spark, sf_dir):
+    """Merkle manifest of the documents, a tree per source, with the check of a copy without line feeds."""
+    return merkle.verified_manifest(read_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@register("op12_url_filter", url_filter.SQL)
+def q_url_filter(spark, sf_dir):
+    """Verdict on every page's url by the rules above."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+@register("op13_spelling", spelling.SQL)
+def q_spelling(spark, sf_dir):
+    """Words of the documents with their near words, more frequent form and root."""
+    return spelling.variants(spelling.word_counts(read_table(spark, sf_dir, "documents"), garble=31))
