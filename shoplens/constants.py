@@ -49,6 +49,10 @@ TOP_RECOMMENDATIONS = 5
 DEFAULT_PREDICTED_RATING = 4.0
 PREFERENCE_MAX_LEN = 50      # metadata values shorter than this count as preferences
 
+# --- fixed values: count triggers of the event stream -----------------------
+REVIEWS_PER_RECOMMENDATION = 10
+EVENTS_PER_REPORT = 25
+
 # --- fixed values: ALS training --------------------------------------------------
 ALS_RANK = 10
 ALS_MAX_ITER = 5

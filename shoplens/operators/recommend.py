@@ -186,6 +186,52 @@ def similar_products_by_content(dimension: DataFrame, k: int = 10) -> DataFrame:
             .select("product_id", "similar_product_id", "similarity_score", "rank"))
 
 
+PRICE_BAND = 100.0  # width of a price band in tastes
+
+
+def content_cells(dimension: DataFrame) -> DataFrame:
+    """(product_id, category, band): a product's cell is its category and price band."""
+    return (dimension.select("product_id", "category", F.floor(F.col("price") / PRICE_BAND).cast("long").alias("band"))
+            .where(F.col("category").isNotNull() & F.col("band").isNotNull()))
+
+
+def taste_vectors(actions: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(user_id, category, band, taste): the share of a user's action weight in each cell (6 places)."""
+    known = actions.where(F.coalesce(F.col("user_id") != "", F.lit(False)))
+    weights = (known.groupBy("user_id", "product_id").agg(F.sum(S.action_weight("action")).alias("w"))
+               .join(content_cells(dimension), "product_id")
+               .groupBy("user_id", "category", "band").agg(F.sum("w").alias("w")))
+    total = weights.groupBy("user_id").agg(F.sum("w").alias("total"))
+    return weights.join(total, "user_id").select(
+        "user_id", "category", "band", S.round_half_up(F.col("w") / F.col("total"), 6).alias("taste"))
+
+
+def content_recommendations(actions: DataFrame, dimension: DataFrame, popularity_of: DataFrame,
+                            k: int = C.TOP_RECOMMENDATIONS) -> DataFrame:
+    """REC7's content recommender: unseen products of the user's favourite cells.
+
+    Ordered by the user's taste for the cell, then the product's place in its
+    cell (popularity desc, id asc), then cell and id.  A cell's products are
+    ranked once; a user who has seen s products of a cell needs at most its first
+    k + s, so each (user, cell) expands that many places (linear in the data),
+    joins them to the index by (cell, place), drops what was seen and keeps k.
+    """
+    cells = content_cells(dimension)
+    by = Window.partitionBy("category", "band").orderBy(F.desc("popularity"), F.asc("product_id"))
+    index = cells.join(popularity_of.select("product_id", "popularity"), "product_id", "left") \
+        .fillna(0.0, ["popularity"]).withColumn("place", F.row_number().over(by)) \
+        .select("category", "band", "place", "product_id")
+    seen = interaction_sets(actions)
+    seen_in = seen.join(cells, "product_id").groupBy("user_id", "category", "band").agg(F.count(F.lit(1)).alias("n_seen"))
+    wants = taste_vectors(actions, dimension).join(seen_in, ["user_id", "category", "band"], "left") \
+        .select("user_id", "category", "band", "taste", F.explode(F.sequence(
+            F.lit(1), (F.lit(k) + F.coalesce("n_seen", F.lit(0))).cast("int"))).alias("place"))
+    found = wants.join(index, ["category", "band", "place"]).join(seen, ["user_id", "product_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy(F.desc("taste"), "place", "category", "band", "product_id")
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("user_id", "product_id", F.col("taste").alias("score"), "rank"))
+
+
 def evaluate(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """REC7 metrics of one recommender: users with relevant items, hit rate,
     mean precision@k and mean recall@k (4 places)."""

@@ -20,17 +20,15 @@ def _one_row_struct(df: DataFrame):
 
 def _top_array(df: DataFrame, order_cols: list):
     """A small ordered top-k DataFrame as one array<struct> scalar."""
-    cols = df.columns
+    cols = [c for c in df.columns if not c.startswith("_")]  # not the order columns
     arr = F.array_sort(F.collect_list(F.struct(*order_cols, F.struct(*cols).alias("row"))))
     return df.select(arr.alias("a")).select(F.transform("a", lambda x: x["row"]).alias("a")).scalar()
 
 
-def analytics_document(reviews: DataFrame, interactions: DataFrame, user_profiles: DataFrame,
-                       product_profiles: DataFrame, recommendations: DataFrame | None = None
-                       ) -> DataFrame:
-    """RPT1: processing summary, user/product analytics with their top 5,
-    recommendation analytics (AGG8) when recommendations are given."""
-    summary = P.processing_summary(reviews, interactions)
+def report_document(summary: DataFrame, user_profiles: DataFrame, product_profiles: DataFrame,
+                    recommendations: DataFrame | None = None) -> DataFrame:
+    """RPT1 from its parts: the one-row processing summary, the profiles, and
+    recommendations (AGG8) when given."""
     ua = P.entity_analytics(user_profiles, "user")
     pa = P.entity_analytics(product_profiles, "product")
     tu = P.top_entities(user_profiles, "user_id", 5)
@@ -54,6 +52,16 @@ def analytics_document(reviews: DataFrame, interactions: DataFrame, user_profile
     return base
 
 
+def analytics_document(reviews: DataFrame, interactions: DataFrame, user_profiles: DataFrame,
+                       product_profiles: DataFrame, recommendations: DataFrame | None = None
+                       ) -> DataFrame:
+    """RPT1 of batch tables: processing summary, user/product analytics with
+    their top 5, recommendation analytics when recommendations are given.  Each
+    profile table is read by its totals and by its top list: stored once."""
+    users, products = user_profiles.checkpoint(eager=True), product_profiles.checkpoint(eager=True)
+    return report_document(P.processing_summary(reviews, interactions), users, products, recommendations)
+
+
 def behaviour_report(actions: DataFrame, dimension: DataFrame, regions: DataFrame) -> DataFrame:
     """RPT3: one-row user-behaviour document: action counts, funnel, user
     counts, category shares, peak hours and top regions (each part a small

@@ -38,6 +38,14 @@ def check_limit(kind: str, limit: int) -> int:
     return int(limit)
 
 
+def within_bounds(kind: F.Column, limit: F.Column) -> F.Column:
+    """FLT7 over a table of requests: is ``limit`` inside the bounds of its kind?  False for an unknown kind or a null."""
+    inside = F.lit(False)
+    for name, (lo, hi) in C.LIMIT_BOUNDS.items():
+        inside = F.when(kind == name, limit.between(lo, hi)).otherwise(inside)
+    return F.coalesce(inside, F.lit(False))
+
+
 def trend_scores(actions: DataFrame, period: str = "week") -> DataFrame:
     """Per product: raw_score, previous_score, trend_score, growth_rate, views_today."""
     days = period_days(period)

@@ -22,13 +22,13 @@ def interactions(spark, sf_dir):
     return E.interactions_from_reviews(reviews(spark, sf_dir))
 
 
-_META_COUNT = "((CASE WHEN coalesce(lang, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(source, '') <> '' THEN 1 ELSE 0 END))"
+_META_COUNT = "(" + " + ".join(f"(CASE WHEN coalesce({c}, '') <> '' THEN 1 ELSE 0 END)" for c in ("lang", "source", "n_chars")) + ")"
 
 
 @register("review_events", f"""WITH {Q.REVIEWS_CTE}
 SELECT event_id, '{C.REVIEW_EVENT_TYPE}' AS event_type, 'documents' AS dataset_source, row_index, timestamp,
        user_id, product_id, rating, review_text, CAST(NULL AS VARCHAR) AS helpful,
-       CAST(NULL AS VARCHAR) AS title, lang AS meta_lang, source AS meta_source,
+       CAST(NULL AS VARCHAR) AS title, lang AS meta_lang, source AS meta_source, n_chars AS meta_n_chars,
        user_id AS kafka_key
 FROM reviews""")
 def q_review_events(spark, sf_dir):
@@ -37,7 +37,18 @@ def q_review_events(spark, sf_dir):
     return ev.select("event_id", "event_type", "dataset_source", "row_index", "timestamp",
                      "user_id", "product_id", "rating", "review_text", "helpful", "title",
                      F.col("metadata")["lang"].alias("meta_lang"),
-                     F.col("metadata")["source"].alias("meta_source"), "kafka_key")
+                     F.col("metadata")["source"].alias("meta_source"),
+                     F.col("metadata")["n_chars"].alias("meta_n_chars"), "kafka_key")
+
+
+@register("positional_review_events", f"""WITH {Q.REVIEWS_CTE}
+SELECT event_id, user_id, product_id, rating, lang AS meta_d FROM reviews""")
+def q_positional_review_events(spark, sf_dir):
+    """PRJ4: no column has a known name, so the first three are user, product and rating; the fourth is metadata."""
+    rows = T.review_rows(spark, sf_dir).select(F.col("user_id").alias("a"), F.col("product_id").alias("b"),
+                                               F.col("rating").alias("c"), F.col("lang").alias("d"), "row_index")
+    return E.review_events(rows, T.REVIEW_SOURCE_NAME, "row_index").select(
+        "event_id", "user_id", "product_id", "rating", F.col("metadata")["d"].alias("meta_d"))
 
 
 @register("review_enriched", f"""WITH {Q.REVIEWS_CTE}
@@ -187,3 +198,20 @@ def q_routed_events(spark, sf_dir):
     """FLT4: the records of the interaction topic."""
     return E.route_by_topic(topic_events(spark, sf_dir), INTERACTION_TOPIC) \
         .select("event_id", "user_id", "product_id", "action")
+
+
+_KINDS = ["recommendations", "similar", "trending", "category"]
+
+
+@register("bounded_requests", f"""WITH r AS (SELECT event_id, CASE event_id % 5 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS))} END AS kind,
+  CASE WHEN user_id IS NOT NULL THEN (event_id * 7) % 120 END AS wanted FROM events)
+SELECT event_id, kind, wanted, coalesce(CASE kind {' '.join(f"WHEN '{k}' THEN wanted BETWEEN {lo} AND {hi}" for k, (lo, hi) in C.LIMIT_BOUNDS.items())} END, false) AS accepted
+FROM r""")
+def q_bounded_requests(spark, sf_dir):
+    """FLT7: requests derived from the events, each held against the bounds of its kind."""
+    from shoplens.operators.trending import within_bounds
+    ev = T.read_table(spark, sf_dir, "events", ["event_id", "user_id"])
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("event_id") % 5).cast("int"))
+    wanted = F.when(F.col("user_id").isNotNull(), (F.col("event_id") * 7) % 120)
+    return ev.select("event_id", kind.alias("kind"), wanted.alias("wanted")).withColumn(
+        "accepted", within_bounds(F.col("kind"), F.col("wanted")))

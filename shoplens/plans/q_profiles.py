@@ -52,7 +52,8 @@ def q_product_profiles(spark, sf_dir):
 
 
 @register("user_preferences", f"""{_BASE},
-v AS (SELECT user_id, lang AS preference FROM reviews UNION ALL SELECT user_id, source FROM reviews)
+v AS (SELECT user_id, lang AS preference FROM reviews UNION ALL SELECT user_id, source FROM reviews
+      UNION ALL SELECT user_id, n_chars FROM reviews)
 SELECT user_id, preference, count(*) AS count FROM v
 WHERE coalesce(user_id <> '', false) AND preference IS NOT NULL AND preference <> ''
   AND length(preference) < 50
@@ -63,7 +64,8 @@ def q_user_preferences(spark, sf_dir):
 
 
 @register("user_profiles_with_preferences", f"""{_USER},
-v AS (SELECT user_id, lang AS preference FROM reviews UNION ALL SELECT user_id, source FROM reviews),
+v AS (SELECT user_id, lang AS preference FROM reviews UNION ALL SELECT user_id, source FROM reviews
+      UNION ALL SELECT user_id, n_chars FROM reviews),
 c AS (SELECT user_id, preference, count(*) AS count FROM v
       WHERE coalesce(user_id <> '', false) AND preference IS NOT NULL AND preference <> ''
         AND length(preference) < 50 GROUP BY user_id, preference),
@@ -133,7 +135,6 @@ def q_top_products(spark, sf_dir):
 @register("analytics_report")
 def q_analytics_report(spark, sf_dir):
     """RPT1: the comprehensive analytics document (one row of nested structs)."""
+    from shoplens.plans.q_recommend import neighbour_recs
     rv, acts = reviews(spark, sf_dir), T.actions(spark, sf_dir)
-    up = P.user_profiles(rv, acts)
-    pp = P.product_profiles(rv, acts)
-    return R.analytics_document(rv, acts, up, pp)
+    return R.analytics_document(rv, acts, P.user_profiles(rv, acts), P.product_profiles(rv, acts), neighbour_recs(spark, sf_dir))

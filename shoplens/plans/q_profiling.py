@@ -124,3 +124,21 @@ def q_sample_rows(spark, sf_dir):
     """EDA5: a repeatable exact 100-row sample of the orders table (seed 42)."""
     orders = T.read_table(spark, sf_dir, "orders")
     return PR.sample_exact(orders, 100, "o_orderkey", 42)
+
+
+_PAIRS = [("orders", "lineitem"), ("documents", "labels"), ("customer", "nation"), ("events", "orders")]
+
+
+@register("shared_columns", f"""WITH p(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PAIRS)}),
+c AS (SELECT table_name, column_name FROM duckdb_columns() WHERE NOT internal),
+s AS (SELECT p.a, p.b, x.column_name FROM p JOIN c x ON x.table_name = p.a JOIN c y ON y.table_name = p.b AND y.column_name = x.column_name)
+SELECT p.a AS left_table, p.b AS right_table, count(s.column_name) AS shared,
+  coalesce(string_agg(s.column_name, ',' ORDER BY s.column_name), '') AS columns
+FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b GROUP BY ALL""")
+def q_shared_columns(spark, sf_dir):
+    """SET4: column names that pairs of the given tables share."""
+    rows = []
+    for a, b in _PAIRS:
+        shared = PR.column_overlap(T.read_table(spark, sf_dir, a), T.read_table(spark, sf_dir, b))["shared"]
+        rows.append((a, b, len(shared), ",".join(shared)))
+    return spark.createDataFrame(rows, "left_table string, right_table string, shared long, columns string")

@@ -125,12 +125,15 @@ rel AS (SELECT * FROM te WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = t
 none_recs AS (SELECT user_id, product_id, 0.0::DOUBLE AS score, 0 AS rank FROM tr WHERE false),
 {Q.fill_cte('collab', 'tr', 'tr_recs', 'tr', 'pop')},
 {Q.fill_cte('popl', 'tr', 'none_recs', 'tr', 'pop')},
+{Q.content_cte('content', 'tr', 'pop', train_src)},
+{Q.fill_cte('contentl', 'tr', 'content', 'tr', 'pop')},
 nrel AS (SELECT user_id, count(*) AS n_rel FROM rel GROUP BY 1),
 m AS (SELECT 'collaborative' AS algorithm, user_id, product_id FROM collab
-      UNION ALL SELECT 'popularity', user_id, product_id FROM popl),
+      UNION ALL SELECT 'popularity', user_id, product_id FROM popl
+      UNION ALL SELECT 'content', user_id, product_id FROM contentl),
 h AS (SELECT m.algorithm, m.user_id, count(*) AS hits FROM m JOIN rel
       ON m.user_id = rel.user_id AND m.product_id = rel.product_id GROUP BY 1, 2),
-algs AS (SELECT 'collaborative' AS algorithm UNION ALL SELECT 'popularity'),
+algs AS (SELECT 'collaborative' AS algorithm UNION ALL SELECT 'popularity' UNION ALL SELECT 'content'),
 per AS (SELECT a.algorithm, n.user_id, n.n_rel, coalesce(h.hits, 0) AS hits
         FROM algs a CROSS JOIN nrel n LEFT JOIN h ON h.algorithm = a.algorithm AND h.user_id = n.user_id)
 SELECT algorithm, count(*) AS users,
@@ -143,22 +146,33 @@ FROM per GROUP BY algorithm"""
 @register("algorithm_comparison", _eval_sql())
 def q_algorithm_comparison(spark, sf_dir):
     """REC7: time-based holdout (last 7 days, clicks and purchases of products
-    new to the user) for the neighbour recommender and popularity."""
+    new to the user) for the neighbour and the content recommender and popularity."""
     acts = T.actions(spark, sf_dir)
     cut = acts.select(F.timestamp_add("DAY", F.lit(-7), F.max("timestamp"))).scalar()
     train = acts.where(F.col("timestamp") <= cut)
     test = acts.where((F.col("timestamp") > cut) & F.col("action").isin("click", "purchase"))
-    tr = RC.interaction_sets(train)
+    tr = RC.interaction_sets(train).checkpoint(eager=True)  # read by all three recommenders
+    dim = dimension(spark, sf_dir).checkpoint(eager=True)
     rel = RC.interaction_sets(test).join(tr, ["user_id", "product_id"], "left_anti")
-    pop = RC.popularity(train, dimension(spark, sf_dir))
+    pop = RC.popularity(train, dim)
     collab = RC.fill_with_popular(tr.select("user_id"),
                                   RC.neighbour_recommendations(tr, RC.user_neighbours(tr)), tr, pop)
     empty = tr.select("user_id", "product_id", F.lit(0.0).alias("score"),
                       F.lit(0).alias("rank")).where(F.lit(False))
     popl = RC.fill_with_popular(tr.select("user_id"), empty, tr, pop)
-    a = RC.evaluate(collab, rel, 5).select(F.lit("collaborative").alias("algorithm"), "*")
-    b = RC.evaluate(popl, rel, 5).select(F.lit("popularity").alias("algorithm"), "*")
-    return a.unionByName(b)
+    content = RC.fill_with_popular(tr.select("user_id"), RC.content_recommendations(train, dim, pop), tr, pop)
+    rows = [RC.evaluate(recs, rel, 5).select(F.lit(name).alias("algorithm"), "*")
+            for name, recs in (("collaborative", collab), ("popularity", popl), ("content", content))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register("content_recommendations", f"""WITH {Q.ACTIONS_CTE}, {Q.PRODUCT_DIM_CTE}, {Q.sets_cte('sets')},
+{Q.popularity_cte('pop')}, {Q.content_cte('content', 'sets', 'pop')}
+SELECT user_id, product_id, score, rank FROM content""")
+def q_content_recommendations(spark, sf_dir):
+    """REC7's content recommender: unseen products of each user's favourite category and price band cells."""
+    acts, dim = T.actions(spark, sf_dir), dimension(spark, sf_dir)
+    return RC.content_recommendations(acts, dim, RC.popularity_scores(acts, dim))
 
 
 @register("recommendation_analytics", f"""{_RECS}

@@ -84,7 +84,66 @@ def q_source_fallback(spark, sf_dir):
 
 @register("file_catalogue")
 def q_file_catalogue(spark, sf_dir):
-    """SRC4 + SRC5: catalogue of the written CSV files, largest first."""
+    """SRC4 + SRC5: catalogue of the written CSV files with their columns and first lines, largest first."""
     prod, _ = _write_catalogue_csv(spark, sf_dir)
-    cat = FS.file_catalogue(spark, os.path.dirname(prod), "*.csv")
+    folder = os.path.dirname(prod)
+    cat = FS.with_columns_and_sample(spark, FS.file_catalogue(spark, folder, "*.csv"), folder)
     return cat.orderBy(F.desc("length"), F.asc("path"))
+
+
+@register("file_catalogue_by_folder", f"""
+SELECT 'products_csv' AS folder, '{",".join(f.split()[0] for f in schemas.PRODUCT_TEXT.split(", "))}' AS columns,
+  true AS holds_largest, true AS samples_are_rows
+UNION ALL SELECT 'categories_csv', 'id,category_name', false, true""")
+def q_file_catalogue_by_folder(spark, sf_dir):
+    """SRC4 + SRC5: per folder of the catalogue its files' columns, whether the
+    largest file lies there, and whether every sampled line is a row of a file."""
+    prod, _ = _write_catalogue_csv(spark, sf_dir)
+    folder = os.path.dirname(prod)
+    cat = FS.with_columns_and_sample(spark, FS.file_catalogue(spark, folder, "*.csv"), folder).withColumn(
+        "folder", F.element_at(F.split("path", "/"), -2)).checkpoint(eager=True)
+    largest = FS.largest_file(cat).select(F.col("folder").alias("largest"))
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder) \
+        .select(FS.plain_path(F.col("_metadata.file_path")).alias("path"), "value").distinct()
+    found = cat.select("folder", "path", F.explode("sample").alias("value")).join(
+        lines.withColumn("found", F.lit(True)), ["path", "value"], "left")
+    checked = found.groupBy("folder").agg(F.bool_and(F.coalesce("found", F.lit(False))).alias("samples_are_rows"))
+    heads = cat.groupBy("folder").agg(F.max(F.array_join("columns", ",")).alias("columns"),
+                                      F.count_distinct("columns").alias("kinds"))
+    return heads.where("kinds = 1").join(checked, "folder").join(F.broadcast(largest), F.col("folder") == F.col("largest"), "left") \
+        .select("folder", "columns", F.col("largest").isNotNull().alias("holds_largest"), "samples_are_rows")
+
+
+@register("mixed_encodings", r"""
+SELECT doc_id, text, lang, CASE WHEN doc_id % 2 = 1 AND NOT regexp_matches(coalesce(text, ''), '[^\x00-\x{FF}]')
+  AND regexp_matches(coalesce(text, ''), '[\x{80}-\x{FF}]') THEN 'latin-1' ELSE 'utf-8' END AS encoding
+FROM documents WHERE text IS NOT NULL AND text <> ''""")
+def q_mixed_encodings(spark, sf_dir):
+    """SRC6: documents written as CSV files, some in UTF-8 and some in Latin-1,
+    read back in one query, each file in its own encoding."""
+    docs = T.read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where("text is not null and text <> ''")
+    odd = (F.col("doc_id") % 2 == 1) & ~F.col("text").rlike(r"[^\x{0}-\x{FF}]") & F.col("text").rlike(r"[\x{80}-\x{FF}]")
+    encoding = F.when(odd, F.lit("latin-1")).otherwise(F.lit("utf-8"))
+    folder = _scratch(spark, sf_dir, "bronze/mixed_csv")
+    rows = docs.withColumn("encoding", encoding)
+    style = {"escape": '"', "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for name, charset in FS.JAVA_CHARSETS.items():
+        if name in ("utf-8", "latin-1"):
+            rows.where(F.col("encoding") == name).write.options(**style, encoding=charset, lineSep="\n").csv(f"{folder}/{name}")
+    return FS.read_csv_any_encoding(spark, folder, "doc_id long, text string, lang string, encoding string",
+                                    options={"escape": '"', "multiLine": True})
+
+
+@register("configured_recommendations", f"""WITH {Q.ACTIONS_CTE}, {Q.sets_cte('sets')}, {Q.neighbours_cte('sets', 5, 0.4)},
+{Q.recs_cte('sets', 10)}
+SELECT user_id, product_id, score, rank FROM sets_recs""")
+def q_configured_recommendations(spark, sf_dir):
+    """SRC12: the neighbour recommender with the threshold and the length that a JSON configuration document names."""
+    from shoplens.operators import recommend as RC
+    path = _scratch(spark, sf_dir, "config/ml")
+    settings = [(10, 0.1, 10, 0.4)]
+    spark.createDataFrame(settings, schemas.ML_CONFIG).coalesce(1).write.json(path)
+    config = FS.read_ml_config(spark, path)
+    s = RC.interaction_sets(T.actions(spark, sf_dir))
+    near = RC.user_neighbours(s, threshold=config["similarity_threshold"])
+    return RC.neighbour_recommendations(s, near, config["recommendation_limit"])

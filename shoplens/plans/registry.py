@@ -27,7 +27,8 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from shoplens.plans import (  # noqa: F401
-        q_catalog, q_events, q_profiles, q_behavior, q_recommend, q_profiling, q_sources,
+        q_catalog, q_events, q_profiles, q_behavior, q_recommend, q_profiling, q_reports, q_sources,
+        q_streams,
     )
 
 

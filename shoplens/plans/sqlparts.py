@@ -30,7 +30,7 @@ dim AS (
 REVIEWS_CTE = """reviews AS (
   SELECT 'csv_documents_' || CAST(doc_id AS VARCHAR) AS event_id, doc_id AS row_index,
          CAST(doc_id % 150 AS VARCHAR) AS user_id, CAST(doc_id % 100 AS VARCHAR) AS product_id,
-         CAST(1 + doc_id % 5 AS VARCHAR) AS rating, text AS review_text, lang, source,
+         CAST(1 + doc_id % 5 AS VARCHAR) AS rating, text AS review_text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS timestamp
   FROM documents)"""
 
@@ -196,3 +196,19 @@ def fill_cte(name: str, users: str, recs: str, seen: str, pop: str, k: int = 5)
          'collaborative' AS source FROM {recs}
   UNION ALL
   SELECT user_id, product_id, popularity, CAST(n_own + i AS BIGINT), 'popularity' FROM {name}_fill)"""
+
+
+def content_cte(name: str, seen: str, pop: str, source: str = "actions", k: int = 5) -> str:
+    """Content recommendations over ``seen`` (user, product), ``pop`` and the dimension."""
+    return f"""{name}_cells AS (SELECT product_id, category, CAST(floor(price / 100.0::DOUBLE) AS BIGINT) AS band FROM dim
+  WHERE category IS NOT NULL AND price IS NOT NULL),
+{name}_w AS (SELECT a.user_id, c.category, c.band, sum({weight('a.action')})::DOUBLE AS w FROM {source} a
+  JOIN {name}_cells c ON a.product_id = c.product_id WHERE coalesce(a.user_id <> '', false) GROUP BY ALL),
+{name}_t AS (SELECT user_id, category, band, {rhu('w / sum(w) OVER (PARTITION BY user_id)', 6)} AS taste FROM {name}_w),
+{name}_i AS (SELECT c.*, row_number() OVER (PARTITION BY category, band ORDER BY coalesce(p.popularity, 0) DESC, c.product_id) AS place
+  FROM {name}_cells c LEFT JOIN {pop} p ON p.product_id = c.product_id),
+{name} AS (SELECT user_id, product_id, taste AS score, rank FROM (
+  SELECT t.user_id, i.product_id, t.taste, row_number() OVER (PARTITION BY t.user_id
+    ORDER BY t.taste DESC, i.place, t.category, t.band, i.product_id) AS rank
+  FROM {name}_t t JOIN {name}_i i ON i.category = t.category AND i.band = t.band
+  WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = t.user_id AND s.product_id = i.product_id)) WHERE rank <= {k})"""

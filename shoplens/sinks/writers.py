@@ -1,4 +1,4 @@
-"""Writers (SNK1-SNK3, SNK5, SNK6).
+"""Writers (SNK1, SNK3, SNK5; the layers of SNK2 and SNK6 are in ``sinks.layers``).
 
 Paths are parameters; on a cluster they name shared storage.  The format is a
 parameter too; asking for one whose connector is missing is an error.
@@ -6,12 +6,11 @@ parameter too; asking for one whose connector is missing is an error.
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplens.operators.sequence import with_global_sequence
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
@@ -22,22 +21,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
-@dataclass
-class Layout:
-    """SNK2 + SNK6: bronze (raw), silver (cleaned), gold (aggregated) and the
-    event output areas under one root."""
-    root: str
-
-    def path(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
-
-    @property
-    def areas(self) -> dict:
-        return {name: self.path("silver", name) for name in
-                ("reviews", "interactions", "recommendations", "analytics", "user_profiles",
-                 "product_profiles")}
-
-
 def with_event_date(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
     return df.withColumn("date", F.to_date(ts_col))
 
@@ -57,12 +40,12 @@ def write_csv_sample(df: DataFrame, path: str) -> None:
 
 
 def write_json_documents(df: DataFrame, path: str, rows_per_document: int = 100_000) -> None:
-    """Write rows as JSON array documents (the SRC2 input format), one array
-    per hash bucket so no document grows with the table."""
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_document))
+    """Write rows as JSON array documents (the SRC2 input format).  Rows are
+    dealt by their number, so that no document holds more than
+    ``rows_per_document`` however often a row repeats."""
     cols = df.columns
-    docs = (df.withColumn("doc", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    numbered = with_global_sequence(df, None, "_seq")
+    docs = (numbered.withColumn("doc", F.expr(f"(_seq - 1) div {rows_per_document}"))
             .groupBy("doc").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value")))
     # one folder per document: a multiLine JSON file holds exactly one value
     docs.write.mode("overwrite").partitionBy("doc").text(path)

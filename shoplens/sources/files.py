@@ -3,7 +3,7 @@ encoding check, and the new-file stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -51,9 +51,28 @@ def file_catalogue(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
                         "modificationTime")
 
 
-def file_columns(spark: SparkSession, path: str) -> list[str]:
-    """SRC4: the header of one CSV file (reads only its first line)."""
-    return spark.read.option("header", True).csv(path).columns
+def plain_path(path) -> F.Column:
+    """A file's path as one text: ``file:///x`` and ``file:/x`` name the same file."""
+    return F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
+
+
+def with_columns_and_sample(spark: SparkSession, catalogue: DataFrame, folder: str, pattern: str = "*.csv",
+                            sample: int = 3) -> DataFrame:
+    """SRC4: the catalogue with each file's header fields and its first lines.
+
+    The header is the line at the file's start; lines are numbered by their place
+    in the file's splits, and only the first split's lines are kept, so a file is
+    one group of at most ``sample`` + 1 lines after a partial top-k.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value").where("start = 0")
+    w = Window.partitionBy("path").orderBy("at")
+    first = lines.withColumn("row", F.row_number().over(w)).where(F.col("row") <= sample + 1)
+    heads = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("lines"))
+    fields = F.transform(F.split(F.col("lines")[0]["value"], ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    heads = heads.select("path", fields.alias("columns"), F.slice("lines.value", 2, sample).alias("sample"))
+    return catalogue.withColumn("path", plain_path(F.col("path"))).join(heads, "path", "left")
 
 
 def largest_file(catalogue: DataFrame) -> DataFrame:
@@ -61,29 +80,40 @@ def largest_file(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(F.desc("length"), F.asc("path")).limit(1)
 
 
-# Java charset names of the encodings Spark's CSV reader accepts; cp1252 has
-# none, and is never reached anyway because latin-1 decodes any byte.
+# Java charset names of the encodings Spark's CSV reader accepts; the last one of
+# the list that decodes any byte ends the search, so cp1252 is never reached.
 JAVA_CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """SRC6: UTF-8 first; Spark does not fail on bad bytes but inserts U+FFFD,
-    so a first pass looks for it and, if present, the file is read as the next
-    encoding in the list that decodes without replacement characters
-    (latin-1 always decodes)."""
-    df = None
-    for enc in C.ENCODINGS:
-        if enc not in JAVA_CHARSETS:
-            continue
-        df = read_csv(spark, path, schema, encoding=JAVA_CHARSETS[enc])
-        text_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-        if not text_cols:
-            return df
-        bad = df.select(F.max(F.greatest(*[F.coalesce(F.col(c).contains("�"), F.lit(False))
-                                            .cast("int") for c in text_cols]))).first()[0]
-        if not bad:
-            return df
-    return df
+def file_encodings(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """SRC6: (path, encoding) of every file: the first of the encodings that
+    decodes all its bytes.  The text source hands lines over as the bytes they
+    are, so large files are tested in splits; an empty file counts as UTF-8."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    valid = lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
+    return valid.groupBy("path").agg(F.bool_and("ok").alias("ok")).select(
+        "path", F.when(F.col("ok"), F.lit(C.ENCODINGS[0])).otherwise(F.lit(C.ENCODINGS[1])).alias("encoding"))
+
+
+def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = None, pattern: str = "*.csv",
+                          options: dict | None = None) -> DataFrame:
+    """SRC6: header CSV files of a folder, each read in its own encoding.
+
+    Both readings are declared; a file's rows are taken from the one that
+    ``file_encodings`` names (a join on the file's path, one row per file).
+    Without a schema every column is text, in the columns of the first file.
+    """
+    odd = file_encodings(spark, path, pattern).where(F.col("encoding") != C.ENCODINGS[0]).select("path")
+
+    def read(encoding):
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(**(options or {})) \
+            .option("encoding", JAVA_CHARSETS[encoding]).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+        df = (reader.schema(schema) if schema else reader).csv(path)
+        return df.select("*", F.col("_metadata.file_path").alias("_path"))
+
+    utf8 = read(C.ENCODINGS[0]).join(odd, F.col("_path") == F.col("path"), "left_anti")
+    other = read(C.ENCODINGS[1]).join(odd, F.col("_path") == F.col("path"), "left_semi")
+    return utf8.unionByName(other).drop("_path")
 
 
 def new_file_stream(spark: SparkSession, folder: str, columns: list[str], max_files: int | None = None,

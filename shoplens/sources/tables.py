@@ -121,15 +121,15 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review rows as a review CSV would hold them, plus their row index.
 
     Columns: row_index, user_id, product_id, rating (text), text, lang, source,
-    review_date.
+    n_chars, review_date.
     """
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     return docs.select(
         F.col("doc_id").alias("row_index"),
         (F.col("doc_id") % REVIEW_USERS).alias("user_id"),
         (F.col("doc_id") % REVIEW_PRODUCTS).alias("product_id"),
         (F.lit(1) + F.col("doc_id") % REVIEW_RATINGS).cast("string").alias("rating"),
-        F.col("text"), F.col("lang"), F.col("source"),
+        F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"),
         F.timestamp_add("MINUTE", F.col("doc_id"),
                         F.lit(REVIEW_EPOCH).cast("timestamp_ntz")).alias("review_date"),
     )

@@ -1,32 +1,24 @@
-"""Structured Streaming jobs (STR1-STR10).
+"""Structured Streaming jobs (STR1-STR3, STR7, STR8, STR10).
 
-The reference consumes with a single-threaded loop and in-memory dicts; here
-every step is a streaming DataFrame with checkpointed state:
+Every step is a streaming DataFrame with checkpointed state; the jobs that hold
+state of their own lie beside this module.
 
 STR1  stateless enrichment (same column functions as batch)
 STR2  watermarked tumbling-window metrics
 STR3  session windows
-STR4  running user profiles: ``transformWithStateInPandas`` keeps per-user
-      counters and the stale-average inputs in a value state and the seen
-      products in a map state (RocksDB); a micro-batch is applied in arrival
-      order
-STR5/STR6  ``foreachBatch`` side jobs: recommendations for the batch's users,
-      analytics reports
+STR4  running user and product profiles: ``streaming.state``
+STR5  review triggers and incremental neighbours: ``streaming.neighbours``
+STR6  incremental analytics report: ``streaming.report``
 STR7  bounded runs with ``availableNow`` and ``maxFilesPerTrigger``
 STR8  per-user recommendation feed numbering
-STR9  progress metrics through a ``StreamingQueryListener``
+STR9  lag and throughput: ``streaming.lag``
 STR10 duplicate and late events: watermark + ``dropDuplicatesWithinWatermark``
 """
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shoplens import constants as C
 from shoplens.functions import scalars as S
@@ -95,141 +87,7 @@ def session_stream(stream: DataFrame, gap: str = "30 minutes", watermark: str =
     return B.user_sessions(with_event_time(stream).withWatermark("timestamp", watermark), gap)
 
 
-PROFILE_OUT = ("user_id string, reviews long, interactions long, products_count long, "
-               "total_rating double, avg_rating double")
-PROFILE_COUNTS = ("reviews long, interactions long, products long, total_rating double, "
-                  "avg_rating double")
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class ProfileProcessor(StatefulProcessor):
-    """STR4 state per user: counters in a value state and the user's products
-    in a map state (one RocksDB entry per product, so a user with a huge
-    history never becomes one huge state value)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", PROFILE_COUNTS)
-        self.products = handle.getMapState("products", "product_id string", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        (user,) = key
-        if self.counts.exists():
-            reviews, interactions, n_products, total, avg = self.counts.get()
-        else:
-            reviews, interactions, n_products, total, avg = 0, 0, 0, 0.0, 0.0
-        for pdf in rows:
-            pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
-            for kind, product, rating in zip(pdf["kind"], pdf["product_id"], pdf["rating_num"]):
-                if kind == "interaction":
-                    interactions += 1
-                    continue
-                reviews += 1
-                if rating is not None and not pd.isna(rating):
-                    total += float(rating)
-                    avg = total / reviews          # the stale-average rule (AGG3)
-                if product and not self.products.containsKey((product,)):
-                    self.products.updateValue((product,), (True,))
-                    n_products += 1
-        self.counts.update((reviews, interactions, n_products, total, avg))
-        yield pd.DataFrame({"user_id": [user], "reviews": [reviews], "interactions": [interactions],
-                            "products_count": [n_products], "total_rating": [total],
-                            "avg_rating": [avg]})
-
-    def close(self) -> None:
-        pass
-
-
-def running_user_profiles(reviews: DataFrame, interactions: DataFrame) -> DataFrame:
-    """STR4: running user profiles (update mode) with ``transformWithStateInPandas``
-    on the RocksDB state store.  Rows are applied in batch order, and inside a
-    micro-batch in the order Spark hands a user's chunks over, each chunk sorted
-    by (timestamp, event_id); counters and sums do not depend on it, the stale
-    average (AGG3) follows that order."""
-    spark = reviews.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    rev = reviews.select("user_id", "product_id", "event_id", "timestamp",
-                         S.rating_value("rating").alias("rating_num"), F.lit("review").alias("kind"))
-    act = interactions.select("user_id", "product_id", "event_id", "timestamp",
-                              F.lit(None).cast("double").alias("rating_num"),
-                              F.lit("interaction").alias("kind"))
-    ev = rev.unionByName(act).where(F.coalesce(F.col("user_id") != "", F.lit(False)))
-    return ev.groupBy("user_id").transformWithStateInPandas(
-        ProfileProcessor(), PROFILE_OUT, "Update", "None")
-
-
 def recommendation_feed(recs: DataFrame) -> DataFrame:
     """STR8: number each user's recommendations as a feed (stream_id)."""
     w = Window.partitionBy("user_id").orderBy("rank")
     return recs.withColumn("stream_id", F.row_number().over(w))
-
-
-class ProgressCollector(StreamingQueryListener):
-    """STR9: keeps the progress of the last ``keep`` micro-batches (rows, rates,
-    rows dropped by the watermark) for a metrics table."""
-
-    def __init__(self, keep: int = 10_000):
-        self.rows = deque(maxlen=keep)
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        p = event.progress
-        dropped = sum(getattr(s, "numRowsDroppedByWatermark", 0) or 0 for s in p.stateOperators)
-        self.rows.append((str(p.id), p.batchId, p.numInputRows, float(p.inputRowsPerSecond or 0.0),
-                          float(p.processedRowsPerSecond or 0.0), int(dropped)))
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        pass
-
-    def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), "query_id string, batch_id long, input_rows long, "
-                                                "input_rows_per_second double, "
-                                                "processed_rows_per_second double, "
-                                                "rows_dropped_by_watermark long")
-
-
-def recommendation_batch_job(sets_path: str, out_path: str, product_profiles_fn=None):
-    """STR5: a ``foreachBatch`` function.  Each micro-batch appends its
-    (user, product) pairs to the set table and recomputes the neighbour
-    recommendations of the users it touched (a per-batch trigger replaces the
-    reference's global every-10th-review counter, which cannot be kept across
-    executors).  Every write goes to the batch's own folder in overwrite mode,
-    so a batch replayed after a failure does not duplicate rows."""
-    from shoplens.operators import recommend as RC
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        pairs = RC.interaction_sets(batch)
-        # each batch owns one folder, overwritten on a replay: idempotent output
-        pairs.write.mode("overwrite").parquet(f"{sets_path}/batch_id={batch_id}")
-        sets = spark.read.parquet(sets_path).drop("batch_id").distinct()
-        touched = pairs.select("user_id").distinct()
-        nb = RC.user_neighbours(sets)
-        recs = RC.neighbour_recommendations(sets, nb).join(touched, "user_id", "left_semi")
-        recs.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    return run
-
-
-def report_batch_job(reviews_path: str, actions_path: str, out_path: str):
-    """STR6: a ``foreachBatch`` function writing the analytics document after
-    every micro-batch over everything seen so far; the last batch of an
-    ``availableNow`` run is the final report."""
-    from shoplens.operators import profiles as P
-    from shoplens.operators.reports import analytics_document
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # each batch owns one folder, overwritten on a replay: idempotent output
-        batch.write.mode("overwrite").parquet(f"{actions_path}/batch_id={batch_id}")
-        acts = spark.read.parquet(actions_path).drop("batch_id")
-        rv = spark.read.parquet(reviews_path)
-        doc = analytics_document(rv, acts, P.user_profiles(rv, acts), P.product_profiles(rv, acts))
-        doc.write.mode("overwrite").json(f"{out_path}/batch_id={batch_id}")
-
-    return run

@@ -12,6 +12,9 @@ from tests.conftest import SF_SMALL
 
 QUERIES = ENTRY.queries()
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
+# MLlib's recommendForUserSubset multiplies blocks of user factors with blocks of item factors (4,096 a block) by a
+# product of the two block tables: the one product these queries may hold
+FACTOR_BLOCKS = ["als_recommendations", "als_implicit_recommendations"]
 
 
 def plan_text(df) -> str:
@@ -25,9 +28,27 @@ def plan_text(df) -> str:
 def test_plan_has_no_forbidden_operators(spark, name):
     plan = plan_text(QUERIES[name](spark, SF_SMALL))
     for op in FORBIDDEN:
+        if op == "CartesianProduct" and name in FACTOR_BLOCKS:
+            continue  # its own test below
         assert op not in plan, f"{name} uses {op}"
 
 
+@pytest.mark.parametrize("name", FACTOR_BLOCKS)
+def test_only_factor_blocks_meet_in_a_product(spark, name):
+    lines = plan_text(QUERIES[name](spark, SF_SMALL)).splitlines()
+    at = [i for i, line in enumerate(lines) if "CartesianProduct" in line]
+    assert len(at) == 1
+    depth = lines[at[0]].index("CartesianProduct")
+    below = []
+    for line in lines[at[0] + 1:]:
+        if len(line) - len(line.lstrip(" :+-*()0123456789")) <= depth:
+            break
+        below.append(line)
+    # both sides are block tables: MapPartitions groups the factors (of the asked users, picked by a semi join)
+    assert sum("MapPartitions" in line for line in below) == 2, below
+    assert not any(re.search("Join", line) and "LeftSemi" not in line for line in below)
+
+
 def test_scans_are_pruned(spark):
     # the trending query reads only the columns it needs from events and part
     plan = plan_text(QUERIES["trending_products"](spark, SF_SMALL))

@@ -34,7 +34,9 @@ def test_load_first_and_catalogue(spark):
     cat = FS.file_catalogue(spark, folder)
     assert cat.count() == 2
     assert FS.largest_file(cat).first().filename == "big.csv"
-    assert FS.file_columns(spark, big) == ["user_id", "asin", "rating"]
+    by_name = {r.filename: r for r in FS.with_columns_and_sample(spark, cat, folder).collect()}
+    assert by_name["big.csv"].columns == ["user_id", "asin", "rating"]
+    assert by_name["big.csv"].sample == ["0,B0,1", "1,B1,2", "2,B2,3"] and by_name["small.csv"].sample == ["1,A,4"]
     with pytest.raises(FileNotFoundError):
         FS.load_first(spark, [lambda s: s.read.parquet(os.path.join(folder, "nope"))])
 
@@ -63,3 +65,11 @@ def test_ml_config(spark):
         f.write('{"als_max_iter": 10, "als_reg_param": 0.1, "recommendation_limit": 10, '
                 '"similarity_threshold": 0.7}')
     assert FS.read_ml_config(spark, path)["als_max_iter"] == 10
+
+
+def test_json_documents_hold_a_bounded_number_of_equal_rows(spark):
+    folder = tempfile.mkdtemp(prefix="shoplens-json-")
+    df = spark.createDataFrame([(1, "A", 1.0, None)] * 95, "user_id int, asin string, rating double, timestamp string")
+    W.write_json_documents(df, folder, rows_per_document=10)
+    back = spark.read.schema(schemas.JSON_RATING).option("multiLine", True).json(folder)
+    assert back.count() == 95 and back.groupBy("doc").count().where("count > 10").count() == 0

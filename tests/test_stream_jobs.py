@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from shoplens.operators import events as E
-from shoplens.operators import recommend as RC
 from shoplens.sinks import writers as W
 from shoplens.sources import files as FS
 from shoplens.sources import tables as T
@@ -58,54 +57,3 @@ def test_route_by_topic(spark):
     recs = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("zzz", 4)], "topic string, v int")
     assert [r.v for r in E.route_by_topic(recs, "a").orderBy("v").collect()] == [1, 3]
     assert E.route_by_topic(recs, "unknown").count() == 0
-
-
-def test_recommendation_batch_job(spark):
-    acts = T.actions(spark, SF_SMALL)
-    src = tempfile.mkdtemp(prefix="shoplens-src-")
-    acts.repartition(3).write.mode("overwrite").parquet(src)
-    base = tempfile.mkdtemp(prefix="shoplens-str5-")
-    sets_path, out_path = os.path.join(base, "sets"), os.path.join(base, "recs")
-    stream = J.file_event_stream(spark, src, ACTION_SCHEMA, max_files=1)
-    q = (stream.writeStream.foreachBatch(J.recommendation_batch_job(sets_path, out_path))
-         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    recs = spark.read.parquet(out_path)
-    last = recs.agg(F.max("batch_id")).first()[0]
-    final = recs.where(F.col("batch_id") == last).drop("batch_id")
-    sets = RC.interaction_sets(acts)
-    exp = RC.neighbour_recommendations(sets, RC.user_neighbours(sets))
-    touched = spark.read.parquet(src).select("user_id")   # users of the last batch are a subset
-    assert final.count() > 0
-    assert final.join(exp, ["user_id", "product_id", "score", "rank"], "left_anti").count() == 0
-
-
-def test_report_batch_job(spark):
-    acts = T.actions(spark, SF_SMALL)
-    rows = T.review_rows(spark, SF_SMALL)
-    rv = E.review_events(rows, T.REVIEW_SOURCE_NAME, "row_index").drop("processing_time")
-    base = tempfile.mkdtemp(prefix="shoplens-str6-")
-    rv_path = os.path.join(base, "reviews")
-    rv.write.mode("overwrite").parquet(rv_path)
-    src = os.path.join(base, "src")
-    acts.repartition(2).write.mode("overwrite").parquet(src)
-    out = os.path.join(base, "reports")
-    stream = J.file_event_stream(spark, src, ACTION_SCHEMA, max_files=1)
-    q = (stream.writeStream.foreachBatch(J.report_batch_job(rv_path, os.path.join(base, "acts"), out))
-         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    reports = spark.read.json(out)
-    final = reports.orderBy(F.desc("batch_id")).first()
-    assert final.processing_summary.interactions_processed == acts.count()
-    assert final.processing_summary.csv_reviews_processed == rv.count()
-
-
-def test_batch_replay_is_idempotent(spark):
-    acts = T.actions(spark, SF_SMALL)
-    base = tempfile.mkdtemp(prefix="shoplens-replay-")
-    job = J.recommendation_batch_job(os.path.join(base, "sets"), os.path.join(base, "recs"))
-    job(acts, 0)
-    first = spark.read.parquet(os.path.join(base, "recs")).count()
-    job(acts, 0)                      # the same micro-batch delivered again after a failure
-    assert spark.read.parquet(os.path.join(base, "recs")).count() == first
-    assert spark.read.parquet(os.path.join(base, "sets")).count() == RC.interaction_sets(acts).count()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from shoplens.operators import behavior as B
 from shoplens.operators import events as E
-from shoplens.operators import profiles as P
 from shoplens.sources import tables as T
 from shoplens.streaming import jobs as J
 from tests.conftest import SF_SMALL
@@ -48,33 +47,6 @@ def test_dedupe_drops_repeats(spark):
     assert spark.table("dedupe_stream").count() == acts.count()
 
 
-def test_running_profiles_equal_batch(spark):
-    acts = T.actions(spark, SF_SMALL)
-    rows = T.review_rows(spark, SF_SMALL)
-    rv = E.review_events(rows, T.REVIEW_SOURCE_NAME, "row_index")
-    rv_static = rv.drop("processing_time")
-    rv_folder = write_parts(rv_static.drop("metadata", "kafka_key"), 3)
-    act_folder = write_parts(acts, 3)
-    rv_schema = ("event_id string, event_type string, dataset_source string, row_index long, "
-                 "timestamp timestamp_ntz, user_id string, product_id string, rating string, "
-                 "review_text string, helpful string, title string")
-    # one file per trigger: the state is carried over several micro-batches
-    # (every review here is rated, so the stale average does not depend on order)
-    rs = J.file_event_stream(spark, rv_folder, rv_schema, max_files=1)
-    as_ = J.file_event_stream(spark, act_folder, ACTION_SCHEMA, max_files=1)
-    run_to_memory(J.running_user_profiles(rs, as_), "profiles_stream", "update")
-    got = {}
-    for r in spark.table("profiles_stream").collect():   # one update per user and batch
-        if r.user_id not in got or r.reviews + r.interactions > got[r.user_id].reviews + got[r.user_id].interactions:
-            got[r.user_id] = r
-    exp = {r.user_id: r for r in P.user_profiles(rv, acts).collect()}
-    assert set(got) == set(exp)
-    for u, e in exp.items():
-        g = got[u]
-        assert (g.reviews, g.interactions, g.products_count) == (e.reviews, e.interactions, e.products_count)
-        assert abs(g.total_rating - e.total_rating) < 1e-9 and abs(g.avg_rating - e.avg_rating) < 1e-9
-
-
 def test_window_and_session_streams_equal_batch(spark):
     ev = T.events_with_value(spark, SF_SMALL)
     folder = write_parts(ev, 2)
@@ -98,22 +70,6 @@ def test_window_and_session_streams_equal_batch(spark):
     assert got_s.exceptAll(exp).count() == 0
 
 
-def test_progress_collector(spark):
-    collector = J.ProgressCollector()
-    spark.streams.addListener(collector)
-    try:
-        folder = write_parts(T.actions(spark, SF_SMALL), 2)
-        stream = J.file_event_stream(spark, folder, ACTION_SCHEMA, max_files=1)
-        q = run_to_memory(stream.select("event_id"), "progress_stream")
-        q.awaitTermination(60)
-        import time
-        time.sleep(1)
-    finally:
-        spark.streams.removeListener(collector)
-    df = collector.to_frame(spark)
-    assert df.agg(F.sum("input_rows")).first()[0] == T.actions(spark, SF_SMALL).count()
-
-
 def test_sliding_window_stream_equals_batch(spark):
     import datetime as dt
     ev = T.events_with_value(spark, SF_SMALL)
