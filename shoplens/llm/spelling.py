@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import batch_of, stored
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
-GROUP_ROWS = 128
+GROUP_ROWS = 256
 SAME, SHORT, LONG = 0, 1, 2  # a row's part in a pair: equal lengths, or the shorter or longer of two
 REPLACED_PARTS, INSERTED_PARTS = 5, 4
 DEALT_DIMENSIONS = 4_096  # dimensions dealt by their counts; rarer ones by hash
