@@ -13,10 +13,12 @@
 4. Decoding looks up every id in the token-byte table (50 thousand entries, one
    copy per worker) and joins the bytes.
 
-The dictionary passes read the input twice instead of storing the cut texts.
-Both passes must cut the same blocks, so a block's key holds a checksum of its
-document ids and dictionary; a block that finds no partner is an error, never
-a silent loss.
+The dictionary passes read the input twice.  Both must cut the same blocks, so
+the input has to give the same rows in the same order when it is read again: a
+table's files do (``repeatable=True``), a shuffle or a recomputed task need not.
+Any other input is stored first and read from there.  A block's key holds a
+checksum of its document ids and dictionary; a block that finds no partner is an
+error, never a silent loss.
 
 Defined results: null and empty texts have no ids and the checksums of no
 bytes; one output row per input row, repeated rows included.
@@ -33,12 +35,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import batch_of, map_batches
+from shoplens.llm.common import batch_of, map_batches, stored
 
 BLOCK_CHARS = 8_000_000
 # The pattern's classes below U+0250, spelled out for the standard library's faster matcher.
@@ -58,8 +61,10 @@ def general_pattern(pattern: str):
 
 
 def cut(text: str, pattern: str) -> list[str]:
-    """All matches of the tokenizer's pattern, in order."""
-    return general_pattern(pattern).findall(text) if BEYOND.search(text) else FAST.findall(text)
+    """All matches of the tokenizer's pattern, in order; ``FAST`` spells out one pattern and serves no other."""
+    if pattern != public_tokenizers.PATTERN or BEYOND.search(text):
+        return general_pattern(pattern).findall(text)
+    return FAST.findall(text)
 
 
 @lru_cache(maxsize=2)
@@ -136,17 +141,17 @@ def expand(data: bytes) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                     block_chars: int = BLOCK_CHARS, decode: bool = True) -> DataFrame:
+                     block_chars: int = BLOCK_CHARS, decode: bool = True, repeatable: bool = False) -> DataFrame:
     """``id_col``, ids (binary, little-endian unsigned 32-bit) and decoded (binary) per document."""
     return reassemble(docs, path, pattern, id_col, text_col, block_chars, _ids_and_text(path, pattern, decode),
-                      "id long, ids binary, decoded binary")
+                      "id long, ids binary, decoded binary", repeatable)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                   block_chars: int = BLOCK_CHARS) -> DataFrame:
+                   block_chars: int = BLOCK_CHARS, repeatable: bool = False) -> DataFrame:
     """``id_col``, n_tokens, ids_sha256, decoded_sha256 per document."""
     return reassemble(docs, path, pattern, id_col, text_col, block_chars, _digests(path, pattern),
-                      "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                      "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", repeatable)
 
 
 def _ids_and_text(path, pattern, decode):
@@ -168,11 +173,13 @@ def _digests(path, pattern):
 
 
 def reassemble(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, block_chars: int, rows,
-               schema: str) -> DataFrame:
+               schema: str, repeatable: bool) -> DataFrame:
     spark = docs.sparkSession
     # a bucket's words are one task's group: their number follows the session's partition count
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not repeatable:
+        src = stored(src, "texts")
     word_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.string()))])
     doc_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("named", pa.binary()), ("lengths", pa.binary()),
                             ("uses", pa.binary())])

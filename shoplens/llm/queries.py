@@ -40,7 +40,8 @@ def q_packed_ids(spark, sf_dir):
 def q_byte_bpe(spark, sf_dir):
     """Byte-level BPE ids of every whole document and the bytes they decode to, as checksums."""
     return byte_bpe.encode_digests(read_table(spark, sf_dir, "documents"),
-                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+                                   repeatable=True)
 
 
 @register("op8_packing")
