@@ -1,9 +1,11 @@
 """Sum-of-squares packing of token pieces into sequences.
 
 A document's ids (with an end id) are cut into pieces of at most ``capacity``
-ids.  Full pieces are sequences of their own.  The others are dealt by hash
-into groups of about ``group_rows`` pieces - as many groups as the input needs,
-so no task grows - and each group is packed by itself: every piece goes where
+ids.  Full pieces are sequences of their own, numbered where they are read
+(below zero) and dealt to no group.  The others are dealt by a hash of their
+place in the stored table, so that repeated rows spread too, into groups of about
+``group_rows`` pieces - as many groups as the input needs, so no task grows - and
+each group is packed by itself: every piece goes where
 the sum over gaps of (open bins with that gap) squared becomes smallest, equal
 sums taking the smallest gap; a new bin is opened when no open one has room.
 Pieces come in decreasing length (ties by id, piece, checksum), which makes the
@@ -82,9 +84,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` (a stored table: it is read twice)."""
-    groups = max(1, -(-pieces.filter(F.col("length") < capacity).count() // group_rows))
-    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    """Adds sequence_id and offset to ``pieces`` (a stored table: it is read
+    several times and a row's place in it does not change)."""
+    own = F.monotonically_increasing_id()
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - own, "offset": F.lit(0).cast("long")})
+    part = pieces.filter(F.col("length") < capacity)
+    groups = max(1, -(-part.count() // group_rows))
+    keyed = part.withColumn("grp", F.pmod(F.xxhash64(own), F.lit(groups)))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True],
@@ -93,7 +99,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS)
         return pdf.assign(sequence_id=pdf["grp"].to_numpy() * (1 << 40) + bins, offset=offsets).drop(columns="grp")
 
     return keyed.groupBy("grp").applyInPandas(
-        fn, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        fn, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id",
