@@ -24,6 +24,7 @@ it may be any shared store.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -155,8 +156,17 @@ class Reader:
             i = j
 
 
+def qualified(spark: SparkSession, path: str, conf=None) -> str:
+    """The folder's whole URI as Spark resolves it: a path without a scheme lies
+    in the cluster's default file system, not on the local disk."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs_of = folder.getFileSystem(conf if conf is not None else spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs_of.makeQualified(folder).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def write_packed(docs: DataFrame, path: str, end_id: int, vocabulary: int, id_col: str = "doc_id",
@@ -166,7 +176,7 @@ def write_packed(docs: DataFrame, path: str, end_id: int, vocabulary: int, id_co
     Null text is the empty text.  Returns the manifest, one row per file: part,
     path, n_docs, n_ids, start (ids in all files before it)."""
     spark = docs.sparkSession
-    folder = shared_path(spark, "packed")
+    folder = qualified(spark, shared_path(spark, "packed"))
     where, top = open_folder(folder)
     where.create_dir(top)
     bits = bits_for(vocabulary)
