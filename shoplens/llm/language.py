@@ -3,8 +3,10 @@
 Learning (Spark): the words of a bounded sample of labelled documents (about
 ``max_docs`` of them, chosen by a hash of the id; the bound is a parameter) are
 counted per language, and so are the character n-grams of the padded words.
-The model keeps the ``max_words`` most frequent (language, word) pairs and as
-many n-grams of each length, so its size has a bound too.
+The model keeps about ``max_words`` (language, word) pairs and as many n-grams of
+each length, so its size has a bound too.  Both bounds are dealt out evenly: every
+language gets its share of the documents and of the entries, so that one with few
+documents keeps its words beside one with many.
 
 Scoring: every word of a text adds one number per language.  A known word adds
 its log relative frequencies.  An unknown word backs off: the longest n-grams
@@ -27,7 +29,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import batch_of, map_batches
@@ -115,8 +117,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Fit on about ``max_docs`` of the rows with an id, a text and a language."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, max_docs / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < round(share * 1_000_000))
+    have = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    quota = shares(have, max_docs)
+    share = F.lit(0)
+    for lang in sorted(have):
+        share = F.when(F.col(lang_col) == lang, round(min(1.0, quota[lang] / have[lang]) * 1_000_000)).otherwise(share)
+    sample = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < share)
     words = sample.select(F.col(lang_col).alias("lang"),
                           F.explode(F.split(F.lower(text_col), NOT_LETTERS)).alias("word")) \
         .filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -133,8 +139,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for table, size in zip(tables, (0, *ORDERS), strict=True):
             sizes[size] = {r["lang"]: (r["total"], r["kinds"]) for r in table.groupBy("lang").agg(
                 F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()}
-            found[size] = table.orderBy(F.desc("n"), "lang", "gram").limit(max_words).select("lang", "gram", "n") \
-                .collect()
+            entries = shares({lang: kinds for lang, (_, kinds) in sizes[size].items()}, max_words)
+            place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+            most = F.element_at(F.create_map(*[F.lit(x) for pair in entries.items() for x in pair]), F.col("lang")) \
+                if entries else F.lit(0)
+            found[size] = table.withColumn("place", place).filter(F.col("place") <= max([0, *entries.values()])) \
+                .filter(F.col("place") <= most).select("lang", "gram", "n").collect()
     finally:
         words.unpersist()
     languages = sorted(sizes[0])
@@ -148,6 +158,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                  np.concatenate([x for _, x in of_grams]))
 
 
+def shares(have: dict[str, int], bound: int) -> dict[str, int]:
+    """``bound`` dealt out evenly: who has less than an even share keeps all, the rest goes to the others."""
+    out, left = {}, bound
+    for i, (lang, n) in enumerate(sorted(have.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(have) - i))
+        left -= out[lang]
+    return out
+
+
 def grams(text: Column, size: int) -> Column:
     """All runs of ``size`` characters of a text that has as many."""
     return F.transform(F.sequence(F.lit(1), F.length(text) + 1 - size), lambda i: F.substr(text, i, F.lit(size)))
