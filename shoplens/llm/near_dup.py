@@ -56,6 +56,7 @@ BLOCK = 2048
 BIG = 512
 BIG_MARGIN = 0.08  # five standard deviations of the estimate from BIG values
 MEMORY_WORDS = 500_000
+LEAST_PERCENT = 85  # RUN and the margins keep a link's chance of being missed negligible from here on
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -294,6 +295,8 @@ def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 
 def placed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, t (hash of the text), n_shingles, component_id, kept."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be between {LEAST_PERCENT} and 100: the sketches and runs are sized for that")
     sets = stored(sketches(docs, id_col, text_col), "sketches")
     classes = stored(sets.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("fp")
                      .agg(F.min(F.struct("id", "t")).alias("first"), F.first("n").alias("n"),
