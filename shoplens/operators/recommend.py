@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoplens import constants as C
 from shoplens.functions import scalars as S
 from shoplens.operators.sequence import with_global_sequence
+from shoplens.operators.prefix_index import top_k_sparse
 from shoplens.operators.similarity import top_k_similar
 from shoplens.operators.trending import check_limit
 
@@ -28,9 +29,14 @@ def interaction_sets(events: DataFrame, user: str = "user_id", item: str = "prod
 
 
 def user_neighbours(sets: DataFrame, k: int = C.TOP_NEIGHBOURS,
-                    threshold: float = C.JACCARD_THRESHOLD, **kw) -> DataFrame:
-    """JN2 + SET1 + WIN1: the top-k users by Jaccard similarity (> threshold)."""
-    return (top_k_similar(sets, "user_id", "product_id", k, "jaccard", threshold, **kw)
+                    threshold: float = C.JACCARD_THRESHOLD, method: str = "blocks", **kw) -> DataFrame:
+    """JN2 + SET1 + WIN1: the top-k users by Jaccard similarity (> threshold).
+    Both methods give the same rows: ``blocks`` compares blocks of users (dense
+    sets), ``index`` only users whose rarest products meet (sparse sets)."""
+    if method not in ("blocks", "index"):
+        raise ValueError("method must be blocks or index")
+    top = top_k_similar if method == "blocks" else top_k_sparse
+    return (top(sets, "user_id", "product_id", k, "jaccard", threshold, **kw)
             .select("user_id", F.col("neighbour_user_id").alias("neighbour_id"), "similarity",
                     "common", "rank"))
 

@@ -37,6 +37,18 @@ def q_user_neighbours(spark, sf_dir):
     return RC.user_neighbours(sets(spark, sf_dir))
 
 
+_BOUGHT = """bought AS (SELECT DISTINCT CAST(o.o_custkey AS VARCHAR) AS user_id, CAST(l.l_partkey AS VARCHAR) AS product_id
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey)"""
+
+
+@register("buyer_neighbours", f"""WITH {_BOUGHT}, {Q.neighbours_cte('bought', 5, 0.03)}
+SELECT user_id, neighbour_id, similarity, common, rank FROM bought_nb""")
+def q_buyer_neighbours(spark, sf_dir):
+    """JN2 + SET1 + WIN1 on sparse sets: customers by the parts they bought, found by the prefix-filtered index."""
+    bought = RC.interaction_sets(T.ratings(spark, sf_dir), "user_id", "asin")
+    return RC.user_neighbours(bought, threshold=0.03, method="index")
+
+
 @register("user_recommendations", f"""{_PROF}
 SELECT r.user_id, r.rank, r.product_id, r.score,
        {Q.rhu('least(r.score, 1.0::DOUBLE)', 3)} AS confidence,
