@@ -281,18 +281,18 @@ def recommendation_documents(recs: DataFrame, user_profiles: DataFrame) -> DataF
 
 def event_recommendations(events: DataFrame, recs: DataFrame, n: int = 3) -> DataFrame:
     """JN6: a view by a known user gets the user's top-n precomputed
-    recommendations (a left join on user; works on a stream against a static
-    table too)."""
+    recommendations (a left join on user that reads the events once; works on a
+    stream against a static table too)."""
     check_limit("recommendations", n)
     top = recs.where(F.col("rank") <= n).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("recommendations_generated"),
         F.min_by("product_id", "rank").alias("top_recommendation"))
-    is_view = F.coalesce((F.col("action") == "view") & (F.col("user_id") != "0"), F.lit(False))
-    # only views of known users can match; every other event, the many without a
-    # user among them, passes by the join
-    views = events.where(is_view).join(top, "user_id", "left").select(
-        *events.columns, F.coalesce("recommendations_generated", F.lit(0)).cast("long").alias("recommendations_generated"),
-        "top_recommendation")
-    return views.unionByName(events.where(~is_view).withColumns(
-        {"recommendations_generated": F.lit(None).cast("long"),
-         "top_recommendation": F.lit(None).cast(recs.schema["product_id"].dataType)}))
+    # only views of known users can match; any other event gets a key of its own that
+    # matches nothing, so that the many without a user do not meet in one task
+    is_view = F.coalesce((F.col("action") == "view") & (F.col("user_id").cast("string") != "0"), F.lit(False))
+    own = F.xxhash64(*[c for c in events.columns if c != "action"]).cast("string")
+    keyed = events.withColumns({"_view": is_view, "_key": F.when(is_view, F.col("user_id").cast("string")).otherwise(own)})
+    found = keyed.join(top.select(F.col("user_id").cast("string").alias("_key"), F.lit(True).alias("_view"), "recommendations_generated",
+                                  "top_recommendation"), ["_key", "_view"], "left")
+    return found.select(*events.columns, F.when(F.col("_view"), F.coalesce("recommendations_generated", F.lit(0)).cast("long"))
+                        .alias("recommendations_generated"), "top_recommendation")
