@@ -7,8 +7,9 @@ two-means threshold on the smoothed values marks the dense lines, and runs of
 dense lines form clusters; the content region starts from the smallest container
 element that holds most of the dense text and grows to the whole article: to the
 outermost article (or main) around it and on to all dense lines that stand in an
-article or main, or, on pages that mark neither, to all dense lines.  Every line
-of the region is kept - short paragraphs included - except those inside elements
+article or main, or, on pages that mark neither, to all dense lines.  The
+text of an inline element that is skipped goes, the block around it stays one
+line.  Every line of the region is kept - short paragraphs included - except those inside elements
 that are never article text (menus, footers, forms, scripts, adverts, notices,
 comments ..., by element, role or class words).  Class and id words never flag the
 page's html, body, main or article, and neither they nor a form flag an element
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +49,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HEAD_ONLY = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Words of class and id that mark page furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-                      "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead topbar toolbar "
+                      "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar "
                       "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login "
                       "share sharing social related recommended comment comments respond disqus replies widget search "
                       "pagination pager copyright".split())
@@ -55,9 +58,12 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "link_chars", "skip", "home", "flag")
+    """A run of text; the runs of one block are joined again at the end."""
 
-    def __init__(self, skip: bool, home: int, flag: int):
+    __slots__ = ("parts", "tags", "link_chars", "skip", "home", "flag", "block")
+
+    def __init__(self, skip: bool, home: int, flag: int, block: int):
+        self.block = block
         self.parts: list[str] = []
         self.tags = 0
         self.link_chars = 0
@@ -75,8 +81,10 @@ class Lines(HTMLParser):
         self.parents = [-1]  # container number -> container around it; 0 is the page
         self.kinds = [""]  # container number -> its tag
         self.flags = [(-1, 0)]  # element flagged by class, id or as form -> such an element around it, container; 0: none
+        self.open: Counter[str] = Counter()  # tags on the stack
         self.links = 0
-        self.lines = [Line(False, 0, 0)]
+        self.blocks = 0
+        self.lines = [Line(False, 0, 0, 0)]
 
     def updatepos(self, i, j):
         return j  # line numbers are not needed
@@ -84,13 +92,22 @@ class Lines(HTMLParser):
     def place(self) -> tuple[bool, int, int]:
         return self.stack[-1][1:] if self.stack else (False, 0, 0)
 
-    def new_line(self) -> None:
+    def new_line(self, same_block: bool = False) -> None:
+        """A line for what follows; of the same block if only an inline element was skipped or flagged."""
         skip, home, flag = self.place()
+        self.blocks += not same_block
         last = self.lines[-1]
         if last.parts or last.tags:
-            self.lines.append(Line(skip, home, flag))
+            self.lines.append(Line(skip, home, flag, self.blocks))
         else:
-            last.skip, last.home, last.flag = skip, home, flag
+            last.skip, last.home, last.flag, last.block = skip, home, flag, self.blocks
+
+    def cut_stack(self, k: int) -> None:
+        """Close the elements from the k-th on."""
+        for tag, *_ in self.stack[k:]:
+            self.open[tag] -= 1
+            self.links -= tag == "a"
+        del self.stack[k:]
 
     def turned(self) -> bool:
         """The place is skipped or flagged otherwise than the last line."""
@@ -102,8 +119,7 @@ class Lines(HTMLParser):
         if tag == "body" or self.stack[-1][0] == "head":
             for k, (t, *_) in enumerate(self.stack):
                 if t == "head":
-                    del self.stack[k:]
-                    self.links = sum(t == "a" for t, *_ in self.stack)
+                    self.cut_stack(k)
                     self.new_line()
                     break
 
@@ -113,14 +129,13 @@ class Lines(HTMLParser):
         if tag in BLOCKS and tag != "br":
             # an open paragraph ends where the next block begins
             while self.stack and any(t == "p" for t, *_ in self.stack[-3:]):
-                name = self.stack.pop()[0]
-                if name == "a":
-                    self.links -= 1
+                name = self.stack[-1][0]
+                self.cut_stack(len(self.stack) - 1)
                 if name == "p":
                     break
         if tag not in VOID:
             skip, home, flag = self.place()
-            skip = skip or tag in SKIPPED or (tag == "header" and not any(t == "article" for t, *_ in self.stack)) \
+            skip = skip or tag in SKIPPED or (tag == "header" and not self.open["article"] and not self.open["main"]) \
                 or (bool(attrs) and tag not in PAGE and unseen(attrs, tag in MARKED))
             if not skip and (tag == "form" or (attrs and tag not in PAGE and tag not in MARKED and furniture(attrs))):
                 self.flags.append((flag, home))
@@ -130,22 +145,22 @@ class Lines(HTMLParser):
                 self.kinds.append(tag)
                 home = len(self.parents) - 1
             self.stack.append((tag, skip, home, flag))
+            self.open[tag] += 1
             self.links += tag == "a"
         if tag in BLOCKS:
             self.new_line()
         if tag not in VOID or tag in ("img", "input"):
             if self.turned():
-                self.new_line()
+                self.new_line(same_block=True)
             self.lines[-1].tags += 1
 
     def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.links -= sum(t == "a" for t, *_ in self.stack[k:])
-                del self.stack[k:]
-                break
-        if tag in BLOCKS or self.turned():
+        if self.open[tag]:
+            self.cut_stack(next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag))
+        if tag in BLOCKS:
             self.new_line()
+        elif self.turned():
+            self.new_line(same_block=True)
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] == "head" and data.strip():
@@ -251,17 +266,31 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     dense = dense_lines(lines)
-    weight: dict[int, int] = {}  # container -> dense text in it or below
+    weight = [0] * len(p.parents)  # container -> dense text in it or below
+    homes: set[int] = set()
     for (x, t), d in zip(lines, dense, strict=True):
         if d:
-            c = x.home
-            while c >= 0:
-                weight[c] = weight.get(c, 0) + len(t)
-                c = p.parents[c]
-    most = weight[0]
-    region = max((c for c, w in weight.items() if 2 * w > most), key=lambda c: (depth(p.parents, c), weight[c]))
-    region = whole(p, region, {x.home for (x, _), d in zip(lines, dense, strict=True) if d})
-    return "\n".join(t for x, t in lines if inside(p.parents, x.home, region))
+            weight[x.home] += len(t)
+            homes.add(x.home)
+    add_up(p.parents, weight)
+    deep = [0] * len(p.parents)
+    for c in range(1, len(deep)):  # a container's number is above its parent's
+        deep[c] = deep[p.parents[c]] + 1
+    region = max((c for c, w in enumerate(weight) if 2 * w > weight[0]), key=lambda c: (deep[c], weight[c]))
+    region = whole(p, region, homes)
+    within = [c == region for c in range(len(p.parents))]
+    for c in range(1, len(within)):
+        within[c] = within[c] or within[p.parents[c]]
+    out: list[str] = []
+    for _, run in groupby((x for x, _ in lines if within[x.home]), key=lambda x: x.block):
+        out.append(" ".join("".join(part for x in run for part in x.parts).split()))
+    return "\n".join(out)
+
+
+def add_up(parents: list[int], values: list) -> None:
+    """Add every container's value to those around it."""
+    for c in range(len(parents) - 1, 0, -1):
+        values[parents[c]] += values[c]
 
 
 def around(parents: list[int], c: int) -> list[int]:
@@ -281,25 +310,15 @@ def whole(p: Lines, region: int, homes: set[int]) -> int:
     marked = [c for c in chain if p.kinds[c] in MARKED]
     if marked:
         # the outermost article around the region; a main around it counts if it adds dense lines
-        homes = {h for h in homes if any(p.kinds[c] in MARKED for c in around(p.parents, h))}
+        under = [kind in MARKED for kind in p.kinds]
+        for c in range(1, len(under)):
+            under[c] = under[c] or under[p.parents[c]]
+        homes = {h for h in homes if under[h]}
         inner = [c for c in marked if p.kinds[c] == "article"] or marked
         chain = chain[chain.index(inner[-1]):]
-    return next(c for c in chain if all(inside(p.parents, h, c) for h in homes))
-
-
-def depth(parents: list[int], c: int) -> int:
-    n = 0
-    while parents[c] >= 0:
-        c, n = parents[c], n + 1
-    return n
-
-
-def inside(parents: list[int], c: int, region: int) -> bool:
-    while c >= 0:
-        if c == region:
-            return True
-        c = parents[c]
-    return False
+    held = [c in homes for c in range(len(p.parents))]
+    add_up(p.parents, held)
+    return next(c for c in chain if held[c] == len(homes))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

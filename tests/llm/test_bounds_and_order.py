@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -9,7 +10,7 @@ import regex
 import tiktoken  # noqa: F401  the library op7 is held against
 from pyspark.sql import functions as F
 
-from shoplens.llm import byte_bpe, language, near_dup, packed_ids, packing
+from shoplens.llm import byte_bpe, html_text, language, near_dup, packed_ids, packing
 from tests.conftest import SF_SMALL
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -100,3 +101,31 @@ def test_similarity_below_the_sketches_bound_is_refused(spark):
             near_dup.near_duplicates(docs, percent=percent)
     assert near_dup.near_duplicates(docs, percent=100).count() == 1
     assert docs.filter(F.lit(False)).count() == 0
+
+
+LEAD = "<article><p>" + "lead " * 60 + "</p>"
+
+
+@pytest.mark.parametrize(("inner", "line"), [
+    ("<p>Hello <button>x</button>world</p>", "Hello world"),
+    ("<p>Hello<script>x()</script> world</p>", "Hello world"),
+    ("<p>Hello <span class='share'>Share this</span> world</p>", "Hello world"),
+    ("<p>Hel<style>p{}</style>lo</p>", "Hello"),
+    ("<p>one</p><button>x</button><p>two</p>", "one\ntwo"),
+    ("<section id='side-effects'><p>" + "effect " * 70 + "</p></section>", ("effect " * 70).strip()),
+])
+def test_inline_elements_that_are_skipped_do_not_cut_a_block(inner, line):
+    assert html_text.main_text(LEAD + inner + "</article>") == ("lead " * 60).strip() + "\n" + line
+
+
+def test_a_header_inside_main_belongs_to_the_article():
+    page = "<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>" + "word " * 80 + "</p></main>"
+    assert html_text.main_text(page) == "Title\n" + ("word " * 80).strip()
+
+
+def test_deep_nesting_takes_linear_time():
+    for tag in ("<div>", "<div class='share'>"):
+        began = time.process_time()
+        n = 200_000 if tag == "<div>" else 4_000
+        assert html_text.main_text(tag * n + "some text" + "</div>" * n + "</p>" * n) == "some text"
+        assert time.process_time() - began < 20
