@@ -247,6 +247,32 @@ def q_als_recommendations(spark, sf_dir):
     return als.recommend(res, T.ratings(spark, sf_dir).select("user_id"), 10, dimension(spark, sf_dir))
 
 
+@register("als_properties", """SELECT count(*) AS ratings, count(DISTINCT user_id) AS users, true AS rmse_in_range,
+  true AS ranks_complete, true AS ratings_fall, true AS products_known, true AS users_known
+FROM (SELECT DISTINCT o.o_custkey AS user_id, l.l_partkey FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey)""")
+def q_als_properties(spark, sf_dir):
+    """REC1 + REC2 + JN5: what must hold of any fitted model: an RMSE within the
+    ratings' range, ten ranks for every served user, falling predictions, and only
+    products and users that exist after decoding."""
+    from shoplens.operators import als
+    ratings = T.ratings(spark, sf_dir).checkpoint(eager=True)
+    res = als.train(ratings, "user_id", "asin", "rating")
+    recs = als.recommend(res, ratings.select("user_id"), 10).checkpoint(eager=True)
+    listed = recs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "predicted_rating"))).alias("l"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i - 1)["predicted_rating"] >= F.get("l", i)["predicted_rating"])
+    complete = F.transform("l", lambda x: x["rank"].cast("int")) == F.sequence(F.lit(1), F.lit(10))
+    shape = listed.agg(F.bool_and(complete).alias("ranks_complete"), F.bool_and(falls).alias("ratings_fall"))
+    strays = recs.join(ratings.select(F.col("asin").alias("product_id")).distinct(), "product_id", "left_anti").agg(
+        (F.count(F.lit(1)) == 0).alias("products_known"))
+    strangers = recs.join(ratings.select(F.col("user_id").cast("string").alias("user_id")).distinct(), "user_id", "left_anti").agg(
+        (F.count(F.lit(1)) == 0).alias("users_known"))
+    rmse = als.rmse(res).select(F.col("rmse").between(0.0, 4.0).alias("rmse_in_range")).scalar()
+    return ratings.agg(F.count(F.lit(1)).alias("ratings"), F.count_distinct("user_id").alias("users")).select(
+        "ratings", "users", rmse.alias("rmse_in_range"), shape.select("ranks_complete").scalar().alias("ranks_complete"),
+        shape.select("ratings_fall").scalar().alias("ratings_fall"), strays.scalar().alias("products_known"),
+        strangers.scalar().alias("users_known"))
+
+
 @register("als_implicit_recommendations")
 def q_als_implicit_recommendations(spark, sf_dir):
     """REC8 -> ALS(implicitPrefs): top-5 per user from action weights."""
