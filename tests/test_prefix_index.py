@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from shoplens.operators import prefix_index as PI
 from shoplens.operators.prefix_index import prefix_index, top_k_sparse
 
 
@@ -78,3 +79,20 @@ def test_index_leaves_out_each_sets_most_frequent_items(spark):
     assert "hot" not in kept and {"warm", "cool"} <= kept and index.count() == 20 * 9
     # nobody shares more than two of ten: no pair of prefixes is even counted above the bound
     assert top_k_sparse(frame(spark, sets), "user", "item", 3, "jaccard", 0.12).collect() == []
+
+
+def test_pairs_are_counted_where_they_are_made_and_long_lists_are_dealt(spark, monkeypatch, capsys):
+    monkeypatch.setattr(PI, "LIST", 4)
+    rnd = random.Random(5)
+    sets = {f"u{u:02d}": {f"i{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 9))} | {"hot"} for u in range(30)}
+    for threshold in (0.03, 0.3):
+        got = found(top_k_sparse(frame(spark, sets), "user", "item", 4, "jaccard", threshold))
+        assert {u: [v for v, _ in r] for u, r in got.items()} == \
+            {u: [v for v, _ in r] for u, r in brute_topk(sets, 4, "jaccard", threshold).items() if r}
+    coded = frame(spark, sets).distinct().selectExpr("cast(1 as bigint) * 4294967296 + cast(substr(user, 2) as bigint) entity", "item")
+    lists = PI.holder_lists(coded).collect()
+    assert max(len(r.holders) for r in lists) == 4 and sum(r["item"] == "hot" for r in lists) == 8
+    PI.shared_in_prefixes(coded, 0.0).explain()
+    plan = capsys.readouterr().out
+    # nothing is shuffled between the making of the pairs and their count
+    assert "Exchange" not in plan[:plan.index("Generate explode(after")]
