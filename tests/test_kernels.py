@@ -109,3 +109,33 @@ def test_global_sequence_matches_row_number(spark):
     exp = {key: n + 1 for n, key in enumerate(sorted(rows))}
     assert len(got) == len(rows)
     assert all(exp[(r.a, r.b)] == r.seq for r in got)
+
+
+def test_a_block_pairs_memory_does_not_follow_the_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from shoplens.operators.similarity import _block_pair
+    peaks = []
+    for n in (1500, 4500):
+        rows = [(f"u{u:04d}", f"i{(u * 7 + j * j) % 90}") for u in range(n) for j in range(5)]
+        size = {}
+        for u, _ in set(rows):
+            size[u] = size.get(u, 0) + 1
+        rows = sorted(set(rows))
+        batch = pa.RecordBatch.from_pydict({
+            "lo": [0] * len(rows), "hi": [0] * len(rows), "parts": [1] * len(rows), "blk": [0] * len(rows),
+            "entity": [u for u, _ in rows], "item": [i for _, i in rows], "n": [size[u] for u, _ in rows]})
+        tracemalloc.start()
+        found = sum(b.num_rows for b in _block_pair(iter([batch]), 5, "jaccard", 0.1))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 5 * n
+    assert peaks[1] < 4 * peaks[0] and peaks[1] < 100e6  # n x n doubles alone would be nine times as much, 162 MB
+
+
+def test_float_vectors_travel_as_floats(spark, capsys):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, v array<float>")
+    top_k_cosine_vectors(v, "id", "v", 3).explain()
+    assert "array<double>" not in capsys.readouterr().out
