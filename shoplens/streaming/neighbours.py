@@ -1,9 +1,10 @@
 """STR5: neighbour recommendations kept up to date while reviews stream in.
 
-``ReviewProcessor`` holds two states per user: the number of reviews, which
-gives a trigger row at every n-th review whatever the sizes of the batches, and
-the products reviewed, so that only (user, product) pairs not seen before leave
-the operator.  ``NeighbourIndex`` turns those new pairs into increments of the
+``ReviewProcessor`` holds the number of reviews per user, which gives a trigger row
+at every n-th review whatever the sizes of the batches: one reading and one
+writing of its state per user and batch.  Which (user, product) pairs were not seen
+before is Spark's own deduplication, keyed by the pair, so that a user with very
+many products is not one task's work.  ``NeighbourIndex`` turns those new pairs into increments of the
 users' common-product counts: a new pair (u, p) adds one to (u, v) for every
 holder v of p.  A batch reads the holders of its own products, and for the users
 to be served their own pair counts, set sizes and neighbours' sets; nothing is
@@ -16,6 +17,7 @@ execution where one product is hot, and increments are summed before the shuffle
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,37 +32,38 @@ PAIR_OR_TRIGGER = "user_id string, product_id string, review_number long, event_
 
 
 class ReviewProcessor(StatefulProcessor):
-    """Per user: one row for each product not reviewed before, one for every ``every``-th review."""
+    """Per user: one row for every ``every``-th review."""
 
     def __init__(self, every: int):
         self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.reviews = handle.getValueState("reviews", "n long")
-        self.products = handle.getMapState("products", "product_id string", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         (user,) = key
-        n = self.reviews.get()[0] if self.reviews.exists() else 0
+        n = (self.reviews.get() or (0,))[0]
         for chunk in rows:
-            chunk = chunk.sort_values(["timestamp", "event_id"], kind="stable")
-            fresh = [p for p in chunk["product_id"].dropna().unique() if p and not self.products.containsKey((p,))]
-            for p in fresh:
-                self.products.updateValue((p,), (True,))
             due = list(range((n // self.every + 1) * self.every, n + len(chunk) + 1, self.every))
-            events = [chunk["event_id"].iloc[m - n - 1] for m in due]
+            if due:
+                order = _arrival(chunk)
+                events = chunk["event_id"].to_numpy(dtype=object)[order[[m - n - 1 for m in due]]]
+                yield pd.DataFrame({"user_id": [user] * len(due), "product_id": [None] * len(due),
+                                    "review_number": pd.array(due, dtype="Int64"), "event_id": events})
             n += len(chunk)
-            if fresh or due:
-                yield pd.DataFrame({
-                    "user_id": [user] * (len(fresh) + len(due)), "product_id": fresh + [None] * len(due),
-                    "review_number": pd.array([None] * len(fresh) + due, dtype="Int64"),
-                    "event_id": [None] * len(fresh) + events})
         self.reviews.update((n,))
 
     def close(self) -> None:
         pass
 
 
+def _arrival(chunk: pd.DataFrame) -> np.ndarray:
+    """Places of the rows by time and id, nulls last."""
+    if chunk["timestamp"].hasnans or chunk["event_id"].hasnans:
+        return np.asarray(chunk.reset_index(drop=True).sort_values(["timestamp", "event_id"], kind="stable").index)
+    return np.lexsort((chunk["event_id"].to_numpy(dtype=object), chunk["timestamp"].to_numpy()))
+
+
 def review_triggers(reviews: DataFrame, every: int = C.REVIEWS_PER_RECOMMENDATION) -> DataFrame:
     """New (user, product) pairs and a trigger row at each user's every ``every``-th
     review.  Reviews without a user are left out.  The event named by a trigger is
@@ -70,8 +73,10 @@ def review_triggers(reviews: DataFrame, every: int = C.REVIEWS_PER_RECOMMENDATIO
         raise ValueError("every must be 1 or more")
     use_rocksdb(reviews.sparkSession)
     known = reviews.where(F.coalesce(F.col("user_id") != "", F.lit(False)))
-    return known.select("user_id", "product_id", "event_id", "timestamp").groupBy("user_id").transformWithStateInPandas(
+    pairs = known.where(F.coalesce(F.col("product_id") != "", F.lit(False))).select("user_id", "product_id").dropDuplicates()
+    triggers = known.select("user_id", "event_id", "timestamp").groupBy("user_id").transformWithStateInPandas(
         ReviewProcessor(every), PAIR_OR_TRIGGER, "Append", "None")
+    return triggers.unionByName(pairs, allowMissingColumns=True)
 
 
 class NeighbourIndex:
