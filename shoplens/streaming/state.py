@@ -47,19 +47,22 @@ class ProfileProcessor(StatefulProcessor):
         self.partners = handle.getMapState("partners", "partner string", "seen boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        reviews, interactions, partners, total, avg = self.counts.get() if self.counts.exists() else (0, 0, 0, 0.0, 0.0)
+        reviews, interactions, partners, total, avg = self.counts.get() or (0, 0, 0, 0.0, 0.0)
         for chunk in rows:
+            is_review = (chunk["kind"].to_numpy(dtype=object) == "review")
+            interactions += int(len(chunk) - is_review.sum())
+            if not is_review.any():
+                continue  # order, ratings and partners are the reviews' alone
+            chunk = chunk[is_review]
             chunk = chunk.sort_values(["timestamp", "event_id"], kind="stable")
-            is_review = (chunk["kind"] == "review").to_numpy()
             rating = chunk["rating_num"].to_numpy(dtype=float, na_value=np.nan)
-            rated = is_review & ~np.isnan(rating)
+            rated = ~np.isnan(rating)
             if rated.any():  # the average is renewed at a rated review and divides by all reviews so far
                 last = np.flatnonzero(rated)[-1]
                 total += float(rating[rated].sum())
-                avg = total / (reviews + int(is_review[:last + 1].sum()))
-            reviews += int(is_review.sum())
-            interactions += int((~is_review).sum())
-            for p in chunk.loc[is_review, "partner"].dropna().unique():
+                avg = total / (reviews + int(last) + 1)
+            reviews += len(chunk)
+            for p in chunk["partner"].dropna().unique():
                 if p and (self.ttl_ms or not self.partners.containsKey((p,))):
                     self.partners.updateValue((p,), (True,))  # with a life: seen again, lives on
                     partners += 1
