@@ -10,11 +10,16 @@ join with the item index table.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens import constants as C
@@ -81,20 +86,98 @@ def rmse_value(result: AlsResult) -> float:
     return ev.evaluate(result.predictions)
 
 
+BLOCK_FACTORS = 262_144   # factor vectors of one kind a task holds at most
+TILE_USERS, TILE_ITEMS = 32, 8192     # scores in memory at once
+SCORED = pa.schema([("user_idx", pa.int32()), ("item_idx", pa.int32()), ("rating", pa.float32())])
+
+
+def _block_top(user_ids: np.ndarray, users: np.ndarray, item_ids: np.ndarray, items: np.ndarray, n: int):
+    """The n items of largest dot product per user (ties: smaller id), for ``TILE_USERS`` users after
+    the other: (user ids, item ids, scores).  Items come by falling length, so a user is done when its
+    length times an item's cannot reach the user's n-th best score any more."""
+    length = np.sqrt((items.astype(np.float64) ** 2).sum(axis=1))
+    by = np.argsort(-length, kind="stable")
+    item_ids, length, across = item_ids[by], length[by], np.ascontiguousarray(items[by].T)
+    # a computed product is off by far less than this part of the lengths' product
+    reach = np.sqrt((users.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-5)
+    keep = min(n, len(item_ids))
+    for at in range(0, len(users), TILE_USERS):
+        mine, far = users[at:at + TILE_USERS], reach[at:at + TILE_USERS]
+        best = np.full((len(mine), keep), -np.inf, np.float32)
+        ids = np.full((len(mine), keep), np.iinfo(np.int32).max, np.int32)
+        for start in range(0, len(item_ids), TILE_ITEMS):
+            live = np.flatnonzero(far * length[start] >= best[:, -1])
+            if not len(live):
+                break
+            scores = (mine if len(live) == len(mine) else mine[live]) @ across[:, start:start + TILE_ITEMS]
+            least = best[live, -1]
+            if start == 0 and keep < scores.shape[1]:  # only what reaches the tile's n-th best is sorted
+                least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+            for r in np.flatnonzero(scores.max(axis=1) >= least):
+                found = np.flatnonzero(scores[r] >= least[r])
+                s = np.concatenate([best[live[r]], scores[r, found]])
+                i = np.concatenate([ids[live[r]], item_ids[start + found]])
+                first = np.lexsort((i, -s))[:keep]
+                best[live[r]], ids[live[r]] = s[first], i[first]
+        yield np.repeat(user_ids[at:at + TILE_USERS], keep), ids.ravel(), best.ravel()
+
+
+def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    rows = t.column("features").combine_chunks()
+    return t.column("id").to_numpy(), rows.flatten().to_numpy().reshape(len(rows), -1)
+
+
+def score_blocks(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_FACTORS) -> DataFrame:
+    """Top-n items per user by factor dot product over every item: (user_idx, rank, item_idx, rating).
+
+    A block of users and a block of items meet in one task, which scores them tile by
+    tile; each user's n best of the block leave it, and the best of those are ranked.
+    """
+    n_users, n_items = users.count(), items.count()
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    ib = max(1, math.ceil(n_items / block))
+    ub = max(1, math.ceil(n_users / block), min(math.ceil(2 * cores / ib), math.ceil(n_users / TILE_USERS)))
+    a = (users.select("id", "features", F.lit(True).alias("user"), F.pmod(F.xxhash64("id"), F.lit(ub)).cast("int").alias("ub"))
+         .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
+    b = (items.select("id", "features", F.lit(False).alias("user"), F.pmod(F.xxhash64("id"), F.lit(ib)).cast("int").alias("ib"))
+         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(ub - 1)))))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        user_ids, mine = _vectors(t.filter(t.column("user")))
+        item_ids, others = _vectors(t.filter(pc.invert(t.column("user"))))
+        del t
+        if len(user_ids) and len(item_ids):
+            for columns in _block_top(user_ids, mine, item_ids, others, n):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SCORED)
+
+    local = a.unionByName(b).groupBy("ub", "ib").applyInArrow(kernel, "user_idx int, item_idx int, rating float")
+    w = Window.partitionBy("user_idx").orderBy(F.desc("rating"), F.asc("item_idx"))
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select("user_idx", "rank", "item_idx", F.col("rating").cast("double").alias("rating")))
+
+
 def recommend(result: AlsResult, users: DataFrame, n: int, dimension: DataFrame | None = None,
-              product_col: str = "product_id") -> DataFrame:
+              product_col: str = "product_id", method: str = "product") -> DataFrame:
     """REC2 + JN5 (+ JN4): top-n for the given users (any number of them),
     decoded to product ids; rating and confidence (rating / 5) to 2 places.
 
-    Scores are factor dot products over every item, by MLlib's own blocked
-    ``recommendForUserSubset``.
+    Scores are factor dot products over every item: ``product`` by MLlib's own
+    ``recommendForUserSubset``, ``blocks`` by ``score_blocks`` (the same scores,
+    many users and items).
     """
+    if method not in ("product", "blocks"):
+        raise ValueError("method must be product or blocks")
     uc = result.user_col
     u = users.select(F.col(uc).cast("string").alias(uc)).distinct().join(result.user_index, uc)
-    top = result.model.recommendForUserSubset(u.select("user_idx"), n)
-    flat = (top.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
-            .select("user_idx", (F.col("pos") + 1).alias("rank"), F.col("r.item_idx").alias("item_idx"),
-                    F.col("r.rating").cast("double").alias("rating")))
+    if method == "blocks":
+        served = result.model.userFactors.join(u.select(F.col("user_idx").alias("id")), "id", "left_semi")
+        flat = score_blocks(served, result.model.itemFactors, n)
+    else:
+        top = result.model.recommendForUserSubset(u.select("user_idx"), n)
+        flat = (top.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
+                .select("user_idx", (F.col("pos") + 1).alias("rank"), F.col("r.item_idx").alias("item_idx"),
+                        F.col("r.rating").cast("double").alias("rating")))
     items = result.item_index.withColumnRenamed(result.item_col, product_col)
     out = (flat.join(u, "user_idx").join(items, "item_idx")
            .select(uc, "rank", product_col,
