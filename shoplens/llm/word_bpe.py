@@ -3,7 +3,7 @@
 The tokenizer collapses white space, lower-cases and never merges across white
 space, so a text's ids are the ids of its white-space-separated chunks one
 after another.  Chunks repeat: each is encoded once per worker and its ids kept
-(bounded memory, emptied when full).  A chunk of printable Latin-1 characters
+(bounded memory, emptied when full), and so are the words of a chunk of several.  A chunk of printable Latin-1 characters
 is cut by the tokenizer's own pattern and handed to the library's merge model
 word by word; every other chunk (and any that may hold a special token) goes
 through the whole library.
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-MEMORY_CHUNKS = 700_000
+MEMORY_CHUNKS = 1_050_000
 MEMORY_CHARS = 64
 # White space of the tokenizer's pattern; str.split() also cuts at \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -49,34 +50,43 @@ class ChunkIds(dict):
         self.tk = Tokenizer.from_file(path)
         self.model = self.tk.model
         self.letters = [x for _, x in sorted(byte_letters().items())]
-        self.specials = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        specials = [t.content for t in self.tk.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
+        # a chunk of ASCII letters only is one word, unless a special token could lie in it
+        self.letters_are_words = not any(s.isascii() and s.isalpha() for s in specials)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, w: str) -> bytes:
-        ids = self.words.get(w)
-        if ids is None:
-            s = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
-            if len(w) <= MEMORY_CHARS:
-                if len(self.words) >= MEMORY_CHUNKS // 2:
-                    self.words.clear()
-                self.words[w] = ids
-        return ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        if LATIN.fullmatch(chunk) and not any(s in chunk for s in self.specials):
-            ids = b"".join(map(self.word, WORDS.findall(chunk.lower())))
-        else:
-            ids = self.whole(chunk)
+    def keep(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= MEMORY_CHARS:
             if len(self) >= MEMORY_CHUNKS:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def word(self, w: str) -> bytes:
+        s = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+        found = [t.id for t in self.model.tokenize(s)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def part(self, w: str) -> bytes:
+        """The ids of a chunk's word, which is kept as a chunk of its own."""
+        if self.special.search(w):  # such a chunk would be encoded otherwise
+            return self.word(w)
+        ids = self.get(w)
+        return self.keep(w, self.word(w)) if ids is None else ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.letters_are_words and chunk.isascii() and chunk.isalpha():
+            ids = self.word(chunk.lower())
+        elif LATIN.fullmatch(chunk) and not self.special.search(chunk):
+            words = WORDS.findall(chunk.lower())
+            ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.part, words))
+        else:
+            ids = self.whole(chunk)
+        return self.keep(chunk, ids)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
