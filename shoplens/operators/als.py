@@ -88,6 +88,7 @@ def rmse_value(result: AlsResult) -> float:
 
 BLOCK_FACTORS = 262_144   # factor vectors of one kind a task holds at most
 TILE_USERS, TILE_ITEMS = 32, 8192     # scores in memory at once
+PRODUCT_SCORES = 10_000_000   # users times items up to which ``auto`` leaves the scores to MLlib's product
 SCORED = pa.schema([("user_idx", pa.int32()), ("item_idx", pa.int32()), ("rating", pa.float32())])
 
 
@@ -136,7 +137,7 @@ def score_blocks(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_
     n_users, n_items = users.count(), items.count()
     cores = users.sparkSession.sparkContext.defaultParallelism
     ib = max(1, math.ceil(n_items / block))
-    ub = max(1, math.ceil(n_users / block), min(math.ceil(2 * cores / ib), math.ceil(n_users / TILE_USERS)))
+    ub = max(1, math.ceil(n_users / block), min(math.ceil(4 * cores / ib), math.ceil(n_users / TILE_USERS)))
     a = (users.select("id", "features", F.lit(True).alias("user"), F.pmod(F.xxhash64("id"), F.lit(ub)).cast("int").alias("ub"))
          .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
     b = (items.select("id", "features", F.lit(False).alias("user"), F.pmod(F.xxhash64("id"), F.lit(ib)).cast("int").alias("ib"))
@@ -151,26 +152,34 @@ def score_blocks(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_
             for columns in _block_top(user_ids, mine, item_ids, others, n):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SCORED)
 
-    local = a.unionByName(b).groupBy("ub", "ib").applyInArrow(kernel, "user_idx int, item_idx int, rating float")
+    # a pair of blocks is few bytes and much work: pairs are dealt over more partitions than there are pairs, which
+    # adaptive execution, that counts bytes, does not put together again
+    dealt = a.unionByName(b).repartition(4 * ub * ib, "ub", "ib")
+    local = dealt.groupBy("ub", "ib").applyInArrow(kernel, "user_idx int, item_idx int, rating float")
     w = Window.partitionBy("user_idx").orderBy(F.desc("rating"), F.asc("item_idx"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("user_idx", "rank", "item_idx", F.col("rating").cast("double").alias("rating")))
 
 
 def recommend(result: AlsResult, users: DataFrame, n: int, dimension: DataFrame | None = None,
-              product_col: str = "product_id", method: str = "product") -> DataFrame:
+              product_col: str = "product_id", method: str = "auto") -> DataFrame:
     """REC2 + JN5 (+ JN4): top-n for the given users (any number of them),
     decoded to product ids; rating and confidence (rating / 5) to 2 places.
 
     Scores are factor dot products over every item: ``product`` by MLlib's own
     ``recommendForUserSubset``, ``blocks`` by ``score_blocks`` (the same scores,
-    many users and items).
+    many users and items), ``auto`` by the first up to ``PRODUCT_SCORES`` scores
+    of the model, by the second beyond.
     """
-    if method not in ("product", "blocks"):
-        raise ValueError("method must be product or blocks")
+    if method not in ("auto", "product", "blocks"):
+        raise ValueError("method must be auto, product or blocks")
+    if method == "auto":
+        scores = result.model.userFactors.count() * result.model.itemFactors.count()
+        method = "product" if scores <= PRODUCT_SCORES else "blocks"
     uc = result.user_col
     u = users.select(F.col(uc).cast("string").alias(uc)).distinct().join(result.user_index, uc)
     if method == "blocks":
+        u = u.checkpoint(eager=True)  # read by the count, by the scores and by the decoding
         served = result.model.userFactors.join(u.select(F.col("user_idx").alias("id")), "id", "left_semi")
         flat = score_blocks(served, result.model.itemFactors, n)
     else:

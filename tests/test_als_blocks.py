@@ -9,6 +9,8 @@ import pytest
 from shoplens.operators import als
 from shoplens.operators.als import _block_top, recommend, score_blocks, train
 from shoplens.plans import q_recommend
+from tests.conftest import SF_SMALL
+from tests.test_plans import plan_text
 
 
 def best(users, items, n):
@@ -65,3 +67,25 @@ def test_both_methods_give_the_same_scores(spark):
 
 def test_properties_score_by_blocks():
     assert 'method="blocks"' in inspect.getsource(q_recommend.q_als_properties)
+
+
+def test_many_scores_are_not_left_to_the_product(spark, monkeypatch):
+    def query():
+        df = q_recommend.q_als_recommendations(spark, SF_SMALL)
+        return df, plan_text(df)
+
+    small, plan = query()
+    assert "CartesianProduct" in plan
+    monkeypatch.setattr(als, "PRODUCT_SCORES", 0)
+    large, plan = query()
+    assert "CartesianProduct" not in plan and "FlatMapGroupsInArrow" in plan
+    # dealt by a fixed number of partitions, without another exchange before the kernel
+    assert "REPARTITION_BY_NUM" in plan[plan.index("FlatMapGroupsInArrow"):].split("Exchange")[1]
+    lists = [sorted((r.user_id, int(r["rank"]), r.title is not None) for r in df.collect()) for df in (small, large)]
+    assert lists[0] == lists[1] and len(lists[0]) == 10 * len({u for u, _, _ in lists[0]})
+    rows = [(f"u{u}", f"i{i}", float(1 + (u * i) % 5)) for u in range(9) for i in range(12)]
+    result = train(spark.createDataFrame(rows, "user_id string, asin string, rating double"), max_iter=1)
+    scores = result.model.userFactors.count() * result.model.itemFactors.count()
+    for most, product in ((scores, True), (scores - 1, False)):
+        monkeypatch.setattr(als, "PRODUCT_SCORES", most)
+        assert ("CartesianProduct" in plan_text(recommend(result, result.user_index.select("user_id"), 3))) is product
