@@ -21,6 +21,11 @@ the signature and on the word with one letter left out, at its place.  All
 words that share such a key are links (or equal words), so nothing is compared in
 vain and no link is lost.
 
+Joins.  Every table here grows with the vocabulary.  Spark sizes a join's side by its
+compressed files and counts neither the rows that the signatures make of a word nor
+an explode, so it would send such a side through the driver long after it has outgrown
+it.  All joins are therefore merge joins.
+
 A word's form is its near word with the largest count (ties: smallest in
 code-point order) if that is at least ``ratio`` times its own, else null; its
 root is reached by following forms.  Counts rise tenfold along the way, so the
@@ -184,7 +189,7 @@ def meet(rows: DataFrame, key: str) -> DataFrame:
                                                   F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = rows.filter(F.col("role") != SHORT).select(F.col(key).alias("key_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     near = F.levenshtein("a", "b", 1) == 1
-    return a.join(b, (F.col("key") == F.col("key_b")) & ((F.col("role") == SHORT) | (F.col("a") < F.col("b"))) & near) \
+    return a.hint("merge").join(b, (F.col("key") == F.col("key_b")) & ((F.col("role") == SHORT) | (F.col("a") < F.col("b"))) & near) \
         .select("a", "b", "n_a", "n_b")
 
 
@@ -207,7 +212,7 @@ def near_words(words: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     sizes = sigs.groupBy("sig").agg(*[F.count_if(F.col("role") == r).alias(f"r{r}") for r in (SAME, SHORT, LONG)]) \
         .filter((F.col("r0") > 1) | (F.col("r1") > 0) & (F.col("r2") > 0)) \
         .select(F.col("sig").alias("sized"), (F.col("r0") + F.col("r1") + F.col("r2") > group_rows).alias("hot"))
-    paired = stored(sigs.join(sizes, F.col("sig") == F.col("sized")).drop("sized"), "spelling-signatures")
+    paired = stored(sigs.hint("merge").join(sizes, F.col("sig") == F.col("sized")).drop("sized"), "spelling-signatures")
     links = meet(paired.filter(~F.col("hot")), "sig").unionByName(meet(split_keys(paired.filter("hot")), "key"))
     return links.distinct()
 
@@ -223,7 +228,7 @@ def variants(words: DataFrame, ratio: int = 10, group_rows: int = GROUP_ROWS) ->
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),
                                     F.min(F.struct((-F.col("n_other")).alias("minus"), "other")).alias("best"))
     large = -F.col("best.minus") >= ratio * F.col("n")
-    formed = stored(words.join(best, "word", "left").select(
+    formed = stored(words.hint("merge").join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(large, F.col("best.other")).alias("form"), F.when(large, -F.col("best.minus")).alias("form_n")), "spelling-forms")
     most = words.agg(F.max("n")).first()[0] or 1
@@ -231,9 +236,9 @@ def variants(words: DataFrame, ratio: int = 10, group_rows: int = GROUP_ROWS) ->
     roots = formed.filter("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         onward = roots.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        roots = stored(roots.join(onward, F.col("root") == F.col("at"), "left")
+        roots = stored(roots.hint("merge").join(onward, F.col("root") == F.col("at"), "left")
                        .select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
+    return formed.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
                                                      "n", "n_near", "form_n")
 
 

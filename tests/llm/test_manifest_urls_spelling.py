@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens.llm import merkle, spelling, url_filter
+from shoplens.llm.common import stored
 from tests.conftest import SF_SMALL
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -263,3 +264,22 @@ def test_variants_of_no_words(spark):
     assert spelling.variants(spelling.word_counts(empty)).collect() == []
     with pytest.raises(ValueError):
         spelling.variants(spelling.word_counts(empty), ratio=1)
+
+
+def test_spelling_sends_no_side_through_the_driver(spark, monkeypatch):
+    """Signatures and split keys are many rows a word; Spark sizes them by the words' files."""
+    plans, tables = [], []
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        tables.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(spelling, "stored", planned)
+    words = spark.createDataFrame([("abcdefgh", 200), ("abcdefg", 20), ("abcdefgx", 2), ("zzzzzzz", 5)], "word string, n long")
+    out = spelling.variants(words, group_rows=2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {"spelling-signatures", "spelling-links", "spelling-forms", "spelling-roots"} <= set(tables)
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6
+    assert not any("Broadcast" in p for p in plans)
+    assert {r.word: r.root for r in out.collect()}["abcdefgx"] == "abcdefgh"
