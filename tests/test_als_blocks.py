@@ -9,6 +9,7 @@ import pytest
 from shoplens.operators import als
 from shoplens.operators.als import _block_top, recommend, score_blocks, train
 from shoplens.plans import q_recommend
+from shoplens.session import stored
 from tests.conftest import SF_SMALL
 from tests.test_plans import plan_text
 
@@ -89,3 +90,40 @@ def test_many_scores_are_not_left_to_the_product(spark, monkeypatch):
     for most, product in ((scores, True), (scores - 1, False)):
         monkeypatch.setattr(als, "PRODUCT_SCORES", most)
         assert ("CartesianProduct" in plan_text(recommend(result, result.user_index.select("user_id"), 3))) is product
+
+
+def test_fitting_leaves_no_shuffles_and_stores_compressed_tables(spark, monkeypatch):
+    """The factors are read back from the written model, the ratings from compressed tables, not from checkpoints."""
+    rows = [(f"u{u}", f"i{i}", float(1 + (u * i) % 5)) for u in range(12) for i in range(9)]
+    ratings = spark.createDataFrame(rows, "user_id string, asin string, rating double")
+    names = []
+    monkeypatch.setattr(als, "stored", lambda df, name: (names.append(name), stored(df, name))[1])
+    monkeypatch.setattr(als, "FITTED_SCORES", 0)
+    result = train(ratings, max_iter=2)
+    assert names == ["als-ratings", "als-indexed"]
+    for side, size in ((result.model.userFactors, 12), (result.model.itemFactors, 9)):
+        assert side.count() <= size and "als-model" in side.inputFiles()[0]
+    assert result.predictions.count() > 0 and math.isfinite(als.rmse(result).first().rmse)
+
+
+def test_items_pass_by_a_block_of_users_once(spark, monkeypatch):
+    """Only users times n rows leave the tasks, from spans and chunks of any size, and each block has a partition."""
+    monkeypatch.setattr(als, "CHUNK_FACTORS", 7)
+    monkeypatch.setattr(als, "SPAN_FACTORS", 20)
+    rng = np.random.default_rng(9)
+    users, items = whole(rng, 300), whole(rng, 150)
+    frames = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in side.items()], "id int, features array<float>").repartition(5)
+              for side in (users, items)]
+    top = score_blocks(*frames, 6, 40)
+    assert "Window" not in plan_text(top)
+    got = {}
+    for r in top.orderBy("user_idx", "rank").collect():
+        got.setdefault(r.user_idx, []).append((-r.rating, r.item_idx))
+    assert got == best(users, items, 6)
+    for side in (0, 1):
+        none = [f.limit(0) if k == side else f for k, f in enumerate(frames)]
+        assert score_blocks(*none, 6).collect() == []
+    for blocks in (1, 12, 40):
+        keys = als._block_keys(spark, blocks)
+        at = spark.createDataFrame([(k,) for k in keys], "k int").selectExpr(f"pmod(hash(k), {blocks}) at").collect()
+        assert [r["at"] for r in at] == list(range(blocks))
