@@ -4,6 +4,9 @@ import contextlib
 import io
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from shoplens.operators.similarity import top_k_similar
 from tests.test_kernels import brute_topk
 
@@ -32,3 +35,29 @@ def test_lists_and_split_pairs_equal_brute_force(spark):
             got.setdefault(r.user, []).append(r.neighbour_user)
         expected = brute_topk(sets, 4, measure, threshold)
         assert got == {u: [v for v, _ in e] for u, e in expected.items() if e}, (measure, group_rows)
+
+
+def test_cells_are_compared_in_single_and_decided_in_double_precision():
+    """Similarities that single precision cannot tell apart still come in their exact order."""
+    from shoplens.operators import similarity as S
+
+    rng = np.random.default_rng(4)
+    for measure in ("jaccard", "cosine"):
+        for n_cols, k, threshold in ((300, 5, 0.1), (40, 5, 0.0), (3, 5, 0.2), (700, 3, 0.5)):
+            a, b = rng.integers(90_000, 90_009, 20), rng.integers(90_000, 90_009, n_cols)
+            common = rng.integers(60_000, 60_006, (20, n_cols)) * (rng.random((20, n_cols)) < 0.9)
+            common[0] = 0
+            got = {}
+            for r, c, s in zip(*(x.tolist() for x in S._set_topk(common.astype(np.float32), a, b, k, measure, threshold))):
+                got.setdefault(r, []).append((-s, c))
+            want = {}
+            for r in range(20):
+                sims = [(-float(S._similarity(common[r, c:c + 1].astype(float), a[r:r + 1], b[c:c + 1], measure)[0]), c)
+                        for c in range(n_cols) if common[r, c]]
+                if best := sorted(x for x in sims if -x[0] > threshold)[:k]:
+                    want[r] = best
+            assert got == want
+    side = S._Side(pa.array(["a", "b"]), np.array([2, 1]), np.array([0, 1, 1]), np.array([2, 1]))
+    (_, counts), = S._intersections(side, side, 2)
+    assert counts.dtype == np.float32 and counts.tolist() == [[2, 1], [1, 1]]
+    assert next(S._intersections(side, side, 2**24))[1].dtype == np.float64
